@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: the characters that a JavaScript trim() removes.
 JS_BLANKS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
-JS_DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Texts that JavaScript's Number() reads, and the radix of each form.
+JS_NUMBERS = {
+    10: r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)",
+    16: r"0[xX]([0-9a-fA-F]+)",
+    8: r"0[oO]([0-7]+)",
+    2: r"0[bB]([01]+)",
+}
+PLAIN_POSITIVE = r"\+?0*([1-9]\d{0,17})(?:\.0*)?"
 
 
 def moment(as_of: str | datetime | Column, like: DataFrame | None = None, column: str = "updated_at") -> Column:
@@ -61,26 +68,41 @@ def js_trim(column: str | Column) -> Column:
     return F.regexp_replace(_col(column), f"^[{JS_BLANKS}]+|[{JS_BLANKS}]+$", "")
 
 
+def _whole(column: Column, pattern: str) -> Column:
+    """The group of ``pattern`` if it is all of the text but blanks around it, else empty text."""
+    return F.regexp_extract(column, f"^[{JS_BLANKS}]*{pattern}[{JS_BLANKS}]*$", 1)
+
+
 def js_number(column: str | Column) -> Column:
     """Text to number as ``Number(text)`` reads it; NULL where that gives NaN.
 
-    Blank text is 0.  A suffix such as ``'12d'``, which a SQL cast lets pass, is
-    not a number.
+    A suffix such as ``'12d'``, which a SQL cast lets pass, is not a number.
     """
-    text = js_trim(column)
-    value = F.when(text == "", F.lit(0.0)).when(text.rlike(JS_DECIMAL), text.try_cast("double"))
-    for prefix, base, digits in (("[xX]", 16, "0-9a-fA-F"), ("[oO]", 8, "0-7"), ("[bB]", 2, "01")):
-        value = value.when(
-            text.rlike(f"^0{prefix}[{digits}]+$"),
-            F.conv(F.substring(text, 3, 64), base, 10).try_cast("double"),
-        )
-    return value
+    text = _col(column)
+    forms = [_whole(text, JS_NUMBERS[10]).try_cast("double")]
+    for radix in (16, 8, 2):
+        digits = F.nullif(_whole(text, JS_NUMBERS[radix]), F.lit(""))
+        forms.append(F.conv(digits, radix, 10).try_cast("double"))
+    blank = F.when(text.rlike(f"^[{JS_BLANKS}]*$"), F.lit(0.0))
+    return F.coalesce(*forms, blank)
 
 
 def js_positive_id(column: str | Column) -> Column:
-    """Text id to bigint; NULL unless it reads as an integer above zero."""
-    number = js_number(column)
-    return F.when((number > 0) & (number == F.floor(number)), number.try_cast("bigint"))
+    """Text id to bigint; NULL unless ``Number(text)`` is an integer above zero.
+
+    Nearly all ids are plain digits, which one pattern reads, exactly above 2**53
+    too; forms such as ``1e3`` or ``0x1F`` are looked at only where such letters are.
+    """
+    text = _col(column)
+    scientific = _whole(text, JS_NUMBERS[10]).try_cast("decimal(38,18)")
+    unusual = [F.when((scientific > 0) & (scientific % 1 == 0), scientific.try_cast("bigint"))] + [
+        F.nullif(F.conv(F.nullif(_whole(text, JS_NUMBERS[radix]), F.lit("")), radix, 10).try_cast("bigint"), F.lit(0))
+        for radix in (16, 8, 2)
+    ]
+    return F.coalesce(
+        _whole(text, PLAIN_POSITIVE).try_cast("bigint"),
+        F.when(text.rlike("[eExXoObB]"), F.coalesce(*unusual)),
+    )
 
 
 def js_round_cents(amount: str | Column) -> Column:

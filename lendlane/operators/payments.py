@@ -25,8 +25,9 @@ def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
         return F.get_json_object(F.col(body), path)
 
     flat = raw.select(
-        *[c for c in ("event_id", "ts") if c in raw.columns],
-        *([] if "event_id" in raw.columns else [at("$.id").alias("event_id")]),
+        F.col("event_id") if "event_id" in raw.columns else at("$.id").alias("event_id"),
+        F.col("ts") if "ts" in raw.columns
+        else F.timestamp_seconds(at("$.created").try_cast("bigint")).cast("timestamp_ntz").alias("ts"),
         at("$.type").alias("type"),
         at("$.data.object.metadata.booking_id").alias("booking_id"),
         at("$.data.object.payment_status").alias("payment_status"),
@@ -37,12 +38,13 @@ def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
     return payment_intent_extract(flat).drop("payment_intent")
 
 
-def settled_outcome() -> Column:
+def settled_outcome(booking: Column | None = None) -> Column:
     """Outcome of events that no booking needs to be looked up for; NULL for the rest."""
+    booking = js_positive_id("booking_id") if booking is None else booking
     return (
         F.when(F.col("type") == FAILURE_TYPE, "failed")
         .when(~F.coalesce(F.col("type").isin(SUCCESS_TYPES), F.lit(False)), "ignored")
-        .when(js_positive_id("booking_id").isNull(), "bad_metadata")
+        .when(booking.isNull(), "bad_metadata")
         .when(~F.coalesce(F.col("payment_status") == "paid", F.lit(False)), "awaiting_payment")
     )
 
@@ -55,10 +57,10 @@ def _deciding_state(pending: DataFrame, bookings: DataFrame) -> DataFrame:
     more than any other.
     """
     firsts = pending.groupBy("_booking", "session_id").agg(
-        F.min(F.struct("ts", "event_id")).alias("first"), F.count(F.lit(1)).alias("n")
+        F.min(F.struct("ts", "event_id")).alias("first")
     )
     per_booking = firsts.groupBy("_booking").agg(
-        F.min(F.struct("first.ts", "first.event_id", "session_id")).alias("first_any"), F.sum("n").alias("_n")
+        F.min(F.struct("first.ts", "first.event_id", "session_id")).alias("first_any")
     )
     stored = bookings.select(
         F.col("id").alias("_booking"),
@@ -72,7 +74,6 @@ def _deciding_state(pending: DataFrame, bookings: DataFrame) -> DataFrame:
     first_any = F.struct(F.col("first_any.ts").alias("ts"), F.col("first_any.event_id").alias("event_id"))
     return state.select(
         "_booking",
-        "_n",
         "known",
         # a booking that starts paid never binds a session
         F.when(F.col("was_paid") | ~unbound, F.col("stored_session"))
@@ -90,15 +91,13 @@ def payment_event_classify(
     session, unless a session is stored already.  Events of another session are
     mismatches, the rest duplicates.  ``(ts, event_id)`` names a delivery.
     """
-    judged = events.withColumn("_settled", settled_outcome())
-    settled = judged.where(F.col("_settled").isNotNull()).select(*events.columns, F.col("_settled").alias("outcome"))
-    pending = judged.where(F.col("_settled").isNull()).select(
-        *events.columns, js_positive_id("booking_id").alias("_booking")
+    judged = events.withColumn("_booking", js_positive_id("booking_id")).withColumn(
+        "_settled", settled_outcome(F.col("_booking"))
     )
+    settled = judged.where(F.col("_settled").isNotNull()).select(*events.columns, F.col("_settled").alias("outcome"))
+    pending = judged.where(F.col("_settled").isNull()).drop("_settled")
     state = _deciding_state(pending, bookings)
-    joined = lookup_join(
-        pending, state.drop("_n"), ["_booking"], ["event_id"], counts=state.select("_booking", "_n"), policy=policy
-    )
+    joined = lookup_join(pending, state, ["_booking"], ["event_id"], policy=policy)
     mine = F.struct("ts", "event_id")
     outcome = (
         F.when(F.col("known").isNull(), "unknown_booking")

@@ -84,11 +84,12 @@ def _candidates(profiles: DataFrame) -> DataFrame:
 
 def profile_rank(profiles: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
     """Rank of every active profile within its listing; 1 is the one to keep."""
+    day, part, instant = time_buckets("updated_at")
     ranked = rank_rows(
         _candidates(profiles),
         ["trailer_id"],
         [_quality().asc(), F.col("updated_at").desc_nulls_last(), F.col("id").desc()],
-        [_quality().cast("bigint"), *time_buckets("updated_at"), *id_buckets("id", descending=True)],
+        [F.struct(_quality(), day), part, instant, *id_buckets("id", descending=True)],
         "rn",
         policy,
     )

@@ -9,9 +9,10 @@ The helpers here cover those two cases:
   fixed number of salts and copy the one matching row to each salt;
 * ``rank_rows`` numbers rows of hot groups bucket by bucket.
 
-A key is *hot* when it holds more than ``1 / share`` of all rows, so there are
-fewer than ``share`` hot keys whatever the data; this bound is what makes it
-safe to broadcast them.
+Hot keys are the ones with the most rows, at most ``max_hot`` of them, and only
+such with more than ``min_rows``.  The cap is what makes it safe to broadcast
+their list.  It leaves nothing out: a key below the heaviest ``max_hot`` holds
+less than ``1 / max_hot`` of all rows, and is handled the plain way.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """When a key counts as hot, and how widely its rows are spread."""
+    """Which keys count as hot, and how widely their rows are spread."""
 
-    share: int = 1024
+    max_hot: int = 1000
+    min_rows: int = 1_000_000
     salts: int = 256
-    min_rows: int = 100_000
 
 
 DEFAULT_POLICY = SkewPolicy()
@@ -39,12 +40,18 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
-    """Keys holding more than ``1/share`` of the rows: fewer than ``share`` rows."""
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(
-        (F.col("_n") > policy.min_rows) & (F.col("_n") * policy.share > total)
-    ).select(*keys, F.lit(True).alias("_hot"))
+def hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+    """The heaviest keys: at most ``policy.max_hot`` rows.
+
+    Reads the key columns only; counts combine before the shuffle, and the top is
+    taken per task before it is merged.  Ties are broken by key, as both sides of
+    a join must get the same list even if it is worked out twice.
+    """
+    return (
+        key_counts(df, keys).where(F.col("_n") > policy.min_rows)
+        .orderBy(F.col("_n").desc(), *keys).limit(policy.max_hot)
+        .select(*keys, F.lit(True).alias("_hot"))
+    )
 
 
 def lookup_join(
@@ -53,7 +60,6 @@ def lookup_join(
     keys: Sequence[str],
     row_id: Sequence[str],
     how: str = "left",
-    counts: DataFrame | None = None,
     policy: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup``, which has at most one row per key.
@@ -65,10 +71,7 @@ def lookup_join(
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join cannot do a {how} join")
     keys = list(keys)
-    if counts is None:
-        counts = key_counts(facts, keys)
-    # fewer than policy.share rows, see hot_keys
-    hot = F.broadcast(hot_keys(counts, keys, policy))
+    hot = F.broadcast(hot_keys(facts, keys, policy))  # at most policy.max_hot rows
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
@@ -98,8 +101,7 @@ def attach_aggregates(
     Rows with a NULL key get NULL aggregates.
     """
     keys = list(keys)
-    groups = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *aggregates)
-    return lookup_join(facts, groups.drop("_n"), keys, row_id, counts=groups, policy=policy)
+    return lookup_join(facts, facts.groupBy(*keys).agg(*aggregates), keys, row_id, policy=policy)
 
 
 def id_buckets(column: str | Column, descending: bool = False) -> list[Column]:
@@ -115,11 +117,11 @@ def id_buckets(column: str | Column, descending: bool = False) -> list[Column]:
 
 
 def time_buckets(column: str | Column) -> list[Column]:
-    """Buckets for "newest first, NULL last": about 19 hours, a minute, a microsecond."""
+    """Buckets for "newest first, NULL last": about 19 hours, a quarter second, a microsecond."""
     value = F.col(column) if isinstance(column, str) else column
     micros = F.unix_micros(value.cast("timestamp"))
     newest_first = F.coalesce(F.bitwise_not(micros), F.lit(2**62))
-    return [F.shiftright(newest_first, 36), F.shiftright(newest_first, 26), newest_first]
+    return [F.shiftright(newest_first, 36), F.shiftright(newest_first, 18), newest_first]
 
 
 def rank_rows(
@@ -141,8 +143,8 @@ def rank_rows(
     if not groups:
         return _rank_by_buckets(df, [], order, buckets, name)
     groups = list(groups)
-    hot = hot_keys(key_counts(df, groups), groups, policy)
-    flagged = _null_safe_left(df, F.broadcast(hot), groups)  # fewer than policy.share rows
+    hot = F.broadcast(hot_keys(df, groups, policy))  # at most policy.max_hot rows
+    flagged = _null_safe_left(df, hot, groups)
     plain = (
         flagged.where(F.col("_hot").isNull())
         .drop("_hot")

@@ -219,6 +219,14 @@ class Fixtures:
     def _view(self, name: str) -> DataFrame:
         return self.spark.sql(_text(name, SPARK_TOKENS), **{t: self.table(t) for t in base_tables(name)})
 
+    def stream(self, name: str, table: str) -> DataFrame:
+        """A view over one table, read as a stream."""
+        raw = (
+            self.spark.readStream.schema(DRIVER_SCHEMAS[table])
+            .option("pathGlobFilter", f"{table}.parquet").parquet(self.sf_dir)
+        )
+        return self.spark.sql(_text(name, SPARK_TOKENS), **{table: raw})
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.view(name)

@@ -1,143 +1,103 @@
 """Payment events as a stream: one outcome per event, each booking paid once.
 
-The state per booking is the session it is bound to and whether it is paid.  It is
-loaded from the bookings when the query first starts and never expires: an event
-may come however late, and a redelivered one must still be seen as a duplicate.
-There is no watermark for the same reason.  Events that need no booking (ignored
-types, failures, bad ids, unpaid sessions) are settled before the state.
+Every micro-batch is judged by the batch operator against the bookings as the
+earlier micro-batches left them, and its outcomes become one partition of a
+Parquet log.  So the stream gives what a replay gives, and a booking with very many
+events in one batch is spread like there.
+
+* What a booking is bound to never expires: it is the log's ``applied`` rows.  An
+  event may come however late, so there is no watermark, and a redelivered one is
+  a duplicate.
+* A batch that is run again, after a failure, overwrites its own partition and reads
+  only earlier ones: the log holds one outcome per event.
+* Of the bookings only the few columns needed are read, and only those the batch
+  touches are shuffled.  Of the log only ``applied`` partitions are read.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from lendlane.functions.columns import js_positive_id
-from lendlane.operators.payments import settled_outcome
-
-STATE_SCHEMA = "session string, paid boolean"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTCOME_SCHEMA = (
-    "event_id bigint, ts timestamp_ntz, type string, booking_id string, session_id string,"
-    " payment_intent string, outcome string"
-)
-EVENT_COLUMNS = ["event_id", "ts", "type", "booking_id", "session_id", "payment_intent"]
-
-
-class BookingPayments(StatefulProcessor):
-    """Judges the events of one booking by (ts, event_id)."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.booking = handle.getValueState("booking", STATE_SCHEMA)
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        first = initialState.iloc[0]
-        self.booking.update((first["session"], bool(first["paid"])))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if not self.booking.exists():
-            for chunk in rows:
-                yield self._judged(chunk, "unknown_booking")
-            return
-        session, paid = self.booking.get()
-        if not paid:
-            # which event is first is only known once the batch's rows are all here
-            batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
-            fits = batch["session_id"] == session if session else pd.Series(True, index=batch.index)
-            rows = [batch]
-            if fits.any():
-                winner = fits.idxmax()
-                session = batch["session_id"].iloc[winner] or None
-                self.booking.update((session, True))
-                yield self._judged(batch.iloc[[winner]], "applied")
-                rows = [batch.drop(index=winner)]
-        for chunk in rows:
-            if session:
-                other = chunk["session_id"] != session
-                yield self._judged(chunk[other], "session_mismatch")
-                chunk = chunk[~other]
-            yield self._judged(chunk, "duplicate")
-
-    def _judged(self, rows: pd.DataFrame, outcome: str) -> pd.DataFrame:
-        return rows[EVENT_COLUMNS].assign(outcome=outcome)
-
-    def close(self) -> None:
-        pass
-
-
-def payment_stream(events: DataFrame, bookings: DataFrame) -> DataFrame:
-    """Streaming events to outcomes of the events that concern a booking.
-
-    ``events`` has the columns of ``EVENT_COLUMNS`` and ``payment_status``.
-    """
-    pending = (
-        events.where(settled_outcome().isNull())
-        .select(js_positive_id("booking_id").alias("booking"), *EVENT_COLUMNS)
-    )
-    start = bookings.select(
-        F.col("id").alias("booking"),
-        F.nullif("stripe_checkout_session_id", F.lit("")).alias("session"),
-        F.coalesce(F.col("payment_status") == "paid", F.lit(False)).alias("paid"),
-    )
-    return pending.groupBy("booking").transformWithStateInPandas(
-        statefulProcessor=BookingPayments(),
-        outputStructType=OUTCOME_SCHEMA,
-        outputMode="Append",
-        timeMode="None",
-        initialState=start.groupBy("booking"),
-    )
+from lendlane.operators.payments import parse_events, payment_event_classify, settled_outcome
+from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy
+
 
+def json_event_source(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
+    """Event JSON, one document per line, as a stream of flat events in file order."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
+    return parse_events(lines, "value")
 
-def settled_stream(events: DataFrame) -> DataFrame:
-    """Outcomes of the events that concern no booking; needs no state."""
-    judged = events.withColumn("outcome", settled_outcome())
-    return judged.where(F.col("outcome").isNotNull()).select(*EVENT_COLUMNS, "outcome")
 
+def _log_schema(events: T.StructType) -> T.StructType:
+    return T.StructType(list(events.fields)).add("batch", T.LongType()).add("outcome", T.StringType())
 
-@contextmanager
-def _rocksdb(spark: SparkSession):
-    """This kind of state lives in RocksDB only; the session gets its setting back."""
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+
+def read_log(spark: SparkSession, log: str, events: T.StructType) -> DataFrame:
+    """All outcomes written so far, with the number of their batch."""
+    return spark.read.schema(_log_schema(events)).parquet(log)
+
+
+def bookings_after(bookings: DataFrame, applied: DataFrame, touched: DataFrame) -> DataFrame:
+    """State of the touched bookings after the applied events.  All three are unique per booking."""
+    bound = applied.select(
+        js_positive_id("booking_id").alias("id"), F.col("session_id").alias("_session"), F.lit(True).alias("_applied")
+    )
+    return (
+        bookings.select("id", "payment_status", "stripe_checkout_session_id")
+        .join(touched, "id", "left_semi")
+        .join(bound, "id", "left")
+        .select(
+            "id",
+            F.when(F.col("_applied"), "paid").otherwise(F.col("payment_status")).alias("payment_status"),
+            F.when(F.col("_applied"), F.col("_session")).otherwise(F.col("stripe_checkout_session_id"))
+            .alias("stripe_checkout_session_id"),
+        )
+    )
+
+
+def judge_batch(
+    batch: DataFrame, batch_id: int, bookings: DataFrame, log: str, policy: SkewPolicy = DEFAULT_POLICY
+) -> None:
+    """Classify one micro-batch and write its partition of the log."""
+    spark = batch.sparkSession
+    earlier = read_log(spark, log, batch.schema).where((F.col("batch") < batch_id) & (F.col("outcome") == "applied"))
+    batch = batch.persist()
     try:
-        yield
+        touched = (
+            batch.where(settled_outcome().isNull()).select(js_positive_id("booking_id").alias("id")).distinct()
+        )
+        outcomes = payment_event_classify(batch, bookings_after(bookings, earlier, touched), policy)
+        outcomes.write.mode("overwrite").partitionBy("outcome").parquet(f"{log}/batch={batch_id}")
     finally:
-        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+        batch.unpersist()
 
 
 def start_payment_stream(
-    events: DataFrame, bookings: DataFrame, log: str, checkpoint: str, drain: bool = True
-) -> list[StreamingQuery]:
-    """Write outcomes to a Parquet log, in two queries with their own checkpoints.
-
-    File sinks commit each batch once, so the log holds one outcome per event even
-    after a restart.  With ``drain`` the queries stop when the input is read.
+    events: DataFrame,
+    bookings: DataFrame,
+    log: str,
+    checkpoint: str,
+    drain: bool = True,
+    policy: SkewPolicy = DEFAULT_POLICY,
+) -> StreamingQuery:
+    """Judge streaming ``events`` into the Parquet ``log``.
+
+    One query at a time writes a log.  With ``drain`` the query stops once the input
+    there is has been read, else it goes on.
     """
     spark = events.sparkSession
-    queries = []
-    with _rocksdb(spark):
-        for name, outcomes in (("settled", settled_stream(events)), ("booked", payment_stream(events, bookings))):
-            writer = outcomes.writeStream.format("parquet").outputMode("append").option(
-                "checkpointLocation", f"{checkpoint}/{name}"
-            )
-            if drain:
-                writer = writer.trigger(availableNow=True)
-            queries.append(writer.start(f"{log}/{name}"))
-    return queries
-
-
-def read_log(spark: SparkSession, log: str) -> DataFrame:
-    """All outcomes written so far."""
-    return spark.read.schema(OUTCOME_SCHEMA).parquet(f"{log}/settled").unionByName(
-        spark.read.schema(OUTCOME_SCHEMA).parquet(f"{log}/booked")
-    )
+    # makes the folder, so that the first batch can read the empty log
+    empty = spark.createDataFrame([], _log_schema(events.schema))
+    empty.write.mode("append").partitionBy("batch", "outcome").parquet(log)
+    writer = events.writeStream.foreachBatch(
+        lambda batch, batch_id: judge_batch(batch, batch_id, bookings, log, policy)
+    ).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if drain else writer).start()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -148,15 +108,3 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lendlane-")
     return f"{root.rstrip('/')}/payments-{uuid.uuid4().hex}"
-
-
-def payment_stream_outcomes(f) -> DataFrame:
-    """The fixture events, run through the stream until drained."""
-    from lendlane.sources.fixtures import DRIVER_SCHEMAS, SPARK_TOKENS, _text
-
-    raw = f.spark.readStream.schema(DRIVER_SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(f.sf_dir)
-    events = f.spark.sql(_text("payment_events", SPARK_TOKENS), events=raw)
-    folder = shared_folder(f.spark)
-    for query in start_payment_stream(events, f.bookings, f"{folder}/log", f"{folder}/checkpoint"):
-        query.awaitTermination()
-    return read_log(f.spark, f"{folder}/log")
