@@ -80,7 +80,8 @@ def booking_admission(
 
     The busy guard is asked before the country gate.
     """
-    checked = guard_country(guard_busy(requests, trailers, row_id), hosts, config, policy, row_id, skew)
+    # joined the other way round, as the country lookup counts the rows it is given
+    checked = guard_busy(guard_country(requests, hosts, config, policy, row_id, skew), trailers, row_id)
     reason = (
         F.when(F.col("is_busy"), F.lit("busy_listing"))
         .when(~F.col("can_book"), F.concat(F.lit("country_blocked ("), F.col("gate_country"), F.lit(")")))

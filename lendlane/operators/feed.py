@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlane.functions.columns import blur, is_true, lower_or_empty, moment
+from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy, lookup_join
 
 # Booking states, in lower case, in which a listing is out on rent.
 RENTING_STATES = ["paid_confirmed", "in_progress"]
@@ -48,20 +49,30 @@ def currency_fallback(profile_currency: str, listing_currency: str) -> Column:
     return F.coalesce(F.col(profile_currency), F.col(listing_currency), F.lit("EUR"))
 
 
-def join_matching_or_alone(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+def join_matching_or_alone(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    right_id: str,
+    policy: SkewPolicy = DEFAULT_POLICY,
+) -> DataFrame:
     """Left outer join of unique left keys to a right side that may repeat a key a lot.
 
-    Done as an inner join, which adaptive execution can split on either side, plus
-    the left rows without a match.  A plain left outer join cannot be split on its
-    right side, so one hot key there would run in one task.
+    A plain left outer join cannot be split on its right side: one hot key there
+    would run in one task.  So the right rows look up their left row, spread where
+    a key is hot, and the left rows without a match are added.
     """
-    matched = left.join(right, F.col(left_key) == F.col(right_key), "inner")
+    keyed = left.withColumn(right_key, F.col(left_key))
+    matched = lookup_join(right, keyed, [right_key], [right_id], "inner", policy=policy)
     known = right.select(F.col(right_key).alias("_known")).distinct()
-    alone = left.join(known, F.col(left_key) == F.col("_known"), "left_anti")
+    alone = keyed.join(known, F.col(left_key) == F.col("_known"), "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)
 
 
-def listing_price_left_join(trailers: DataFrame, profiles: DataFrame) -> DataFrame:
+def listing_price_left_join(
+    trailers: DataFrame, profiles: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
+) -> DataFrame:
     """Listings with each of their active profiles; listings without one are kept.
 
     Here NULL counts as not active.  A listing with two active profiles comes
@@ -73,7 +84,7 @@ def listing_price_left_join(trailers: DataFrame, profiles: DataFrame) -> DataFra
         F.col("currency").alias("pp_currency"),
         *[F.col(c).alias(f"pp_{c}") for c in PROFILE_PRICES],
     )
-    return join_matching_or_alone(trailers, active, "id", "pp_trailer_id")
+    return join_matching_or_alone(trailers, active, "id", "pp_trailer_id", "pp_id", policy)
 
 
 def currently_rented(bookings: DataFrame, as_of) -> DataFrame:
@@ -89,7 +100,7 @@ def currently_rented(bookings: DataFrame, as_of) -> DataFrame:
     return running.where(F.col("trailer_id").isNotNull()).select("trailer_id").distinct()
 
 
-def _feed(trailers, profiles, bookings, as_of, show_busy: bool, exact_when_busy: bool) -> DataFrame:
+def _feed(trailers, profiles, bookings, as_of, policy, show_busy: bool, exact_when_busy: bool) -> DataFrame:
     # listings and rented ids are both unique per listing: no hot key in this join
     rented = currently_rented(bookings, as_of).select(F.col("trailer_id").alias("_rented_id"))
     listed = listing_status_filter(trailers)
@@ -106,7 +117,7 @@ def _feed(trailers, profiles, bookings, as_of, show_busy: bool, exact_when_busy:
     if show_busy:
         listed = is_busy_flag(listed)
     listed = coordinate_blur(listed, exact_when_busy)
-    priced = listing_price_left_join(listed, profiles)
+    priced = listing_price_left_join(listed, profiles, policy)
     return priced.select(
         *[c for c in LISTING_COLUMNS if c in trailers.columns],
         "latitude",
@@ -118,26 +129,34 @@ def _feed(trailers, profiles, bookings, as_of, show_busy: bool, exact_when_busy:
     )
 
 
-def public_feed_available(trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of) -> DataFrame:
+def public_feed_available(
+    trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of, policy: SkewPolicy = DEFAULT_POLICY
+) -> DataFrame:
     """First feed: active, available listings that are not out on rent."""
-    return _feed(trailers, profiles, bookings, as_of, show_busy=False, exact_when_busy=False)
+    return _feed(trailers, profiles, bookings, as_of, policy, show_busy=False, exact_when_busy=False)
 
 
-def public_feed_busy(trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of) -> DataFrame:
+def public_feed_busy(
+    trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of, policy: SkewPolicy = DEFAULT_POLICY
+) -> DataFrame:
     """Second feed: the first one plus busy-display listings, all blurred."""
-    return _feed(trailers, profiles, bookings, as_of, show_busy=True, exact_when_busy=False)
+    return _feed(trailers, profiles, bookings, as_of, policy, show_busy=True, exact_when_busy=False)
 
 
-def public_feed_current(trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of) -> DataFrame:
+def public_feed_current(
+    trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of, policy: SkewPolicy = DEFAULT_POLICY
+) -> DataFrame:
     """Current feed: the second one with exact coordinates for busy-display listings."""
-    return _feed(trailers, profiles, bookings, as_of, show_busy=True, exact_when_busy=True)
+    return _feed(trailers, profiles, bookings, as_of, policy, show_busy=True, exact_when_busy=True)
 
 
 def busy_share(feed: DataFrame) -> DataFrame:
     return feed.agg(F.count_if("is_busy").alias("busy"), F.count(F.lit(1)).alias("total"))
 
 
-def effective_price_list(trailers: DataFrame, profiles: DataFrame) -> DataFrame:
+def effective_price_list(
+    trailers: DataFrame, profiles: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
+) -> DataFrame:
     """Every listing with its profiles in force; here NULL counts as active."""
     active = profiles.where(F.coalesce(F.col("is_active"), F.lit(True))).select(
         F.col("trailer_id").alias("pp_trailer_id"),
@@ -146,7 +165,7 @@ def effective_price_list(trailers: DataFrame, profiles: DataFrame) -> DataFrame:
         *PROFILE_PRICES,
     )
     listed = trailers.select("id", "trailername", "price_per_hr")
-    joined = join_matching_or_alone(listed, active, "id", "pp_trailer_id")
+    joined = join_matching_or_alone(listed, active, "id", "pp_trailer_id", "profile_id", policy)
     # the profile id lets the range sort split a listing with very many profiles
     return joined.drop("pp_trailer_id").orderBy("id", F.col("profile_id").asc_nulls_last())
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lendlane.operators.config import generated_mirrors
+
 CONFIG_COLUMNS = [
     "currency", "country_status", "market_status", "booking_enabled", "payments_enabled",
     "payouts_enabled", "stripe_supported",
@@ -140,11 +142,9 @@ READINESS_CURRENT = [
 def country_readiness(config: DataFrame, policy: str = "open", form: str = "current") -> DataFrame:
     """Per country: all flags and both gates, sorted for reading.
 
-    A country code looks itself up, so no join is needed, except that a code not in
-    upper case finds the upper-case row or none.
+    The gates look a country up in upper case, so a code stored in lower case may
+    find another row than its own, or none.
     """
-    from lendlane.operators.config import generated_mirrors
-
     joined = with_config(config, "country_code", config)
     code = F.col("country_code")
     full = generated_mirrors(joined).withColumns({

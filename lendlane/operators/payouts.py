@@ -42,7 +42,11 @@ def payout_hosts(hosts: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def payout_plan(
-    bookings: DataFrame, hosts: DataFrame, config: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
+    bookings: DataFrame,
+    hosts: DataFrame,
+    config: DataFrame,
+    policy: SkewPolicy = DEFAULT_POLICY,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """What to do with each given booking: the first rule that stops it, else a transfer.
 
@@ -50,7 +54,7 @@ def payout_plan(
     then need one join, in which a host with very many bookings is spread.
     """
     wanted = bookings.select("id", "host_uid", "host_payout_amount", "payout_status", "currency")
-    joined = lookup_join(wanted, payout_hosts(hosts, config), ["host_uid"], ["id"], policy=policy)
+    joined = lookup_join(wanted, payout_hosts(hosts, config), ["host_uid"], ["id"], hot_from=hot_from, policy=policy)
     cents = js_round_cents(F.coalesce(F.col("host_payout_amount"), F.lit(0)))
     outcome = (
         F.when(F.col("payout_status") == "paid", "already_paid")
@@ -76,7 +80,7 @@ def payout_plan_manual(
 ) -> DataFrame:
     """Plan for chosen booking ids, due or not: failed payouts can be tried again here."""
     chosen = bookings.join(requested.select(F.col("booking_id").alias("_asked")), F.col("id") == F.col("_asked"), "left_semi")
-    return payout_plan(chosen, hosts, config, policy)
+    return payout_plan(chosen, hosts, config, policy, hot_from=bookings)
 
 
 def _results(results: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from lendlane.operators.gates import with_config
 from lendlane.operators.payouts import unique_hosts
 
 
-def market_tier() -> Column:
-    """Tier of a country by its configuration, in the columns ``with_config`` adds."""
+def market_tier(code: str, connect: str, currency: str) -> Column:
+    """Tier of a country by its configuration; unlisted where there is none."""
     return (
-        F.when(F.col("cfg_country_code").isNull(), "unlisted")
-        .when(~F.coalesce(F.col("cfg_stripe_connect_supported"), F.lit(False)), "manual_payout")
-        .when(F.lower("cfg_currency") == "eur", "euro_auto_payout")
+        F.when(F.col(code).isNull(), "unlisted")
+        .when(~F.coalesce(F.col(connect), F.lit(False)), "manual_payout")
+        .when(F.lower(currency) == "eur", "euro_auto_payout")
         .otherwise("live_non_euro")
     )
 
@@ -23,16 +23,14 @@ def market_tier_rollup(config: DataFrame, hosts: DataFrame, bookings: DataFrame)
 
     Bookings are summed per host before they meet the hosts, so no host is hot.
     """
-    columns = ["currency", "stripe_connect_supported"]
-    countries = (
-        with_config(config.select("country_code"), "country_code", config, columns)
-        .groupBy(market_tier().alias("tier")).agg(F.count(F.lit(1)).alias("countries"))
-    )
+    of_country = market_tier("country_code", "stripe_connect_supported", "currency")
+    countries = config.groupBy(of_country.alias("tier")).agg(F.count(F.lit(1)).alias("countries"))
+    of_host = market_tier("cfg_country_code", "cfg_stripe_connect_supported", "cfg_currency")
     value = bookings.groupBy("host_uid").agg(F.sum("total_price").alias("value"), F.count(F.lit(1)).alias("n"))
     known = hosts.groupBy("host_uid").agg(F.min_by("country_code", "id").alias("country_code"))
     per_tier = (
-        with_config(known.join(value, "host_uid", "left"), "country_code", config, columns)
-        .groupBy(market_tier().alias("tier"))
+        with_config(known.join(value, "host_uid", "left"), "country_code", config, ["currency", "stripe_connect_supported"])
+        .groupBy(of_host.alias("tier"))
         .agg(
             F.count(F.lit(1)).alias("hosts"),
             F.sum(F.coalesce("n", F.lit(0))).alias("bookings"),

@@ -60,6 +60,7 @@ def lookup_join(
     keys: Sequence[str],
     row_id: Sequence[str],
     how: str = "left",
+    hot_from: DataFrame | None = None,
     policy: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup``, which has at most one row per key.
@@ -67,11 +68,14 @@ def lookup_join(
     ``row_id`` names columns that tell fact rows apart; their hash picks the
     salt, so a retried task picks the same one.  Rows with a NULL key match
     nothing and are spread as well.  ``how`` is ``left`` or ``inner``.
+
+    Hot keys are looked for in ``hot_from``, if given: where ``facts`` is the result
+    of a join, the table it comes from is cheaper to count and does as well.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join cannot do a {how} join")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(facts, keys, policy))  # at most policy.max_hot rows
+    hot = F.broadcast(hot_keys(facts if hot_from is None else hot_from, keys, policy))  # at most policy.max_hot rows
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()

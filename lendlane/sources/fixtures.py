@@ -25,8 +25,13 @@ DRIVER_SCHEMAS = {
 }
 
 # @TS: a timestamp literal without time zone.  @FOUR: one row for each k in 0..3.
+# @PARTS, @SUPPLIERS: rows of these tables; for Spark the number itself.
+COUNTED = {"@PARTS": "part", "@SUPPLIERS": "supplier"}
 SPARK_TOKENS = {"@TS": "timestamp_ntz", "@FOUR": "lateral view explode(array(0, 1, 2, 3)) g as k"}
-ORACLE_TOKENS = {"@TS": "timestamp", "@FOUR": "cross join range(4) as g(k)"}
+ORACLE_TOKENS = {
+    "@TS": "timestamp", "@FOUR": "cross join range(4) as g(k)",
+    **{token: f"(select count(*) from {table})" for token, table in COUNTED.items()},
+}
 
 _PROFILE_RATES = """
  cast((p_partkey*(k+1)) % 8 as decimal(10,2)) as short_rental_price,
@@ -75,8 +80,8 @@ VIEWS = {
  case when s_suppkey % 7 = 0 then null else concat('acct_', cast(s_suppkey as varchar(20))) end as stripe_account_id,
  s_acctbal > 0 as payouts_enabled from {supplier}""",
     "trailers": """
- select p_partkey as id, p_partkey % (select count(*) from {supplier}) as host_id,
- concat('host_', cast(p_partkey % (select count(*) from {supplier}) as varchar(20))) as host_uid, p_name as trailername,
+ select p_partkey as id, p_partkey % @SUPPLIERS as host_id,
+ concat('host_', cast(p_partkey % @SUPPLIERS as varchar(20))) as host_uid, p_name as trailername,
  p_brand as model, p_type as main_category, p_size*50 as capacity_kg,
  case when p_partkey % 3 = 0 then concat('District ', cast(p_partkey % 7 as varchar(20)), ', City ', cast(p_partkey % 13 as varchar(20)))
   else concat('City ', cast(p_partkey % 13 as varchar(20))) end as location_name,
@@ -104,8 +109,8 @@ VIEWS = {
  case when k=3 then null else @TS '1998-01-01 00:00:00' end as updated_at
  from {part} @FOUR where p_partkey % 11 <> 5""",
     "bookings": """
- select o_orderkey+1 as id, (o_orderkey*7) % (select count(*) from {part}) as trailer_id,
- concat('host_', cast(((o_orderkey*7) % (select count(*) from {part})) % (select count(*) from {supplier}) as varchar(20))) as host_uid,
+ select o_orderkey+1 as id, (o_orderkey*7) % @PARTS as trailer_id,
+ concat('host_', cast(((o_orderkey*7) % @PARTS) % @SUPPLIERS as varchar(20))) as host_uid,
  case o_orderkey % 5 when 0 then null when 1 then '' else 'Box' end as trailer_type,
  case o_orderstatus when 'F' then 'completed' when 'O' then 'Paid_Confirmed'
   else case when o_orderkey % 2 = 0 then 'in_progress' else null end end as status,
@@ -142,7 +147,7 @@ VIEWS = {
  from (values (0,0.0060,0.0040),(1,-0.0040,0.0080),(2,0.0080,-0.0040),(3,-0.0060,-0.0060),(4,0.0100,0.0030),(5,0.0030,-0.0090))
  as o(i,dlat,dlng)""",
     "listing_batch": """
- select p_partkey as seq, p_partkey % (select count(*) from {supplier}) as host_id, p_name as trailername, p_brand as model,
+ select p_partkey as seq, p_partkey % @SUPPLIERS as host_id, p_name as trailername, p_brand as model,
  case when p_partkey % 2 = 0 then concat('City ', cast(p_partkey % 13 as varchar(20)))
   when p_partkey % 41 = 0 then null
   else concat('New ', cast(p_partkey % 50 as varchar(20))) end as location_name,
@@ -170,7 +175,7 @@ VIEWS = {
  select o_orderkey+1 as booking_id from {orders} where o_orderkey % 8 in (1,5)""",
     "onboard_requests": """
  select c_custkey as request_id, case c_custkey % 9 when 0 then null when 1 then 'host_missing'
-  else concat('host_', cast(c_custkey % (select count(*) from {supplier}) as varchar(20))) end as host_uid,
+  else concat('host_', cast(c_custkey % @SUPPLIERS as varchar(20))) end as host_uid,
  case c_custkey % 4 when 0 then null when 1 then '' when 2 then ' nb ' else 'NF' end as country,
  case c_custkey % 5 when 0 then null when 1 then '' when 2 then c_name
   else concat(' ', c_name, ' ', c_mktsegment, ' jr ') end as full_name from {customer}""",
@@ -212,12 +217,17 @@ class Fixtures:
         self.sf_dir = sf_dir.rstrip("/")
         self.table = lru_cache(maxsize=None)(self._table)
         self.view = lru_cache(maxsize=None)(self._view)
+        self.rows = lru_cache(maxsize=None)(lambda name: self.table(name).count())
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _spark_text(self, name: str) -> str:
+        counts = {token: str(self.rows(t)) for token, t in COUNTED.items() if token in VIEWS[name]}
+        return _text(name, {**SPARK_TOKENS, **counts})
+
     def _view(self, name: str) -> DataFrame:
-        return self.spark.sql(_text(name, SPARK_TOKENS), **{t: self.table(t) for t in base_tables(name)})
+        return self.spark.sql(self._spark_text(name), **{t: self.table(t) for t in base_tables(name)})
 
     def stream(self, name: str, table: str) -> DataFrame:
         """A view over one table, read as a stream."""
@@ -225,7 +235,7 @@ class Fixtures:
             self.spark.readStream.schema(DRIVER_SCHEMAS[table])
             .option("pathGlobFilter", f"{table}.parquet").parquet(self.sf_dir)
         )
-        return self.spark.sql(_text(name, SPARK_TOKENS), **{table: raw})
+        return self.spark.sql(self._spark_text(name), **{table: raw})
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
