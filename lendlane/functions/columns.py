@@ -90,8 +90,8 @@ def js_number(column: str | Column) -> Column:
 def js_positive_id(column: str | Column) -> Column:
     """Text id to bigint; NULL unless ``Number(text)`` is an integer above zero.
 
-    Nearly all ids are plain digits, which one pattern reads, exactly above 2**53
-    too; forms such as ``1e3`` or ``0x1F`` are looked at only where such letters are.
+    Nearly all ids are plain digits, which a cast reads; the patterns are tried
+    only on the rest: other blanks, ``12.0``, and forms such as ``1e3`` or ``0x1F``.
     """
     text = _col(column)
     scientific = _whole(text, JS_NUMBERS[10]).try_cast("decimal(38,18)")
@@ -99,10 +99,12 @@ def js_positive_id(column: str | Column) -> Column:
         F.nullif(F.conv(F.nullif(_whole(text, JS_NUMBERS[radix]), F.lit("")), radix, 10).try_cast("bigint"), F.lit(0))
         for radix in (16, 8, 2)
     ]
-    return F.coalesce(
+    rest = F.coalesce(
         _whole(text, PLAIN_POSITIVE).try_cast("bigint"),
         F.when(text.rlike("[eExXoObB]"), F.coalesce(*unusual)),
     )
+    plain = text.try_cast("bigint")
+    return F.when(plain.isNotNull(), F.when(plain > 0, plain)).otherwise(rest)
 
 
 def js_round_cents(amount: str | Column) -> Column:

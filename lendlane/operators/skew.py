@@ -80,15 +80,11 @@ def lookup_join(
     for k in keys:
         some_null = some_null | F.col(k).isNull()
     spread = F.pmod(F.xxhash64(*row_id), F.lit(policy.salts)).cast("int")
-    salted_facts = (
-        facts.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | some_null, spread).otherwise(F.lit(0)))
-        .drop("_hot")
+    salted_facts = facts.join(hot, keys, "left").select(
+        *facts.columns, F.when(F.col("_hot") | some_null, spread).otherwise(F.lit(0)).alias("_salt")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(policy.salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_lookup = (
-        lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
+    salted_lookup = lookup.join(hot, keys, "left").select(*lookup.columns, F.explode(copies).alias("_salt"))
     return salted_facts.join(salted_lookup, keys + ["_salt"], how).drop("_salt")
 
 

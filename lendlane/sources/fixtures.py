@@ -241,3 +241,9 @@ class Fixtures:
         if name in VIEWS:
             return self.view(name)
         raise AttributeError(name)
+
+
+@lru_cache(maxsize=16)
+def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
+    """The views of a directory, put together once per session; they hold plans, not data."""
+    return Fixtures(spark, sf_dir)
