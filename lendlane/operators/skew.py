@@ -110,7 +110,9 @@ def id_buckets(column: str | Column, descending: bool = False) -> list[Column]:
     Two levels keep the number of buckets under one parent small for sparse
     ids too.
     """
-    value = F.col(column) if isinstance(column, str) else column
+    # never NULL, to the optimizer too: else the joins below would filter the counts for
+    # NULL each in their own way, and Spark could not use one shuffle of them for all
+    value = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(-(2**62)))
     if descending:
         value = F.bitwise_not(value)  # ~x = -x-1: turns the order round, cannot overflow
     return [F.shiftright(value, 40), F.shiftright(value, 20)]
@@ -168,20 +170,23 @@ def _rank_by_buckets(df, groups, order, buckets, name) -> DataFrame:
     # a struct key makes NULL group values equal each other in the joins below
     key = F.struct(*groups) if groups else F.lit(0)
     rows = df.withColumns({"_g": key, **dict(zip(levels, buckets))})
+    # rows per bucket, and rows in earlier buckets under the same parent; then up a level
     sizes = rows.groupBy("_g", *levels).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_g", *levels, F.lit(0).cast("bigint").alias("_before"))
+    before = None
     for depth in range(len(levels), 0, -1):
-        path = levels[:depth]
-        siblings = Window.partitionBy("_g", *path[:-1]).orderBy(path[-1]).rowsBetween(Window.unboundedPreceding, -1)
-        step = (
-            sizes.groupBy("_g", *path).agg(F.sum("_n").alias("_n"))
-            .select("_g", *path, F.coalesce(F.sum("_n").over(siblings), F.lit(0)).alias("_step"))
-        )
-        before = before.join(step, ["_g", *path]).withColumn("_before", F.col("_before") + F.col("_step")).drop("_step")
+        path, parent = levels[:depth], levels[: depth - 1]
+        siblings = Window.partitionBy("_g", *parent).orderBy(path[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        step = sizes.select("_g", *path, F.coalesce(F.sum("_n").over(siblings), F.lit(0)).alias("_step"))
+        if before is None:
+            before = step.withColumnRenamed("_step", "_before")
+        else:
+            before = before.join(step, ["_g", *path]).select(
+                "_g", *levels, (F.col("_before") + F.col("_step")).alias("_before")
+            )
+        sizes = sizes.groupBy("_g", *parent).agg(F.sum("_n").alias("_n"))
     inside = F.row_number().over(Window.partitionBy("_g", *levels).orderBy(*order))
     return (
         rows.withColumn("_inside", inside)
         .join(before, ["_g", *levels])
-        .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
-        .drop("_g", "_inside", "_before", *levels)
+        .select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(name))
     )

@@ -8,24 +8,31 @@ events in one batch is spread like there.
 * What a booking is bound to never expires: it is the log's ``applied`` rows.  An
   event may come however late, so there is no watermark, and a redelivered one is
   a duplicate.
-* A batch that is run again, after a failure, overwrites its own partition and reads
-  only earlier ones: the log holds one outcome per event.
+* So that a batch need not read the whole log, the bound bookings are gathered into a
+  snapshot every so many batches; a batch reads the last snapshot and the few log
+  partitions since.  Two snapshots take turns, so there are never more.
+* A batch that is run again after a failure reads only what earlier batches left, and
+  overwrites its own partition: the log holds one outcome per event.
 * Of the bookings only the few columns needed are read, and only those the batch
-  touches are shuffled.  Of the log only ``applied`` partitions are read.
+  touches are shuffled.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lendlane.functions.columns import js_positive_id
 from lendlane.operators.payments import parse_events, payment_event_classify, settled_outcome
 from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy
 
+BOUND_SCHEMA = "id bigint, session_id string"
+
 
 def json_event_source(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Event JSON, one document per line, as a stream of flat events in file order."""
@@ -33,24 +40,58 @@ def json_event_source(spark: SparkSession, folder: str, max_files: int = 1000) -
     return parse_events(lines, "value")
 
 
-def _log_schema(events: T.StructType) -> T.StructType:
-    return T.StructType(list(events.fields)).add("batch", T.LongType()).add("outcome", T.StringType())
+@dataclass(frozen=True)
+class OutcomeLog:
+    """Where outcomes and snapshots are, and after how many batches one is made.
+
+    Keep ``snapshot_every`` as it is for the life of a log.
+    """
 
+    folder: str
+    snapshot_every: int = 100
 
-def read_log(spark: SparkSession, log: str, events: T.StructType) -> DataFrame:
-    """All outcomes written so far, with the number of their batch."""
-    return spark.read.schema(_log_schema(events)).parquet(log)
+    def partition(self, batch_id: int) -> str:
+        return f"{self.folder}/outcomes/batch={batch_id}"
 
+    def snapshot(self, number: int) -> str:
+        return f"{self.folder}/bound-every-{self.snapshot_every}/slot={number % 2}"
 
-def bookings_after(bookings: DataFrame, applied: DataFrame, touched: DataFrame) -> DataFrame:
-    """State of the touched bookings after the applied events.  All three are unique per booking."""
-    bound = applied.select(
-        js_positive_id("booking_id").alias("id"), F.col("session_id").alias("_session"), F.lit(True).alias("_applied")
-    )
+    def read(self, spark: SparkSession) -> DataFrame:
+        """All outcomes written so far, with the number of their batch."""
+        return spark.read.parquet(f"{self.folder}/outcomes")
+
+    def _applied(self, spark: SparkSession, batches: range) -> DataFrame:
+        """Bookings bound in these batches; no other partition is even listed."""
+        if not batches:
+            return spark.createDataFrame([], BOUND_SCHEMA)
+        outcomes = spark.read.option("basePath", f"{self.folder}/outcomes").schema(
+            "booking_id string, session_id string, batch bigint, outcome string"
+        )
+        found = outcomes.parquet(*[self.partition(b) for b in batches]).where(F.col("outcome") == "applied")
+        return found.select(js_positive_id("booking_id").alias("id"), "session_id")
+
+    def bound(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Bookings bound by the batches before ``batch_id``: at most one row each."""
+        number, every = batch_id // self.snapshot_every, self.snapshot_every
+        if number == 0:
+            return self._applied(spark, range(batch_id))
+        if batch_id == number * every:
+            # the snapshot before this one is in the other slot: a second try finds it whole
+            rows = self._applied(spark, range(batch_id - every, batch_id))
+            if number > 1:
+                rows = rows.unionByName(spark.read.schema(BOUND_SCHEMA).parquet(self.snapshot(number - 1)))
+            rows.write.mode("overwrite").parquet(self.snapshot(number))
+        recent = self._applied(spark, range(number * every, batch_id))
+        return spark.read.schema(BOUND_SCHEMA).parquet(self.snapshot(number)).unionByName(recent)
+
+
+def bookings_after(bookings: DataFrame, bound: DataFrame, touched: DataFrame) -> DataFrame:
+    """State of the touched bookings after the earlier batches.  All three are unique per booking."""
+    applied = bound.select("id", F.col("session_id").alias("_session"), F.lit(True).alias("_applied"))
     return (
         bookings.select("id", "payment_status", "stripe_checkout_session_id")
         .join(touched, "id", "left_semi")
-        .join(bound, "id", "left")
+        .join(applied, "id", "left")
         .select(
             "id",
             F.when(F.col("_applied"), "paid").otherwise(F.col("payment_status")).alias("payment_status"),
@@ -61,41 +102,35 @@ def bookings_after(bookings: DataFrame, applied: DataFrame, touched: DataFrame)
 
 
 def judge_batch(
-    batch: DataFrame, batch_id: int, bookings: DataFrame, log: str, policy: SkewPolicy = DEFAULT_POLICY
+    batch: DataFrame, batch_id: int, bookings: DataFrame, log: OutcomeLog, policy: SkewPolicy = DEFAULT_POLICY
 ) -> None:
     """Classify one micro-batch and write its partition of the log."""
-    spark = batch.sparkSession
-    earlier = read_log(spark, log, batch.schema).where((F.col("batch") < batch_id) & (F.col("outcome") == "applied"))
     batch = batch.persist()
     try:
-        touched = (
-            batch.where(settled_outcome().isNull()).select(js_positive_id("booking_id").alias("id")).distinct()
-        )
-        outcomes = payment_event_classify(batch, bookings_after(bookings, earlier, touched), policy)
-        outcomes.write.mode("overwrite").partitionBy("outcome").parquet(f"{log}/batch={batch_id}")
+        touched = batch.where(settled_outcome().isNull()).select(js_positive_id("booking_id").alias("id")).distinct()
+        state = bookings_after(bookings, log.bound(batch.sparkSession, batch_id), touched)
+        outcomes = payment_event_classify(batch, state, policy)
+        outcomes.write.mode("overwrite").partitionBy("outcome").parquet(log.partition(batch_id))
     finally:
         batch.unpersist()
 
 
 def start_payment_stream(
     events: DataFrame,
-    bookings: DataFrame,
-    log: str,
+    bookings: Callable[[SparkSession], DataFrame],
+    log: OutcomeLog,
     checkpoint: str,
     drain: bool = True,
     policy: SkewPolicy = DEFAULT_POLICY,
 ) -> StreamingQuery:
-    """Judge streaming ``events`` into the Parquet ``log``.
+    """Judge streaming ``events`` into the log.
 
+    ``bookings`` is called for each batch, so that bookings made meanwhile are found.
     One query at a time writes a log.  With ``drain`` the query stops once the input
     there is has been read, else it goes on.
     """
-    spark = events.sparkSession
-    # makes the folder, so that the first batch can read the empty log
-    empty = spark.createDataFrame([], _log_schema(events.schema))
-    empty.write.mode("append").partitionBy("batch", "outcome").parquet(log)
     writer = events.writeStream.foreachBatch(
-        lambda batch, batch_id: judge_batch(batch, batch_id, bookings, log, policy)
+        lambda batch, batch_id: judge_batch(batch, batch_id, bookings(batch.sparkSession), log, policy)
     ).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer).start()
 

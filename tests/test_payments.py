@@ -120,15 +120,15 @@ def document(event, as_object):
         "payment_intent": {"id": intent} if as_object else intent}}})
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_stream_in_several_batches_equals_the_replay(spark, frame, tmp_path, seed):
+@pytest.mark.parametrize("seed,every", [(0, 2), (1, 1), (2, 100)])
+def test_stream_in_several_batches_equals_the_replay(spark, frame, tmp_path, seed, every):
     bookings, events = random_world(seed)
     events = sorted(events, key=lambda e: (e[1], e[0]))
     # batches split between moments, so arrival order is time order
-    cuts = ["2026-01-01 00:15:00", "2026-01-01 00:16:00", "2026-01-01 00:45:00", "2027-01-01 00:00:00"]
-    source, log, checkpoint = (tmp_path / d for d in ("in", "log", "checkpoint"))
+    cuts = [f"2026-01-01 00:{m}:00" for m in (15, 16, 40, 45, 50)] + ["2027-01-01 00:00:00"]
+    source, checkpoint = tmp_path / "in", tmp_path / "checkpoint"
     source.mkdir()
-    owned = frame(BOOKING, *bookings)
+    owned, log = frame(BOOKING, *bookings), stream.OutcomeLog(str(tmp_path / "log"), every)
     done = 0
     for n, cut in enumerate(cuts):
         part = [e for e in events[done:] if e[1] < cut]
@@ -136,26 +136,39 @@ def test_stream_in_several_batches_equals_the_replay(spark, frame, tmp_path, see
         (source / f"part-{n}.json").write_text("\n".join(document(e, e[0] % 2 == 0) for e in part) + "\n")
         if n % 2:  # two files per start; the query goes on from its checkpoint
             flat = stream.json_event_source(spark, str(source), max_files=1)
-            stream.start_payment_stream(flat, owned, str(log), str(checkpoint), policy=EAGER).awaitTermination()
-    got = stream.read_log(spark, str(log), flat.schema)
+            stream.start_payment_stream(flat, lambda _: owned, log, str(checkpoint), policy=EAGER).awaitTermination()
+    got = log.read(spark)
     expected, _ = judge(bookings, events)
     assert column(got, "outcome", "event_id") == {f"evt_{i:05d}": o for i, o in expected.items()}
-    assert got.count() == len(events) and got.select("batch").distinct().count() == 4
+    assert got.count() == len(events) and got.select("batch").distinct().count() == 6
     assert got.where("payment_intent_id not like 'pi_%'").count() == 0
 
 
 def test_a_batch_run_twice_leaves_one_outcome_per_event(spark, frame, tmp_path):
     bookings, events = random_world(3, 60)
-    batch, owned, log = frame(EVENT, *events), frame(BOOKING, *bookings), str(tmp_path / "log")
-    empty = spark.createDataFrame([], stream._log_schema(batch.schema))
-    empty.write.mode("append").partitionBy("batch", "outcome").parquet(log)
-    for n in (0, 0, 1, 0, 1):
+    batch, owned, log = frame(EVENT, *events), frame(BOOKING, *bookings), stream.OutcomeLog(str(tmp_path / "log"), 2)
+    for n in (0, 0, 1, 2, 2, 3, 4, 4):
         stream.judge_batch(batch, n, owned, log)
-    first = stream.read_log(spark, log, batch.schema).where("batch = 0")
+    first = log.read(spark).where("batch = 0")
     assert column(first, "outcome", "event_id") == judge(bookings, sorted(events, key=lambda e: (e[1], e[0])))[0]
     # the same events delivered again find every booking paid
-    again = stream.read_log(spark, log, batch.schema).where("batch = 1")
-    assert again.where("outcome = 'applied'").count() == 0 and again.count() == 60
+    for n in range(1, 5):
+        again = log.read(spark).where(f"batch = {n}")
+        assert again.where("outcome = 'applied'").count() == 0 and again.count() == 60
+
+
+def test_bookings_made_meanwhile_are_found(spark, frame, tmp_path):
+    event = (1, "2026-01-01 00:00:00", DONE, "7", "paid", "s", "pi_1")
+    source = tmp_path / "in"
+    source.mkdir()
+    log, made = stream.OutcomeLog(str(tmp_path / "log")), []
+    for n in range(2):
+        (source / f"part-{n}.json").write_text(document((n, *event[1:]), False) + "\n")
+        flat = stream.json_event_source(spark, str(source), max_files=1)
+        stream.start_payment_stream(
+            flat, lambda _: frame(BOOKING, *made), log, str(tmp_path / "checkpoint")).awaitTermination()
+        made.append((7, "x", None, None, 1, "eur"))
+    assert column(log.read(spark), "outcome", "event_id") == {"evt_00000": "unknown_booking", "evt_00001": "applied"}
 
 
 def test_shared_folder_comes_from_the_session(spark):
