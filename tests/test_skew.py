@@ -30,12 +30,12 @@ def test_lookup_join_equals_plain_join(frame):
     f = facts(frame)
     lookup = frame("k bigint, w string", *[(i, f"w{i}") for i in range(0, 60, 2)], (1, "w1"), (None, "never"))
     for how in ("left", "inner"):
-        joined = lookup_join(f, lookup, ["k"], ["id"], how, EAGER)
+        joined = lookup_join(f, lookup, ["k"], ["id"], how, policy=EAGER)
         assert same(joined.select("id", "k", "v", "w"), f.join(lookup, "k", how).select("id", "k", "v", "w"))
 
 
 def test_hot_rows_are_spread(frame):
-    plan = lookup_join(facts(frame), frame("k bigint, w string", (1, "a")), ["k"], ["id"], "left", EAGER)
+    plan = lookup_join(facts(frame), frame("k bigint, w string", (1, "a")), ["k"], ["id"], "left", policy=EAGER)
     assert "_salt" in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
