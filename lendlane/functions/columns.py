@@ -90,21 +90,19 @@ def js_number(column: str | Column) -> Column:
 def js_positive_id(column: str | Column) -> Column:
     """Text id to bigint; NULL unless ``Number(text)`` is an integer above zero.
 
-    Nearly all ids are plain digits, which a cast reads; the patterns are tried
-    only on the rest: other blanks, ``12.0``, and forms such as ``1e3`` or ``0x1F``.
+    Nearly all ids are plain digits, which a cast reads; the patterns are tried only on
+    the rest.  Each form appears once, to keep the generated code small enough for the
+    JVM to compile.
     """
     text = _col(column)
-    scientific = _whole(text, JS_NUMBERS[10]).try_cast("decimal(38,18)")
-    unusual = [F.when((scientific > 0) & (scientific % 1 == 0), scientific.try_cast("bigint"))] + [
+    # as decimal text, 1.5e1 is 15.000…: whole if only zeros follow the point
+    decimal = _whole(text, JS_NUMBERS[10]).try_cast("decimal(38,18)").cast("string")
+    forms = [_whole(decimal, PLAIN_POSITIVE).try_cast("bigint")] + [
         F.nullif(F.conv(F.nullif(_whole(text, JS_NUMBERS[radix]), F.lit("")), radix, 10).try_cast("bigint"), F.lit(0))
         for radix in (16, 8, 2)
     ]
-    rest = F.coalesce(
-        _whole(text, PLAIN_POSITIVE).try_cast("bigint"),
-        F.when(text.rlike("[eExXoObB]"), F.coalesce(*unusual)),
-    )
     plain = text.try_cast("bigint")
-    return F.when(plain.isNotNull(), F.when(plain > 0, plain)).otherwise(rest)
+    return F.when(plain > 0, plain).when(plain.isNull(), F.coalesce(*forms))
 
 
 def js_round_cents(amount: str | Column) -> Column:

@@ -38,15 +38,37 @@ def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
     return payment_intent_extract(flat).drop("payment_intent")
 
 
-def settled_outcome(booking: Column | None = None) -> Column:
-    """Outcome of events that no booking needs to be looked up for; NULL for the rest."""
-    booking = js_positive_id("booking_id") if booking is None else booking
-    return (
+def _confirms() -> Column:
+    return F.coalesce(F.col("type").isin(SUCCESS_TYPES), F.lit(False))
+
+
+def _is_paid() -> Column:
+    return F.coalesce(F.col("payment_status") == "paid", F.lit(False))
+
+
+def pending_events(events: DataFrame) -> DataFrame:
+    """Events that may confirm a booking, with its id in ``_booking``: -1 if unreadable.
+
+    A missing session counts as an empty one: both differ from any stored session,
+    and neither binds.  Both columns are never NULL, to the optimizer too, so that
+    the steps below share one shuffle.
+    """
+    return events.where(_confirms() & _is_paid()).select(
+        *events.columns,
+        F.coalesce(js_positive_id("booking_id"), F.lit(-1)).alias("_booking"),
+        F.coalesce("session_id", F.lit("")).alias("_session"),
+    )
+
+
+def settled_events(events: DataFrame) -> DataFrame:
+    """Outcomes of the other events: no booking needs to be looked up for them."""
+    outcome = (
         F.when(F.col("type") == FAILURE_TYPE, "failed")
-        .when(~F.coalesce(F.col("type").isin(SUCCESS_TYPES), F.lit(False)), "ignored")
-        .when(booking.isNull(), "bad_metadata")
-        .when(~F.coalesce(F.col("payment_status") == "paid", F.lit(False)), "awaiting_payment")
+        .when(~_confirms(), "ignored")
+        .when(js_positive_id("booking_id").isNull(), "bad_metadata")
+        .otherwise("awaiting_payment")
     )
+    return events.where(~(_confirms() & _is_paid())).select(*events.columns, outcome.alias("outcome"))
 
 
 def _deciding_state(pending: DataFrame, bookings: DataFrame) -> DataFrame:
@@ -56,19 +78,17 @@ def _deciding_state(pending: DataFrame, bookings: DataFrame) -> DataFrame:
     the join key, so a booking or session with very many events costs no
     more than any other.
     """
-    firsts = pending.groupBy("_booking", "session_id").agg(
-        F.min(F.struct("ts", "event_id")).alias("first")
-    )
+    firsts = pending.groupBy("_booking", "_session").agg(F.min(F.struct("ts", "event_id")).alias("first"))
     per_booking = firsts.groupBy("_booking").agg(
-        F.min(F.struct("first.ts", "first.event_id", "session_id")).alias("first_any")
+        F.min(F.struct("first.ts", "first.event_id", "_session")).alias("first_any")
     )
     stored = bookings.select(
         F.col("id").alias("_booking"),
         F.lit(True).alias("known"),
         empty_to_null("stripe_checkout_session_id").alias("stored_session"),
-        F.coalesce(F.col("payment_status") == "paid", F.lit(False)).alias("was_paid"),
+        _is_paid().alias("was_paid"),
     )
-    first_of_session = firsts.select("_booking", F.col("session_id").alias("stored_session"), F.col("first").alias("first_bound"))
+    first_of_session = firsts.select("_booking", F.col("_session").alias("stored_session"), F.col("first").alias("first_bound"))
     state = per_booking.join(stored, "_booking", "left").join(first_of_session, ["_booking", "stored_session"], "left")
     unbound = F.col("stored_session").isNull()
     first_any = F.struct(F.col("first_any.ts").alias("ts"), F.col("first_any.event_id").alias("event_id"))
@@ -77,7 +97,7 @@ def _deciding_state(pending: DataFrame, bookings: DataFrame) -> DataFrame:
         "known",
         # a booking that starts paid never binds a session
         F.when(F.col("was_paid") | ~unbound, F.col("stored_session"))
-        .otherwise(empty_to_null(F.col("first_any.session_id"))).alias("bound"),
+        .otherwise(empty_to_null(F.col("first_any._session"))).alias("bound"),
         F.when(~F.col("was_paid"), F.when(unbound, first_any).otherwise(F.col("first_bound"))).alias("winner"),
     )
 
@@ -91,22 +111,17 @@ def payment_event_classify(
     session, unless a session is stored already.  Events of another session are
     mismatches, the rest duplicates.  ``(ts, event_id)`` names a delivery.
     """
-    judged = events.withColumn("_booking", js_positive_id("booking_id")).withColumn(
-        "_settled", settled_outcome(F.col("_booking"))
-    )
-    settled = judged.where(F.col("_settled").isNotNull()).select(*events.columns, F.col("_settled").alias("outcome"))
-    pending = judged.where(F.col("_settled").isNull()).drop("_settled")
-    state = _deciding_state(pending, bookings)
-    joined = lookup_join(pending, state, ["_booking"], ["event_id"], policy=policy)
+    pending = pending_events(events)
+    joined = lookup_join(pending, _deciding_state(pending, bookings), ["_booking"], ["event_id"], policy=policy)
     mine = F.struct("ts", "event_id")
     outcome = (
-        F.when(F.col("known").isNull(), "unknown_booking")
+        F.when(F.col("_booking") == -1, "bad_metadata")
+        .when(F.col("known").isNull(), "unknown_booking")
         .when(F.coalesce(F.col("winner") == mine, F.lit(False)), "applied")
-        .when(F.col("bound").isNotNull() & ~F.col("session_id").eqNullSafe(F.col("bound")), "session_mismatch")
+        .when(F.col("_session") != F.col("bound"), "session_mismatch")
         .otherwise("duplicate")
     )
-    decided = joined.select(*events.columns, outcome.alias("outcome"))
-    return settled.unionByName(decided)
+    return settled_events(events).unionByName(joined.select(*events.columns, outcome.alias("outcome")))
 
 
 def payment_apply(bookings: DataFrame, classified: DataFrame, as_of) -> DataFrame:

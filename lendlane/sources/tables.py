@@ -55,10 +55,13 @@ def read_table(
 
 
 def write_bookings(bookings: DataFrame, path: str) -> None:
-    """Bookings partitioned by the month they start in."""
-    bookings.withColumn("start_month", F.date_format("start_at", "yyyy-MM")).write.mode("append").partitionBy(
-        "start_month"
-    ).parquet(path)
+    """Bookings partitioned by the month they start in.
+
+    Ranges over month and id give each task a share of one month or a few: neither
+    one file per task and month, nor one task for a busy month.
+    """
+    monthly = bookings.withColumn("start_month", F.date_format("start_at", "yyyy-MM"))
+    monthly.repartitionByRange("start_month", "id").write.mode("append").partitionBy("start_month").parquet(path)
 
 
 def read_bookings_until(spark: SparkSession, path: str, as_of: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lendlane.functions.columns import js_positive_id
-from lendlane.operators.payments import parse_events, payment_event_classify, settled_outcome
+from lendlane.operators.payments import parse_events, payment_event_classify, pending_events
 from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy
 
 BOUND_SCHEMA = "id bigint, session_id string"
@@ -107,7 +107,7 @@ def judge_batch(
     """Classify one micro-batch and write its partition of the log."""
     batch = batch.persist()
     try:
-        touched = batch.where(settled_outcome().isNull()).select(js_positive_id("booking_id").alias("id")).distinct()
+        touched = pending_events(batch).select(F.col("_booking").alias("id")).distinct()
         state = bookings_after(bookings, log.bound(batch.sparkSession, batch_id), touched)
         outcomes = payment_event_classify(batch, state, policy)
         outcomes.write.mode("overwrite").partitionBy("outcome").parquet(log.partition(batch_id))
