@@ -44,6 +44,19 @@ def touch(df: DataFrame, changed: Column, as_of) -> Column:
     return F.when(changed, now).otherwise(F.col("updated_at"))
 
 
+def epoch_micros(df: DataFrame, column: str) -> Column:
+    """A timestamp as microseconds, in order.
+
+    One without time zone is taken apart by the calendar: a cast to an instant would
+    follow the session's zone, where daylight saving turns an hour's order round.
+    """
+    value = F.col(column)
+    if df.schema[column].dataType.typeName() == "timestamp":
+        return F.unix_micros(value)
+    seconds = F.unix_date(value.cast("date")) * F.lit(86_400).cast("bigint") + F.hour(value) * 3600 + F.minute(value) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
+
+
 def is_true(column: str | Column) -> Column:
     """NULL counts as false."""
     return F.coalesce(_col(column), F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lendlane.functions.columns import empty_to_null, js_number, js_positive_id, js_round_cents, moment, touch
+from lendlane.functions.columns import empty_to_null, js_positive_id, js_round_cents, moment, touch
 from lendlane.operators.feed import busy_flag
 from lendlane.operators.gates import BOOKING_GATES, with_config
 from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy, lookup_join
@@ -145,15 +145,16 @@ def checkout_line_item(bookings: DataFrame, brand: str) -> DataFrame:
 
 def authorize_audit(requests: DataFrame) -> DataFrame:
     """Card authorisation requests: euro only, whole cents within the limits."""
-    cents = js_number("amount")
-    whole = F.coalesce(cents == F.floor(cents), F.lit(False))
+    cents = F.col("_cents")
     outcome = (
         F.when(F.lower(F.coalesce("currency", F.lit("eur"))) != "eur", "non_eur")
-        .when(~(whole & _in_range(cents)), "bad_amount")
+        .when(~_in_range(cents), "bad_amount")
         .otherwise("ok")
     )
-    return requests.withColumn("outcome", outcome).withColumn(
-        "amount_cents", F.when(F.col("outcome") == "ok", cents.cast("bigint"))
+    # an amount within the limits is a whole number above zero, as an id is
+    read = requests.withColumn("_cents", js_positive_id("amount")).withColumn("outcome", outcome)
+    return read.select(
+        *requests.columns, "outcome", F.when(F.col("outcome") == "ok", cents).alias("amount_cents")
     )
 
 

@@ -24,10 +24,11 @@ def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
     def at(path: str) -> Column:
         return F.get_json_object(F.col(body), path)
 
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     flat = raw.select(
         F.col("event_id") if "event_id" in raw.columns else at("$.id").alias("event_id"),
         F.col("ts") if "ts" in raw.columns
-        else F.timestamp_seconds(at("$.created").try_cast("bigint")).cast("timestamp_ntz").alias("ts"),
+        else (epoch + F.make_dt_interval(secs=at("$.created").try_cast("bigint"))).alias("ts"),
         at("$.type").alias("type"),
         at("$.data.object.metadata.booking_id").alias("booking_id"),
         at("$.data.object.payment_status").alias("payment_status"),
@@ -103,13 +104,14 @@ def _deciding_state(pending: DataFrame, bookings: DataFrame) -> DataFrame:
 
 
 def payment_event_classify(
-    events: DataFrame, bookings: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
+    events: DataFrame, bookings: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, keep_booking: bool = False
 ) -> DataFrame:
     """One outcome per event, as if events were handled one by one by (ts, event_id).
 
     For a booking not paid yet, the first fitting event is applied and binds its
     session, unless a session is stored already.  Events of another session are
-    mismatches, the rest duplicates.  ``(ts, event_id)`` names a delivery.
+    mismatches, the rest duplicates.  ``(ts, event_id)`` names a delivery.  With
+    ``keep_booking`` the parsed id of pending events stays in ``_booking``.
     """
     pending = pending_events(events)
     joined = lookup_join(pending, _deciding_state(pending, bookings), ["_booking"], ["event_id"], policy=policy)
@@ -121,15 +123,17 @@ def payment_event_classify(
         .when(F.col("_session") != F.col("bound"), "session_mismatch")
         .otherwise("duplicate")
     )
-    return settled_events(events).unionByName(joined.select(*events.columns, outcome.alias("outcome")))
+    kept = ["_booking"] if keep_booking else []
+    decided = joined.select(*events.columns, *kept, outcome.alias("outcome"))
+    return decided.unionByName(settled_events(events), allowMissingColumns=True)
 
 
 def payment_apply(bookings: DataFrame, classified: DataFrame, as_of) -> DataFrame:
     """Bookings after the ``applied`` events: paid, confirmed, linked.  Price and currency never change."""
     intent = F.col("payment_intent_id") if "payment_intent_id" in classified.columns else F.lit(None).cast("string")
+    booking = F.col("_booking") if "_booking" in classified.columns else js_positive_id("booking_id")
     applied = (
-        classified.where(F.col("outcome") == "applied")
-        .groupBy(js_positive_id("booking_id").alias("_booking"))
+        classified.where(F.col("outcome") == "applied").groupBy(booking.alias("_booking"))
         .agg(F.min(F.struct("ts", "event_id", F.col("session_id").alias("session"), intent.alias("intent"))).alias("_e"))
     )
     hit = F.col("_booking").isNotNull()

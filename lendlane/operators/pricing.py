@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lendlane.functions.columns import moment, not_false, positive, touch
+from lendlane.functions.columns import epoch_micros, moment, not_false, positive, touch
 from lendlane.operators.skew import (
     DEFAULT_POLICY, SkewPolicy, attach_aggregates, id_buckets, rank_rows, time_buckets,
 )
@@ -84,7 +84,7 @@ def _candidates(profiles: DataFrame) -> DataFrame:
 
 def profile_rank(profiles: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
     """Rank of every active profile within its listing; 1 is the one to keep."""
-    day, part, instant = time_buckets("updated_at")
+    day, part, instant = time_buckets(epoch_micros(profiles, "updated_at"))
     ranked = rank_rows(
         _candidates(profiles),
         ["trailer_id"],
@@ -96,32 +96,23 @@ def profile_rank(profiles: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> Da
     return ranked.select("id", "trailer_id", "rn")
 
 
-def _best_of(*values: str) -> Column:
-    """Aggregate: ``values`` of the best-ranked row, as a struct.  Combines map-side."""
-    newest = F.coalesce(F.bitwise_not(F.unix_micros(F.col("updated_at").cast("timestamp"))), F.lit(2**62))
-    order = F.struct(_quality().alias("q"), newest.alias("u"), F.bitwise_not(F.col("id")).alias("i"))
-    return F.min_by(F.struct(*values), order)
+def _goodness() -> Column:
+    """The ranking turned round: the best row has the largest value.  NULL is smallest."""
+    return F.struct((-_quality()).alias("q"), F.col("updated_at").alias("u"), F.col("id").alias("i"))
 
 
 def best_profiles(profiles: DataFrame) -> DataFrame:
-    """The one profile in force per listing, chosen by the ranking of ``profile_rank``."""
+    """The one profile in force per listing, chosen by the ranking of ``profile_rank``.  Combines map-side."""
+    best = F.max_by(F.struct("id", "short_rental_price"), _goodness())
     return (
-        _candidates(profiles).groupBy(F.col("trailer_id").alias("best_trailer_id"))
-        .agg(_best_of("id", "short_rental_price").alias("b"))
+        _candidates(profiles).groupBy(F.col("trailer_id").alias("best_trailer_id")).agg(best.alias("b"))
         .select("best_trailer_id", F.col("b.id").alias("best_id"), F.col("b.short_rental_price").alias("best_price"))
     )
 
 
 def deactivate_duplicates(profiles: DataFrame, as_of, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
     """Switch off every active profile that is not its listing's best."""
-    best = F.min_by(
-        F.when(not_false("is_active"), F.col("id")),
-        F.when(not_false("is_active"), F.struct(
-            _quality().alias("q"),
-            F.coalesce(F.bitwise_not(F.unix_micros(F.col("updated_at").cast("timestamp"))), F.lit(2**62)).alias("u"),
-            F.bitwise_not(F.col("id")).alias("i"),
-        )),
-    ).alias("_best")
+    best = F.max_by("id", F.when(not_false("is_active"), _goodness())).alias("_best")
     joined = attach_aggregates(profiles, ["trailer_id"], [best], ["id"], policy)
     loser = F.col("trailer_id").isNotNull() & not_false("is_active") & (F.col("id") != F.col("_best"))
     return (

@@ -118,10 +118,8 @@ def id_buckets(column: str | Column, descending: bool = False) -> list[Column]:
     return [F.shiftright(value, 40), F.shiftright(value, 20)]
 
 
-def time_buckets(column: str | Column) -> list[Column]:
+def time_buckets(micros: Column) -> list[Column]:
     """Buckets for "newest first, NULL last": about 19 hours, a quarter second, a microsecond."""
-    value = F.col(column) if isinstance(column, str) else column
-    micros = F.unix_micros(value.cast("timestamp"))
     newest_first = F.coalesce(F.bitwise_not(micros), F.lit(2**62))
     return [F.shiftright(newest_first, 36), F.shiftright(newest_first, 18), newest_first]
 

@@ -54,10 +54,10 @@ def payment_replay(
     events: DataFrame, bookings: DataFrame, as_of, policy: SkewPolicy = DEFAULT_POLICY
 ) -> Replay:
     """All events judged, and the bookings they leave behind."""
-    outcomes = payment_event_classify(events, bookings, policy)
+    outcomes = payment_event_classify(events, bookings, policy, keep_booking=True)
     if "payment_intent" in events.columns:
         outcomes = payment_intent_extract(outcomes)
-    return Replay(outcomes, payment_apply(bookings, outcomes, as_of))
+    return Replay(outcomes.drop("_booking"), payment_apply(bookings, outcomes, as_of))
 
 
 def payout_run(

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lendlane.functions.columns import blur, js_number, js_positive_id, js_round_cents, js_trim, moment
+from lendlane.functions.columns import blur, epoch_micros, js_number, js_positive_id, js_round_cents, js_trim, moment
 
 
 def one(df, expression):
@@ -45,3 +45,20 @@ def test_blur_rounds_half_away_from_zero(frame):
 def test_moment_ignores_the_process_time_zone(spark):
     assert str(spark.range(1).select(moment("1998-06-15 00:00:00")).first()[0]) == "1998-06-15 00:00:00"
     assert dict(spark.range(1).select(moment("1998-06-15").alias("t")).dtypes)["t"] == "timestamp_ntz"
+
+
+def test_micros_keep_their_order_in_any_session_zone(spark, frame):
+    # 02:30 does not exist in Tallinn on that day, and an instant would put it after 03:10
+    moments = ["1969-12-31 23:59:59.999999", "2024-03-31 02:30:00", "2024-03-31 03:10:00.25", "2024-10-27 03:30:00.000001"]
+    df = frame("t timestamp_ntz", *[(m,) for m in moments], (None,))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    expected = [-1, 1_711_852_200_000_000, 1_711_854_600_250_000, 1_729_999_800_000_001, None]
+    try:
+        for name in ("UTC", "Europe/Tallinn"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert one(df, epoch_micros(df, "t")) == expected
+            assert one(df.select(F.col("t").cast("timestamp")), F.unix_micros("t"))[4] is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    instants = frame("t timestamp", ("2024-03-31 02:30:00",))
+    assert one(instants, epoch_micros(instants, "t")) == one(instants, F.unix_micros("t"))

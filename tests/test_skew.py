@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import Window, functions as F
 
+from lendlane.functions.columns import epoch_micros
 from lendlane.operators.skew import (
     SkewPolicy, attach_aggregates, hot_keys, id_buckets, lookup_join, rank_rows, time_buckets,
 )
@@ -71,6 +72,44 @@ def test_time_buckets_put_newest_first_and_null_last(frame):
     moments = ["2020-01-01 00:00:00.000001", "2020-01-01 00:00:00.000002", "1969-05-05 10:00:00", "2024-06-01 00:00:00", None]
     df = frame("id bigint, t timestamp_ntz", *[(i, m) for i, m in enumerate(moments * 3)])
     order = [F.col("t").desc_nulls_last(), F.col("id").desc()]
-    got = rank_rows(df, [], order, [*time_buckets("t"), *id_buckets("id", descending=True)], "rn")
+    got = rank_rows(df, [], order, [*time_buckets(epoch_micros(df, "t")), *id_buckets("id", descending=True)], "rn")
     want = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
     assert same(got.select("id", "t", "rn"), want)
+
+
+def test_plain_fact_joins_are_split_by_adaptive_execution(spark, frame, tmp_path):
+    """Joins of facts to plain tables rely on Spark splitting a hot key: see that it can."""
+    from lendlane.operators import admission, listings
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    hot = "if(id % 3 = 0, 5, id % 4000)"
+    spark.range(300_000).selectExpr(
+        "id", f"{hot} as trailer_id", f"cast({hot} + 1 as string) as booking_id", "id as event_id", "cast(null as string) as payment_status"
+    ).repartition(8).write.parquet(f"{tmp_path}/facts")
+    spark.range(4001).selectExpr(
+        "id", "true as busy_display", "false as is_available", "cast(id as decimal(16,5)) as total_price", "'eur' as currency",
+        "cast(null as string) as payment_status", "timestamp_ntz'2020-01-01' as starter_expires_at"
+    ).write.parquet(f"{tmp_path}/plain")
+    facts, plain = spark.read.parquet(f"{tmp_path}/facts"), spark.read.parquet(f"{tmp_path}/plain")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        jobs = {
+            "guard_busy": admission.guard_busy(facts, plain),
+            "checkout": admission.checkout_audit(facts.select("event_id", "booking_id"), plain),
+            "unpaid": admission.unpaid_busy_bookings(facts, plain),
+            "unpaid kept": admission.unpaid_busy_bookings(facts, plain, keep=True),
+            "expired": listings.expired_profiles(plain, facts, "2021-01-01"),
+        }
+        for name, df in jobs.items():
+            df.collect()
+            assert "SortMergeJoin(skew=true)" in df._jdf.queryExecution().executedPlan().toString(), name
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
