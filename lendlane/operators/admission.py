@@ -170,9 +170,9 @@ def cancel_fee_audit(requests: DataFrame) -> DataFrame:
 
 def session_link(bookings: DataFrame, sessions: DataFrame, as_of) -> DataFrame:
     """Write each new session id to its booking.  With several, the last by ``created_seq`` stays."""
-    order = "created_seq" if "created_seq" in sessions.columns else "session_id"
+    order = F.col("created_seq") if "created_seq" in sessions.columns else F.lit(0)
     last = sessions.groupBy(F.col("booking_id").alias("_booking")).agg(
-        F.max_by("session_id", order).alias("_session")
+        F.max_by("session_id", F.struct(order.alias("o"), F.col("session_id").alias("s"))).alias("_session")
     )
     linked = F.col("_booking").isNotNull()
     joined = bookings.join(last, F.col("id") == F.col("_booking"), "left")

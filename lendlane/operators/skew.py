@@ -5,14 +5,15 @@ but only where both join inputs come straight from a shuffle.  It cannot help
 where a table is joined back to an aggregate of itself, nor inside a window.
 The helpers here cover those two cases:
 
-* ``lookup_join`` / ``attach_aggregates`` spread the rows of hot keys over a
-  fixed number of salts and copy the one matching row to each salt;
+* ``lookup_join`` / ``attach_aggregates`` spread the rows of a hot key over salts, one
+  per million rows, and copy the one matching row to each;
 * ``rank_rows`` numbers rows of hot groups bucket by bucket.
 
-Hot keys are the ones with the most rows, at most ``max_hot`` of them, and only
-such with more than ``min_rows``.  The cap is what makes it safe to broadcast
-their list.  It leaves nothing out: a key below the heaviest ``max_hot`` holds
-less than ``1 / max_hot`` of all rows, and is handled the plain way.
+Hot keys are the heaviest ones with more rows than one salt takes, at most ``max_hot``
+of them.  The cap is what makes it safe to broadcast their list.  It leaves nothing
+out: a key below the heaviest ``max_hot`` holds less than ``1 / max_hot`` of all rows,
+and is handled the plain way.  All copies together are fewer than one per
+``rows_per_salt`` fact rows, plus one per hot key.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """Which keys count as hot, and how widely their rows are spread."""
+    """How many keys may count as hot, and how many of their rows share a salt."""
 
-    max_hot: int = 1000
-    min_rows: int = 1_000_000
-    salts: int = 256
+    max_hot: int = 10_000
+    rows_per_salt: int = 1_000_000
 
 
 DEFAULT_POLICY = SkewPolicy()
@@ -41,16 +41,15 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
-    """The heaviest keys: at most ``policy.max_hot`` rows.
+    """The heaviest keys and over how many salts each is spread: at most ``policy.max_hot`` rows.
 
     Reads the key columns only; counts combine before the shuffle, and the top is
     taken per task before it is merged.  Ties are broken by key, as both sides of
     a join must get the same list even if it is worked out twice.
     """
-    return (
-        key_counts(df, keys).where(F.col("_n") > policy.min_rows)
-        .orderBy(F.col("_n").desc(), *keys).limit(policy.max_hot)
-        .select(*keys, F.lit(True).alias("_hot"))
+    heavy = key_counts(df, keys).where(F.col("_n") > policy.rows_per_salt)
+    return heavy.orderBy(F.col("_n").desc(), *keys).limit(policy.max_hot).select(
+        *keys, F.ceil(F.col("_n") / F.lit(policy.rows_per_salt)).cast("bigint").alias("_salts")
     )
 
 
@@ -79,11 +78,13 @@ def lookup_join(
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
-    spread = F.pmod(F.xxhash64(*row_id), F.lit(policy.salts)).cast("int")
+    # a NULL key matches nothing, so it needs no copies and may be spread at will
+    row_hash = F.xxhash64(*row_id)
+    salt = F.when(some_null, row_hash).when(F.col("_salts").isNotNull(), F.pmod(row_hash, F.col("_salts")))
     salted_facts = facts.join(hot, keys, "left").select(
-        *facts.columns, F.when(F.col("_hot") | some_null, spread).otherwise(F.lit(0)).alias("_salt")
+        *facts.columns, F.coalesce(salt, F.lit(0).cast("bigint")).alias("_salt")
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(policy.salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     salted_lookup = lookup.join(hot, keys, "left").select(*lookup.columns, F.explode(copies).alias("_salt"))
     return salted_facts.join(salted_lookup, keys + ["_salt"], how).drop("_salt")
 
@@ -146,11 +147,11 @@ def rank_rows(
     hot = F.broadcast(hot_keys(df, groups, policy))  # at most policy.max_hot rows
     flagged = _null_safe_left(df, hot, groups)
     plain = (
-        flagged.where(F.col("_hot").isNull())
-        .drop("_hot")
+        flagged.where(F.col("_salts").isNull())
+        .drop("_salts")
         .withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("bigint"))
     )
-    wide = _rank_by_buckets(flagged.where(F.col("_hot")).drop("_hot"), groups, order, buckets, name)
+    wide = _rank_by_buckets(flagged.where(F.col("_salts").isNotNull()).drop("_salts"), groups, order, buckets, name)
     return plain.unionByName(wide)
 
 

@@ -4,7 +4,7 @@ from lendlane.operators import admission
 from lendlane.operators.skew import SkewPolicy
 
 NOW = "2026-07-06 00:00:00"
-EAGER = SkewPolicy(max_hot=2, min_rows=1, salts=3)
+EAGER = SkewPolicy(max_hot=2, rows_per_salt=1)
 CONFIG = (
     "country_code string, currency string, country_status string, market_status string, booking_enabled boolean,"
     " payments_enabled boolean, payouts_enabled boolean, stripe_supported boolean"

@@ -75,7 +75,7 @@ def test_price_list_counts_null_as_active(frame):
 def test_left_join_keeps_a_very_repeated_key(frame, spark):
     trailers = frame("id bigint", (1,), (2,), (3,))
     many = spark.range(5000).select(F.lit(1).cast("bigint").alias("k"), F.col("id").alias("v"))
-    hot = SkewPolicy(max_hot=2, min_rows=10, salts=4)
+    hot = SkewPolicy(max_hot=2, rows_per_salt=10)
     for policy in (hot, SkewPolicy()):
         got = feed.join_matching_or_alone(trailers, many, "id", "k", "v", policy)
         assert got.groupBy("id").count().orderBy("id").collect() == [(1, 5000), (2, 1), (3, 1)]

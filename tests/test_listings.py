@@ -122,7 +122,7 @@ def test_seed_counts(spark, frame, seeded):
 def test_relocation_moves_known_cities_only(spark, seeded):
     loaded = listings.assign_ids(seeded, spark.range(0))
     centres, offsets = golden(spark, "city_centres"), golden(spark, "city_offsets")
-    for policy in (SkewPolicy(), SkewPolicy(max_hot=5, min_rows=2, salts=2)):
+    for policy in (SkewPolicy(), SkewPolicy(max_hot=5, rows_per_salt=2)):
         moved = listings.relocate_listings(loaded, centres, offsets, "2026-08-01", "Placeholder", policy)
         assert moved.where("latitude <> 0").count() == 687 and moved.count() == 747
         aarhus = moved.where("location_name = 'Aarhus'").orderBy("id").collect()

@@ -11,7 +11,7 @@ from lendlane.plans import jobs
 from lendlane.streaming import payments as stream
 
 NOW = "2026-07-06 00:00:00"
-EAGER = SkewPolicy(max_hot=2, min_rows=3, salts=3)
+EAGER = SkewPolicy(max_hot=2, rows_per_salt=3)
 DONE, LATER, FAILED = (
     "checkout.session.completed", "checkout.session.async_payment_succeeded", "checkout.session.async_payment_failed")
 EVENT = "event_id bigint, ts timestamp_ntz, type string, booking_id string, payment_status string, session_id string, payment_intent string"

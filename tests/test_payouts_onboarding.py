@@ -8,7 +8,7 @@ from lendlane.plans import jobs
 from lendlane.sources.golden import golden
 
 NOW = "2026-07-06 00:00:00"
-EAGER = SkewPolicy(max_hot=2, min_rows=1, salts=3)
+EAGER = SkewPolicy(max_hot=2, rows_per_salt=1)
 BOOKING = (
     "id bigint, host_uid string, status string, payout_status string, payout_due_at timestamp_ntz,"
     " host_payout_amount decimal(16,5), currency string, total_price decimal(16,5)"

@@ -10,7 +10,7 @@ from lendlane.operators.skew import SkewPolicy
 from lendlane.plans import jobs
 
 NOW = "2026-07-06 00:00:00"
-EAGER = SkewPolicy(max_hot=2, min_rows=2, salts=3)
+EAGER = SkewPolicy(max_hot=2, rows_per_salt=2)
 PROFILE = (
     "id bigint, trailer_id bigint, host_id bigint, name string, is_active boolean, currency string,"
     " hourly_rate decimal(10,2), short_rental_price decimal(10,2), daily_rate decimal(10,2),"

@@ -9,7 +9,7 @@ from lendlane.operators.skew import (
     SkewPolicy, attach_aggregates, hot_keys, id_buckets, lookup_join, rank_rows, time_buckets,
 )
 
-EAGER = SkewPolicy(max_hot=3, min_rows=5, salts=4)
+EAGER = SkewPolicy(max_hot=3, rows_per_salt=5)
 
 
 def facts(frame):
