@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lendlane.llm import mixing
+from lendlane.llm import mixing, toxicity
 from lendlane.llm.shared import read_documents
 
 
@@ -11,7 +11,13 @@ def op8_mixing(spark, sf_dir):
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.toxicity(read_documents(spark, sf_dir), labels)
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op8_mixing": op8_mixing,
 }
 

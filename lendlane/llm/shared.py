@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The word pattern and the white space between words.
@@ -51,7 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         if not batch.num_rows:
             continue
         text = batch.column(batch.schema.get_field_index(column))
-        size = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(size) // most
         cuts = np.flatnonzero(np.diff(group)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
