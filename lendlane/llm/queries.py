@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lendlane.llm import mixing, toxicity
+from lendlane.llm import mixing, pii, toxicity
 from lendlane.llm.shared import read_documents
 
 
+def op3_pii(spark, sf_dir):
+    docs = read_documents(spark, sf_dir)
+    return pii.find_personal_data(docs, pii.fit(docs))
+
+
 def op8_mixing(spark, sf_dir):
     mix = mixing.mix_documents(read_documents(spark, sf_dir, "doc_id", "source", "text"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -17,6 +22,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_pii": op3_pii,
     "op10_toxicity": op10_toxicity,
     "op8_mixing": op8_mixing,
 }
