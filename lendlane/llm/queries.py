@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from lendlane.llm import mixing, pii, toxicity
+import public_tokenizers
+
+from lendlane.llm import mixing, packing, pii, toxicity
 from lendlane.llm.shared import read_documents
 
 
+def op2_packing(spark, sf_dir):
+    return packing.pack_documents(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_pii(spark, sf_dir):
     docs = read_documents(spark, sf_dir)
     return pii.find_personal_data(docs, pii.fit(docs))
@@ -22,6 +28,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_pii": op3_pii,
     "op10_toxicity": op10_toxicity,
     "op8_mixing": op8_mixing,
