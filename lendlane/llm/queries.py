@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lendlane.llm import mixing, packing, pii, toxicity
+from lendlane.llm import jaccard, mixing, packing, pii, toxicity
 from lendlane.llm.shared import read_documents
 
 
@@ -22,6 +22,10 @@ def op8_mixing(spark, sf_dir):
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_jaccard(spark, sf_dir):
+    return jaccard.similar_groups(read_documents(spark, sf_dir))
+
+
 def op10_toxicity(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.toxicity(read_documents(spark, sf_dir), labels)
@@ -30,6 +34,7 @@ def op10_toxicity(spark, sf_dir):
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
+    "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
     "op8_mixing": op8_mixing,
 }

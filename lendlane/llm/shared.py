@@ -91,10 +91,10 @@ class PrefixHash:
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.ones(max(n, 1), np.uint64)
-    have, step = 1, base
+    have, step = 1, int(base)
     while have < n:
-        out[have:2 * have] = out[:min(have, n - have)] * step
-        have, step = 2 * have, step * step
+        out[have:2 * have] = out[:min(have, n - have)] * np.uint64(step)
+        have, step = 2 * have, step * step % (1 << 64)
     return out[:n]
 
 
