@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lendlane.llm import jaccard, mixing, packing, pii, toxicity
+from lendlane.llm import jaccard, mixing, packing, pii, quality, token_counts, toxicity
 from lendlane.llm.shared import read_documents
 
 
@@ -17,6 +17,15 @@ def op3_pii(spark, sf_dir):
     return pii.find_personal_data(docs, pii.fit(docs))
 
 
+def op6_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_quality(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.judged(read_documents(spark, sf_dir), labels)
+
+
 def op8_mixing(spark, sf_dir):
     mix = mixing.mix_documents(read_documents(spark, sf_dir, "doc_id", "source", "text"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +43,8 @@ def op10_toxicity(spark, sf_dir):
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
+    "op6_token_counts": op6_token_counts,
+    "op7_quality": op7_quality,
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
     "op8_mixing": op8_mixing,

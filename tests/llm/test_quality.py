@@ -1,0 +1,59 @@
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from lendlane.llm import quality
+from tests.conftest import as_dicts
+
+
+def plain(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+    times, marked = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if times[w] > 1:
+            marked.update(range(i, i + 5))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),
+            "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(marked)}
+
+
+def test_figures(spark, frame):
+    dice = random.Random(4)
+    made = [(i, "".join(dice.choice(["a ", "b ", "a b c ", "\n", "x\n", "é😀 ", "#%", "\t"]) for _ in range(dice.randrange(60)))) for i in range(300)]
+    odd = [(1000, None), (1001, ""), (None, "a b"), (1002, "q " * 30000), (1003, "a b c d e\r\na b c d e\r\n"), (1003, "a b c d e\r\na b c d e\r\n")]
+    docs = frame("doc_id long, text string, n_words string", *[(*r, "x") for r in made + odd])
+    docs = docs.select("doc_id", "text").union(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    want = sorted((str(r["doc_id"]), *plain(r["text"]).values()) for r in as_dicts(docs))
+    keys = list(plain(""))
+    assert sorted((str(r["doc_id"]), *(r[k] for k in keys)) for r in as_dicts(quality.measured(docs))) == want
+
+
+def test_verdicts_and_plan(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.judged(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    held = as_dicts(out.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1))
+    assert all(r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) for r in held)
+    assert not any(r["kept"] and r["base_failed"] for r in held)
+    bad, good = ([r["kept"] for r in held if r["quality"] == q and not r["base_failed"]] for q in (0, 1))
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.4 * len(bad)
+
+
+def test_rules_are_found_in_order(frame):
+    rows = [(i, i % 2, 100, 500 + (i % 2) * 300, i % 7, 0, 0, 0, 0) for i in range(300)]
+    figures = frame("doc_id long, q int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_capitals long, n_marks long", *rows)
+    labels = figures.select("doc_id", F.col("q").alias("quality"))
+    rules = quality.learn(figures.drop("q"), labels)
+    assert [c.feature for r in rules.rules for c in r] == ["word_length"]
+    assert all(r["k"] == (r["q"] == 1) for r in as_dicts(figures.withColumn("k", rules.kept())))
+
+
+def test_without_labels_or_rows(frame):
+    docs, none = frame("doc_id long, text string", (1, "a b c")), frame("doc_id long, quality int")
+    assert [r["kept"] for r in as_dicts(quality.judged(docs, none))] == [False]
+    assert quality.judged(docs.limit(0), none).count() == 0
