@@ -104,6 +104,21 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return mixed(docs, n_words("text"))
 
 
+def repeated(docs: DataFrame, ids: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Only ids, text hashes and counts are shuffled before the texts are.  Equal rows come equally
+    often, as the one taken most.  Rows without an id are taken too.
+    """
+    text = F.xxhash64(F.col("text"))
+    mix = mixed(docs.select(ids, "source", "text").withColumn("_text", text), n_words("text"), ids, keep=("_text",))
+    times = mix.where("epochs > 0").groupBy("doc_id", "_text").agg(F.max("epochs").cast("int").alias("_times"))
+    times = save(times.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_times"), "times")
+    taken = docs.withColumn("_text", text).join(times, F.col(ids).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    named = [f"`{c}`" for c in docs.columns]
+    return taken.select(*named, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).select(*named)
+
+
 ORACLE = r"""
 with sized as (
  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
