@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lendlane.llm import jaccard, mixing, packing, pii, quality, token_counts, toxicity
+from lendlane.llm import embeddings, jaccard, mixing, packing, pii, quality, token_counts, toxicity
 from lendlane.llm.shared import read_documents
 
 
+def op1_embeddings(spark, sf_dir):
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack_documents(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,6 +45,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
     "op6_token_counts": op6_token_counts,
