@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lendlane.llm import embeddings, jaccard, mixing, packing, pii, quality, token_counts, toxicity
+from lendlane.llm import embeddings, jaccard, mixing, packing, pii, quality, repeats, token_counts, toxicity
 from lendlane.llm.shared import read_documents
 
 
@@ -21,6 +21,10 @@ def op3_pii(spark, sf_dir):
     return pii.find_personal_data(docs, pii.fit(docs))
 
 
+def op5_repeats(spark, sf_dir):
+    return repeats.without_repeats(read_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts.count_tokens(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
+    "op5_repeats": op5_repeats,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op9_jaccard": op9_jaccard,
