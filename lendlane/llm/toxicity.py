@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from lendlane.llm.shared import fold, slices, texts
+from lendlane.llm.shared import fold, save, slices, texts
 
 LIMIT = 0.3
 
@@ -92,27 +92,25 @@ def _train(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(samples)[:size]
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on rows ``(doc_id, text, toxic)``; rows are calibrated with dictionaries they had no part in.
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    """Fit on the texts of a bounded sample of labelled rows; rows are calibrated with dictionaries they had no part in.
 
-    At most ``toxic_rows`` and ``ordinary_rows`` rows, the first by a hash of the id, come to the
-    driver, less if their texts are over ``sample_chars`` together.  Rows without id or label do
-    not count.  Without a toxic row the score of every text is a constant 0.
+    The texts of the sample come to the driver as far as they stay under ``sample_chars`` per label,
+    in the order of a hash of the id.  Without a toxic row the score of every text is a constant 0.
     """
+    chosen = F.broadcast(sampled_labels(labels, settings))
+    known = save(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").distinct(), "labelled")
     rows = []
-    for label, most in ((1, settings.toxic_rows), (0, settings.ordinary_rows)):
-        kind = labelled.where(F.col("toxic") == label).select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-        kind = kind.withColumn("_k", F.xxhash64(F.col("doc_id"), F.lit(3)))
-        # sizes first, so that the bound holds before any text comes to the driver
-        first = kind.select("_k", F.length("text").alias("n")).orderBy("_k", "n").limit(most).collect()
+    for label in (1, 0):
+        own = known.where(F.col("toxic") == label)
         left, last = settings.sample_chars // 2, None
-        for k, n in first:
-            left -= n
+        for r in own.groupBy("rank").agg(F.sum(F.length("text")).alias("n")).orderBy("rank").collect():
+            left -= r.n
             if left < 0:
                 break
-            last = k
+            last = r["rank"]
         if last is not None:
-            rows += kind.where(F.col("_k") <= last).drop("_k").distinct().orderBy("doc_id", "text").limit(most).collect()
+            rows += own.where(F.col("rank") <= last).orderBy("rank", "text").collect()
     parts = [zlib.crc32(f"{r.doc_id}/part".encode()) % settings.parts for r in rows]
     if not any(r.toxic for r in rows):
         return Model(b"", b"", (-30.0,) + (0.0,) * (len(settings.steps) + 2), settings)
@@ -168,13 +166,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 4
     return w
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows to learn from: labelled documents whose crc32 of the id leaves no remainder 2 modulo 4.
+def sampled_labels(labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``doc_id, toxic, rank`` of the rows to learn from: at most ``toxic_rows`` and ``ordinary_rows``.
 
-    Labels are cut to the learning rows before the join.  An id labelled twice counts by its largest label.
+    Only ids whose crc32 leaves no remainder 2 modulo 4 count; an id labelled twice counts by its
+    largest label.  Rows without id or label do not count.
     """
     known = labels.where((fold("doc_id", 4) != 2) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    ranked = known.withColumn("rank", F.xxhash64(F.col("doc_id").cast("long"), F.lit(3)))
+    parts = [ranked.where(F.col("toxic") == label).orderBy("rank", "doc_id").limit(most)
+             for label, most in ((1, settings.toxic_rows), (0, settings.ordinary_rows))]
+    return parts[0].union(parts[1])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -193,7 +195,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document; a NULL id is not held out."""
-    model = fit(labelled_rows(docs, labels), settings)
+    model = fit(docs, labels, settings)
     return scored(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= LIMIT).cast("int").alias("predicted"))
@@ -201,4 +203,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
 def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    return scored(docs, fit(labelled_rows(docs, labels), settings)).where(F.col("score") < LIMIT).select(*(f"`{c}`" for c in docs.columns))
+    return scored(docs, fit(docs, labels, settings)).where(F.col("score") < LIMIT).select(*(f"`{c}`" for c in docs.columns))

@@ -36,7 +36,7 @@ def test_odd_rows(frame):
 
 
 def test_labels_of_held_out_rows_are_not_read(frame):
-    docs = frame("doc_id long, text string", *[(i, f"w{i} bad{i % 2}") for i in range(200)])
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
-    used = toxicity.labelled_rows(docs, frame("doc_id long, toxic int", *[(i, i % 2) for i in range(200)]))
-    assert {r["doc_id"] for r in as_dicts(used)} == set(range(200)) - set(held)
+    labels = frame("doc_id long, toxic int", *[(i, i % 2) for i in range(200)])
+    assert {r["doc_id"] for r in as_dicts(toxicity.sampled_labels(labels))} == set(range(200)) - set(held)
+    assert toxicity.sampled_labels(labels, toxicity.Settings(toxic_rows=3, ordinary_rows=5)).count() == 8
