@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lendlane.llm import embeddings, jaccard, mixing, packing, pii, quality, repeats, token_counts, toxicity
+from lendlane.llm import context_mixing, embeddings, jaccard, mixing, packing, pii, quality, repeats, token_counts, toxicity
 from lendlane.llm.shared import read_documents
 
 
@@ -21,6 +21,10 @@ def op3_pii(spark, sf_dir):
     return pii.find_personal_data(docs, pii.fit(docs))
 
 
+def op4_context_mixing(spark, sf_dir):
+    return context_mixing.scored(read_documents(spark, sf_dir))
+
+
 def op5_repeats(spark, sf_dir):
     return repeats.without_repeats(read_documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
+    "op4_context_mixing": op4_context_mixing,
     "op5_repeats": op5_repeats,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
