@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lendlane.functions.columns import empty_to_null, js_positive_id, js_round_cents, moment, touch
 from lendlane.operators.feed import busy_flag
 from lendlane.operators.gates import BOOKING_GATES, with_config
-from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy, lookup_join
+from lendlane.operators.skew import lookup_join
 
 # Payment amount limits in cents, both allowed.
 MIN_CENTS = 50
@@ -51,14 +51,13 @@ def guard_country(
     config: DataFrame,
     policy: str = "open",
     row_id: str = "id",
-    skew: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Requests with ``can_book`` and ``gate_country`` (the country, or 'unknown').
 
     The gate is worked out once per host; a host with very many requests is spread.
     """
     gate = host_booking_gate(hosts, config, policy)
-    joined = lookup_join(requests, gate, ["host_uid"], [row_id], policy=skew)
+    joined = lookup_join(requests, gate, ["host_uid"], [row_id])
     return joined.select(
         *requests.columns,
         # no such host is an unknown country: allowed when open, refused when denying
@@ -74,14 +73,13 @@ def booking_admission(
     config: DataFrame,
     policy: str = "open",
     row_id: str = "id",
-    skew: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Requests with ``accepted`` and the ``reason`` of the first rule that fails.
 
     The busy guard is asked before the country gate.
     """
     # joined the other way round, as the country lookup counts the rows it is given
-    checked = guard_busy(guard_country(requests, hosts, config, policy, row_id, skew), trailers, row_id)
+    checked = guard_busy(guard_country(requests, hosts, config, policy, row_id), trailers, row_id)
     reason = (
         F.when(F.col("is_busy"), F.lit("busy_listing"))
         .when(~F.col("can_book"), F.concat(F.lit("country_blocked ("), F.col("gate_country"), F.lit(")")))

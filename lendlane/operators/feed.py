@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlane.functions.columns import blur, is_true, lower_or_empty, moment
-from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy, lookup_join
+from lendlane.operators.skew import lookup_join
 
 # Booking states, in lower case, in which a listing is out on rent.
 RENTING_STATES = ["paid_confirmed", "in_progress"]
@@ -55,7 +55,6 @@ def join_matching_or_alone(
     left_key: str,
     right_key: str,
     right_id: str,
-    policy: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Left outer join of unique left keys to a right side that may repeat a key a lot.
 
@@ -64,14 +63,14 @@ def join_matching_or_alone(
     a key is hot, and the left rows without a match are added.
     """
     keyed = left.withColumn(right_key, F.col(left_key))
-    matched = lookup_join(right, keyed, [right_key], [right_id], "inner", policy=policy)
+    matched = lookup_join(right, keyed, [right_key], [right_id], "inner")
     known = right.select(F.col(right_key).alias("_known")).distinct()
     alone = keyed.join(known, F.col(left_key) == F.col("_known"), "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def listing_price_left_join(
-    trailers: DataFrame, profiles: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
+    trailers: DataFrame, profiles: DataFrame
 ) -> DataFrame:
     """Listings with each of their active profiles; listings without one are kept.
 
@@ -84,7 +83,7 @@ def listing_price_left_join(
         F.col("currency").alias("pp_currency"),
         *[F.col(c).alias(f"pp_{c}") for c in PROFILE_PRICES],
     )
-    return join_matching_or_alone(trailers, active, "id", "pp_trailer_id", "pp_id", policy)
+    return join_matching_or_alone(trailers, active, "id", "pp_trailer_id", "pp_id")
 
 
 def currently_rented(bookings: DataFrame, as_of) -> DataFrame:
@@ -100,7 +99,7 @@ def currently_rented(bookings: DataFrame, as_of) -> DataFrame:
     return running.where(F.col("trailer_id").isNotNull()).select("trailer_id").distinct()
 
 
-def _feed(trailers, profiles, bookings, as_of, policy, show_busy: bool, exact_when_busy: bool) -> DataFrame:
+def _feed(trailers, profiles, bookings, as_of, show_busy: bool, exact_when_busy: bool) -> DataFrame:
     # listings and rented ids are both unique per listing: no hot key in this join
     rented = currently_rented(bookings, as_of).select(F.col("trailer_id").alias("_rented_id"))
     listed = listing_status_filter(trailers)
@@ -117,7 +116,7 @@ def _feed(trailers, profiles, bookings, as_of, policy, show_busy: bool, exact_wh
     if show_busy:
         listed = is_busy_flag(listed)
     listed = coordinate_blur(listed, exact_when_busy)
-    priced = listing_price_left_join(listed, profiles, policy)
+    priced = listing_price_left_join(listed, profiles)
     return priced.select(
         *[c for c in LISTING_COLUMNS if c in trailers.columns],
         "latitude",
@@ -130,24 +129,24 @@ def _feed(trailers, profiles, bookings, as_of, policy, show_busy: bool, exact_wh
 
 
 def public_feed_available(
-    trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of, policy: SkewPolicy = DEFAULT_POLICY
+    trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of
 ) -> DataFrame:
     """First feed: active, available listings that are not out on rent."""
-    return _feed(trailers, profiles, bookings, as_of, policy, show_busy=False, exact_when_busy=False)
+    return _feed(trailers, profiles, bookings, as_of, show_busy=False, exact_when_busy=False)
 
 
 def public_feed_busy(
-    trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of, policy: SkewPolicy = DEFAULT_POLICY
+    trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of
 ) -> DataFrame:
     """Second feed: the first one plus busy-display listings, all blurred."""
-    return _feed(trailers, profiles, bookings, as_of, policy, show_busy=True, exact_when_busy=False)
+    return _feed(trailers, profiles, bookings, as_of, show_busy=True, exact_when_busy=False)
 
 
 def public_feed_current(
-    trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of, policy: SkewPolicy = DEFAULT_POLICY
+    trailers: DataFrame, profiles: DataFrame, bookings: DataFrame, as_of
 ) -> DataFrame:
     """Current feed: the second one with exact coordinates for busy-display listings."""
-    return _feed(trailers, profiles, bookings, as_of, policy, show_busy=True, exact_when_busy=True)
+    return _feed(trailers, profiles, bookings, as_of, show_busy=True, exact_when_busy=True)
 
 
 def busy_share(feed: DataFrame) -> DataFrame:
@@ -155,7 +154,7 @@ def busy_share(feed: DataFrame) -> DataFrame:
 
 
 def effective_price_list(
-    trailers: DataFrame, profiles: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
+    trailers: DataFrame, profiles: DataFrame
 ) -> DataFrame:
     """Every listing with its profiles in force; here NULL counts as active."""
     active = profiles.where(F.coalesce(F.col("is_active"), F.lit(True))).select(
@@ -165,7 +164,7 @@ def effective_price_list(
         *PROFILE_PRICES,
     )
     listed = trailers.select("id", "trailername", "price_per_hr")
-    joined = join_matching_or_alone(listed, active, "id", "pp_trailer_id", "profile_id", policy)
+    joined = join_matching_or_alone(listed, active, "id", "pp_trailer_id", "profile_id")
     # the profile id lets the range sort split a listing with very many profiles
     return joined.drop("pp_trailer_id").orderBy("id", F.col("profile_id").asc_nulls_last())
 

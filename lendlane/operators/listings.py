@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlane.functions.columns import moment
-from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy, id_buckets, rank_rows
+from lendlane.operators.skew import id_buckets, rank_rows
 
 IMPORT_KEY = ["host_id", "trailername", "location_name", "model"]
 START_KEY = ["host_id", "trailername"]
@@ -180,12 +180,12 @@ def host_list_agg(hosts: DataFrame, per_line: int = 1000) -> DataFrame:
 
 
 def slot_in_city(
-    trailers: DataFrame, slots: int = 6, model: str | None = None, policy: SkewPolicy = DEFAULT_POLICY
+    trailers: DataFrame, slots: int = 6, model: str | None = None
 ) -> DataFrame:
     """Slot of each listing in its city: position by id, modulo ``slots``."""
     chosen = trailers if model is None else trailers.where(F.col("model") == model)
     ranked = rank_rows(
-        chosen.select("id", "location_name"), ["location_name"], [F.col("id")], id_buckets("id"), "_position", policy
+        chosen.select("id", "location_name"), ["location_name"], [F.col("id")], id_buckets("id"), "_position"
     )
     return ranked.select("id", "location_name", F.pmod(F.col("_position") - 1, F.lit(slots)).cast("bigint").alias("slot"))
 
@@ -196,14 +196,13 @@ def relocate_listings(
     offsets: DataFrame,
     as_of,
     model: str | None = None,
-    policy: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Move listings of known cities to the city centre plus their slot's offset.
 
     Only the moves are joined back to the listings, by their unique id; listings of
     other cities stay as they are.
     """
-    slots = slot_in_city(trailers, 6, model, policy)
+    slots = slot_in_city(trailers, 6, model)
     moves = (
         slots.join(centres, F.col("location_name") == F.col("loc"))
         .join(offsets, F.col("slot") == F.col("i"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lendlane.functions.columns import empty_to_null, js_round_cents, moment
 from lendlane.operators.gates import with_config
-from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy, lookup_join
+from lendlane.operators.skew import lookup_join
 
 
 def unique_hosts(hosts: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,8 +45,6 @@ def payout_plan(
     bookings: DataFrame,
     hosts: DataFrame,
     config: DataFrame,
-    policy: SkewPolicy = DEFAULT_POLICY,
-    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """What to do with each given booking: the first rule that stops it, else a transfer.
 
@@ -54,7 +52,7 @@ def payout_plan(
     then need one join, in which a host with very many bookings is spread.
     """
     wanted = bookings.select("id", "host_uid", "host_payout_amount", "payout_status", "currency")
-    joined = lookup_join(wanted, payout_hosts(hosts, config), ["host_uid"], ["id"], hot_from=hot_from, policy=policy)
+    joined = lookup_join(wanted, payout_hosts(hosts, config), ["host_uid"], ["id"])
     cents = js_round_cents(F.coalesce(F.col("host_payout_amount"), F.lit(0)))
     outcome = (
         F.when(F.col("payout_status") == "paid", "already_paid")
@@ -76,11 +74,11 @@ def payout_plan(
 
 
 def payout_plan_manual(
-    bookings: DataFrame, requested: DataFrame, hosts: DataFrame, config: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
+    bookings: DataFrame, requested: DataFrame, hosts: DataFrame, config: DataFrame
 ) -> DataFrame:
     """Plan for chosen booking ids, due or not: failed payouts can be tried again here."""
     chosen = bookings.join(requested.select(F.col("booking_id").alias("_asked")), F.col("id") == F.col("_asked"), "left_semi")
-    return payout_plan(chosen, hosts, config, policy, hot_from=bookings)
+    return payout_plan(chosen, hosts, config)
 
 
 def _results(results: DataFrame) -> DataFrame:

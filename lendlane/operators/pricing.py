@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlane.functions.columns import epoch_micros, moment, not_false, positive, touch
 from lendlane.operators.skew import (
-    DEFAULT_POLICY, SkewPolicy, attach_aggregates, id_buckets, rank_rows, time_buckets,
+    attach_aggregates, id_buckets, rank_rows, time_buckets,
 )
 
 # Lowest price in euro per rate, and the rates that count as "priced".
@@ -82,7 +82,7 @@ def _candidates(profiles: DataFrame) -> DataFrame:
     return profiles.where(F.col("trailer_id").isNotNull() & not_false("is_active"))
 
 
-def profile_rank(profiles: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+def profile_rank(profiles: DataFrame) -> DataFrame:
     """Rank of every active profile within its listing; 1 is the one to keep."""
     day, part, instant = time_buckets(epoch_micros(profiles, "updated_at"))
     ranked = rank_rows(
@@ -91,7 +91,6 @@ def profile_rank(profiles: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> Da
         [_quality().asc(), F.col("updated_at").desc_nulls_last(), F.col("id").desc()],
         [F.struct(_quality(), day), part, instant, *id_buckets("id", descending=True)],
         "rn",
-        policy,
     )
     return ranked.select("id", "trailer_id", "rn")
 
@@ -110,10 +109,10 @@ def best_profiles(profiles: DataFrame) -> DataFrame:
     )
 
 
-def deactivate_duplicates(profiles: DataFrame, as_of, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+def deactivate_duplicates(profiles: DataFrame, as_of) -> DataFrame:
     """Switch off every active profile that is not its listing's best."""
     best = F.max_by("id", F.when(not_false("is_active"), _goodness())).alias("_best")
-    joined = attach_aggregates(profiles, ["trailer_id"], [best], ["id"], policy)
+    joined = attach_aggregates(profiles, ["trailer_id"], [best], ["id"])
     loser = F.col("trailer_id").isNotNull() & not_false("is_active") & (F.col("id") != F.col("_best"))
     return (
         joined.withColumn("_loser", F.coalesce(loser, F.lit(False)))
@@ -125,7 +124,7 @@ def deactivate_duplicates(profiles: DataFrame, as_of, policy: SkewPolicy = DEFAU
     )
 
 
-def one_active_fold(profiles: DataFrame, as_of=None, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+def one_active_fold(profiles: DataFrame, as_of=None) -> DataFrame:
     """State after inserting the profiles one by one, by id, under the one-active rule.
 
     A priced profile switches every earlier one off.  An unpriced profile comes
@@ -149,7 +148,6 @@ def one_active_fold(profiles: DataFrame, as_of=None, policy: SkewPolicy = DEFAUL
             F.min(F.when(not_false("is_active"), F.col("id"))).alias("_first_active"),
         ],
         ["id"],
-        policy,
     )
     active = (
         F.when(F.col("trailer_id").isNull(), F.col("is_active"))

@@ -1,100 +1,47 @@
 """Joins and rankings that stay distributed when one key holds much of the data.
 
-Spark's adaptive execution splits a skewed side of a sort-merge join by itself,
-but only where both join inputs come straight from a shuffle.  It cannot help
-where a table is joined back to an aggregate of itself, nor inside a window.
-The helpers here cover those two cases:
-
-* ``lookup_join`` / ``attach_aggregates`` spread the rows of a hot key over salts, one
-  per million rows, and copy the one matching row to each;
-* ``rank_rows`` numbers rows of hot groups bucket by bucket.
-
-Hot keys are the heaviest ones with more rows than one salt takes, at most ``max_hot``
-of them.  The cap is what makes it safe to broadcast their list.  It leaves nothing
-out: a key below the heaviest ``max_hot`` holds less than ``1 / max_hot`` of all rows,
-and is handled the plain way.  All copies together are fewer than one per
-``rows_per_salt`` fact rows, plus one per hot key.
+Spark's adaptive execution splits a skewed side of a sort-merge join by itself, but only where
+both join inputs come straight from a shuffle.  It cannot help where a table is joined back to
+an aggregate of itself, nor inside a window.  The helpers here cover those two cases, the same
+way for every key and every size:
+
+* ``lookup_join`` / ``attach_aggregates`` join on one more key that is always equal, so that both
+  sides are shuffled for the join itself and a hot key can be split;
+* ``rank_rows`` numbers rows bucket by bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-@dataclass(frozen=True)
-class SkewPolicy:
-    """How many keys may count as hot, and how many of their rows share a salt."""
-
-    max_hot: int = 10_000
-    rows_per_salt: int = 1_000_000
-
-
-DEFAULT_POLICY = SkewPolicy()
-
-
-def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per key.  Partial counts are made before the shuffle."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
-    """The heaviest keys and over how many salts each is spread: at most ``policy.max_hot`` rows.
-
-    Reads the key columns only; counts combine before the shuffle, and the top is
-    taken per task before it is merged.  Ties are broken by key, as both sides of
-    a join must get the same list even if it is worked out twice.
-    """
-    heavy = key_counts(df, keys).where(F.col("_n") > policy.rows_per_salt)
-    return heavy.orderBy(F.col("_n").desc(), *keys).limit(policy.max_hot).select(
-        *keys, F.ceil(F.col("_n") / F.lit(policy.rows_per_salt)).cast("bigint").alias("_salts")
-    )
-
-
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    row_id: Sequence[str],
-    how: str = "left",
-    hot_from: DataFrame | None = None,
-    policy: SkewPolicy = DEFAULT_POLICY,
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], row_id: Sequence[str], how: str = "left"
 ) -> DataFrame:
     """Join ``facts`` to ``lookup``, which has at most one row per key.
 
-    ``row_id`` names columns that tell fact rows apart; their hash picks the
-    salt, so a retried task picks the same one.  Rows with a NULL key match
-    nothing and are spread as well.  ``how`` is ``left`` or ``inner``.
-
-    Hot keys are looked for in ``hot_from``, if given: where ``facts`` is the result
-    of a join, the table it comes from is cheaper to count and does as well.
+    The join has one more key, 0 on both sides for equal keys.  Neither side is partitioned by it
+    beforehand, so Spark shuffles both for this join, and adaptive execution can split a key
+    with very many facts.  This needs ``spark.sql.requireAllClusterKeysForCoPartition`` and adaptive execution
+    on, as by default; a literal would be optimized away.  Rows with a NULL key match nothing and are
+    spread by a hash of ``row_id``, which names columns that tell fact rows apart.  ``how`` is
+    ``left`` or ``inner``.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join cannot do a {how} join")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(facts if hot_from is None else hot_from, keys, policy))  # at most policy.max_hot rows
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
-    # a NULL key matches nothing, so it needs no copies and may be spread at will
-    row_hash = F.xxhash64(*row_id)
-    salt = F.when(some_null, row_hash).when(F.col("_salts").isNotNull(), F.pmod(row_hash, F.col("_salts")))
-    salted_facts = facts.join(hot, keys, "left").select(
-        *facts.columns, F.coalesce(salt, F.lit(0).cast("bigint")).alias("_salt")
-    )
-    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    salted_lookup = lookup.join(hot, keys, "left").select(*lookup.columns, F.explode(copies).alias("_salt"))
-    return salted_facts.join(salted_lookup, keys + ["_salt"], how).drop("_salt")
+    even = F.pmod(F.xxhash64(*keys), F.lit(1).cast("bigint"))
+    spread_facts = facts.withColumn("_even", F.when(some_null, F.xxhash64(*row_id)).otherwise(even))
+    return spread_facts.join(lookup.withColumn("_even", even), [*keys, "_even"], how).drop("_even")
 
 
 def attach_aggregates(
-    facts: DataFrame,
-    keys: Sequence[str],
-    aggregates: Sequence[Column],
-    row_id: Sequence[str],
-    policy: SkewPolicy = DEFAULT_POLICY,
+    facts: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], row_id: Sequence[str]
 ) -> DataFrame:
     """Every row with its group's aggregates, as an unordered window would give.
 
@@ -102,7 +49,7 @@ def attach_aggregates(
     Rows with a NULL key get NULL aggregates.
     """
     keys = list(keys)
-    return lookup_join(facts, facts.groupBy(*keys).agg(*aggregates), keys, row_id, policy=policy)
+    return lookup_join(facts, facts.groupBy(*keys).agg(*aggregates), keys, row_id)
 
 
 def id_buckets(column: str | Column, descending: bool = False) -> list[Column]:
@@ -126,45 +73,15 @@ def time_buckets(micros: Column) -> list[Column]:
 
 
 def rank_rows(
-    df: DataFrame,
-    groups: Sequence[str],
-    order: Sequence[Column],
-    buckets: Sequence[Column],
-    name: str,
-    policy: SkewPolicy = DEFAULT_POLICY,
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], buckets: Sequence[Column], name: str
 ) -> DataFrame:
     """``row_number() over (partition by groups order by order)``, exact, for groups of any size.
 
-    ``buckets`` are non-NULL columns that refine each other and follow
-    ``order`` ascending.  Groups that are not hot use a plain window.  Rows of
-    hot groups are numbered inside their bucket, plus the number of rows in
-    earlier buckets.  Without ``groups`` the whole table is one group, which
-    is always numbered by buckets.
+    ``buckets`` are non-NULL columns that refine each other and follow ``order`` ascending.  Rows
+    are numbered inside their bucket, plus the number of rows in earlier buckets of the group.
+    Without ``groups`` the whole table is one group.  For very sparse orders a bucket holds few
+    rows, and the table of bucket sizes is nearly as large as the rows.
     """
-    if not groups:
-        return _rank_by_buckets(df, [], order, buckets, name)
-    groups = list(groups)
-    hot = F.broadcast(hot_keys(df, groups, policy))  # at most policy.max_hot rows
-    flagged = _null_safe_left(df, hot, groups)
-    plain = (
-        flagged.where(F.col("_salts").isNull())
-        .drop("_salts")
-        .withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("bigint"))
-    )
-    wide = _rank_by_buckets(flagged.where(F.col("_salts").isNotNull()).drop("_salts"), groups, order, buckets, name)
-    return plain.unionByName(wide)
-
-
-def _null_safe_left(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join by keys where NULL equals NULL, as in a window's partitions."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & df[k].eqNullSafe(renamed[f"_r_{k}"])
-    return df.join(renamed, condition, "left").drop(*[f"_r_{k}" for k in keys])
-
-
-def _rank_by_buckets(df, groups, order, buckets, name) -> DataFrame:
     levels = [f"_b{i}" for i in range(len(buckets))]
     # a struct key makes NULL group values equal each other in the joins below
     key = F.struct(*groups) if groups else F.lit(0)

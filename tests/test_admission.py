@@ -1,10 +1,8 @@
 from tests.conftest import as_dicts, column
 
 from lendlane.operators import admission
-from lendlane.operators.skew import SkewPolicy
 
 NOW = "2026-07-06 00:00:00"
-EAGER = SkewPolicy(max_hot=2, rows_per_salt=1)
 CONFIG = (
     "country_code string, currency string, country_status string, market_status string, booking_enabled boolean,"
     " payments_enabled boolean, payouts_enabled boolean, stripe_supported boolean"
@@ -23,23 +21,16 @@ def world(frame):
 
 
 def test_first_failing_rule_gives_the_reason(frame):
-    opened = as_dicts(admission.booking_admission(*world(frame), "open", skew=EAGER), "id")
+    opened = as_dicts(admission.booking_admission(*world(frame), "open"), "id")
     assert [opened[i]["reason"] for i in range(1, 10)] == [
         "busy_listing", "ok", "country_blocked (DD)", "ok", "ok", "busy_listing", "ok", "ok", "ok"]
-    denied = as_dicts(admission.booking_admission(*world(frame), "deny", skew=EAGER), "id")
+    denied = as_dicts(admission.booking_admission(*world(frame), "deny"), "id")
     assert [denied[i]["reason"] for i in range(1, 10)] == [
         "busy_listing", "ok", "country_blocked (DD)", "country_blocked (unknown)", "country_blocked (unknown)",
         "busy_listing", "country_blocked (XX)", "country_blocked (unknown)", "country_blocked (unknown)"]
     assert all(denied[i]["accepted"] == (denied[i]["reason"] == "ok") for i in denied)
 
 
-def test_policies_agree_with_and_without_salting(frame):
-    for policy in ("open", "deny"):
-        salted = admission.guard_country(world(frame)[0], *world(frame)[2:], policy, skew=EAGER)
-        plain = admission.guard_country(world(frame)[0], *world(frame)[2:], policy)
-        assert salted.exceptAll(plain).count() == 0 and salted.count() == plain.count() == 9
-
-
 def test_unpaid_bookings_on_busy_listings(frame):
     _, trailers, _, _ = world(frame)
     bookings = frame("id bigint, trailer_id bigint, payment_status string", (1, 1, None), (2, 1, "paid"), (3, 1, "pending"), (4, 2, None), (5, 99, None), (6, None, None), (7, 4, "PAID"))

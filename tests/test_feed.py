@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 from tests.conftest import as_dicts, column
 
 from lendlane.operators import feed
-from lendlane.operators.skew import SkewPolicy
 
 NOW = "2026-07-06 12:00:00"
 TRAILER = (
@@ -75,10 +74,8 @@ def test_price_list_counts_null_as_active(frame):
 def test_left_join_keeps_a_very_repeated_key(frame, spark):
     trailers = frame("id bigint", (1,), (2,), (3,))
     many = spark.range(5000).select(F.lit(1).cast("bigint").alias("k"), F.col("id").alias("v"))
-    hot = SkewPolicy(max_hot=2, rows_per_salt=10)
-    for policy in (hot, SkewPolicy()):
-        got = feed.join_matching_or_alone(trailers, many, "id", "k", "v", policy)
-        assert got.groupBy("id").count().orderBy("id").collect() == [(1, 5000), (2, 1), (3, 1)]
+    got = feed.join_matching_or_alone(trailers, many, "id", "k", "v")
+    assert got.groupBy("id").count().orderBy("id").collect() == [(1, 5000), (2, 1), (3, 1)]
 
 
 def test_photo_count_of_maps_arrays_and_text(frame):

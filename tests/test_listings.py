@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 from tests.conftest import as_dicts, column
 
 from lendlane.operators import feed, listings
-from lendlane.operators.skew import SkewPolicy
 from lendlane.sources.golden import golden
 
 NOW = "2026-07-06 00:00:00"
@@ -122,12 +121,11 @@ def test_seed_counts(spark, frame, seeded):
 def test_relocation_moves_known_cities_only(spark, seeded):
     loaded = listings.assign_ids(seeded, spark.range(0))
     centres, offsets = golden(spark, "city_centres"), golden(spark, "city_offsets")
-    for policy in (SkewPolicy(), SkewPolicy(max_hot=5, rows_per_salt=2)):
-        moved = listings.relocate_listings(loaded, centres, offsets, "2026-08-01", "Placeholder", policy)
-        assert moved.where("latitude <> 0").count() == 687 and moved.count() == 747
-        aarhus = moved.where("location_name = 'Aarhus'").orderBy("id").collect()
-        assert [float(r.latitude) for r in aarhus] == [56.1689, 56.1589, 56.1709, 56.1569, 56.1729, 56.1659]
-        assert moved.where("updated_at = '2026-08-01'").count() == 687
+    moved = listings.relocate_listings(loaded, centres, offsets, "2026-08-01", "Placeholder")
+    assert moved.where("latitude <> 0").count() == 687 and moved.count() == 747
+    aarhus = moved.where("location_name = 'Aarhus'").orderBy("id").collect()
+    assert [float(r.latitude) for r in aarhus] == [56.1689, 56.1589, 56.1709, 56.1569, 56.1729, 56.1659]
+    assert moved.where("updated_at = '2026-08-01'").count() == 687
 
 
 def test_slots_wrap_round(frame):

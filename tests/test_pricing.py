@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 from tests.conftest import as_dicts, column
 
 from lendlane.operators import pricing
-from lendlane.operators.skew import SkewPolicy
 from lendlane.plans import jobs
 
 NOW = "2026-07-06 00:00:00"
-EAGER = SkewPolicy(max_hot=2, rows_per_salt=2)
 PROFILE = (
     "id bigint, trailer_id bigint, host_id bigint, name string, is_active boolean, currency string,"
     " hourly_rate decimal(10,2), short_rental_price decimal(10,2), daily_rate decimal(10,2),"
@@ -59,8 +57,7 @@ def fold(rows):
 @pytest.mark.parametrize("seed", range(4))
 def test_fold_equals_the_row_by_row_rule(frame, seed):
     rows = random_profiles(seed)
-    for policy in (EAGER, SkewPolicy()):
-        assert column(pricing.one_active_fold(frame(PROFILE, *rows), policy=policy), "is_active") == fold(rows)
+    assert column(pricing.one_active_fold(frame(PROFILE, *rows)), "is_active") == fold(rows)
 
 
 def test_fold_touches_only_what_a_later_row_switched_off(frame):
@@ -84,15 +81,14 @@ def test_rank_equals_a_sort(frame, seed):
     for t in range(4):
         mine = sorted((r for r in rows if r[1] == t and r[4] in (True, None)), key=rank_key)
         expected.update({r[0]: n + 1 for n, r in enumerate(mine)})
-    for policy in (EAGER, SkewPolicy()):
-        assert column(pricing.profile_rank(frame(PROFILE, *rows), policy), "rn") == expected
+    assert column(pricing.profile_rank(frame(PROFILE, *rows)), "rn") == expected
 
 
 def test_dedupe_keeps_the_first_ranked(frame):
     rows = random_profiles(11)
     df = frame(PROFILE, *rows)
     winners = {r.id for r in pricing.profile_rank(df).where("rn = 1").collect()}
-    got = as_dicts(pricing.deactivate_duplicates(df, NOW, EAGER), "id")
+    got = as_dicts(pricing.deactivate_duplicates(df, NOW), "id")
     for r in rows:
         loser = r[1] is not None and r[4] in (True, None) and r[0] not in winners
         assert got[r[0]]["is_active"] == (False if loser else r[4])
@@ -148,11 +144,11 @@ def test_sync_uses_the_best_profile_with_a_price(frame):
 
 def test_reconcile_is_idempotent_and_leaves_nothing_to_repair(frame):
     trailers = frame(TRAILER, *[(i, 9, "EUR", i) for i in range(9)])
-    once = jobs.reconcile_prices(trailers, frame(PROFILE, *random_profiles(5)), NOW, EAGER)
+    once = jobs.reconcile_prices(trailers, frame(PROFILE, *random_profiles(5)), NOW)
     assert pricing.double_active_audit(once.profiles).count() == 0
     assert pricing.subfloor_audit(once.profiles).count() == 0
     numbered = once.profiles.withColumn("id", F.coalesce("id", F.col("trailer_id") + 1000))
-    twice = jobs.reconcile_prices(once.trailers, numbered, "2027-01-01", EAGER)
+    twice = jobs.reconcile_prices(once.trailers, numbered, "2027-01-01")
     assert twice.profiles.exceptAll(numbered).count() == 0
     assert twice.trailers.exceptAll(once.trailers).count() == 0
 

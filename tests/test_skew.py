@@ -5,11 +5,7 @@ import random
 from pyspark.sql import Window, functions as F
 
 from lendlane.functions.columns import epoch_micros
-from lendlane.operators.skew import (
-    SkewPolicy, attach_aggregates, hot_keys, id_buckets, lookup_join, rank_rows, time_buckets,
-)
-
-EAGER = SkewPolicy(max_hot=3, rows_per_salt=5)
+from lendlane.operators.skew import attach_aggregates, id_buckets, lookup_join, rank_rows, time_buckets
 
 
 def facts(frame):
@@ -22,27 +18,17 @@ def same(left, right):
     return sorted(map(tuple, left.collect()), key=str) == sorted(map(tuple, right.collect()), key=str)
 
 
-def test_hot_keys_are_the_heaviest(frame):
-    assert {r.k for r in hot_keys(facts(frame), ["k"], EAGER).collect()} >= {1, None}
-    assert hot_keys(facts(frame), ["k"], SkewPolicy()).count() == 0
-
-
 def test_lookup_join_equals_plain_join(frame):
     f = facts(frame)
     lookup = frame("k bigint, w string", *[(i, f"w{i}") for i in range(0, 60, 2)], (1, "w1"), (None, "never"))
     for how in ("left", "inner"):
-        joined = lookup_join(f, lookup, ["k"], ["id"], how, policy=EAGER)
+        joined = lookup_join(f, lookup, ["k"], ["id"], how)
         assert same(joined.select("id", "k", "v", "w"), f.join(lookup, "k", how).select("id", "k", "v", "w"))
 
 
-def test_hot_rows_are_spread(frame):
-    plan = lookup_join(facts(frame), frame("k bigint, w string", (1, "a")), ["k"], ["id"], "left", policy=EAGER)
-    assert "_salt" in plan._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_attach_aggregates_equals_window(frame):
     f = facts(frame)
-    got = attach_aggregates(f, ["k"], [F.max("id").alias("top"), F.count(F.lit(1)).alias("n")], ["id"], EAGER)
+    got = attach_aggregates(f, ["k"], [F.max("id").alias("top"), F.count(F.lit(1)).alias("n")], ["id"])
     w = Window.partitionBy("k")
     want = f.select("id", "k", "v", F.max("id").over(w).alias("top"), F.count(F.lit(1)).over(w).alias("n"))
     assert same(got.where("k is not null").select("id", "k", "v", "top", "n"), want.where("k is not null"))
@@ -54,10 +40,9 @@ def test_rank_rows_equals_row_number(frame):
     ids = sorted({rng.randrange(-(2**62), 2**62) for _ in range(300)} | set(range(2**20 - 50, 2**20 + 50)))
     rows = [(i, rng.choice(["hot", "hot", "a", None])) for i in ids]
     df = frame("id bigint, g string", *rows)
-    for policy in (EAGER, SkewPolicy()):
-        got = rank_rows(df, ["g"], [F.col("id")], id_buckets("id"), "rn", policy)
-        want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("id")))
-        assert same(got.select("id", "g", "rn"), want)
+    got = rank_rows(df, ["g"], [F.col("id")], id_buckets("id"), "rn")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    assert same(got.select("id", "g", "rn"), want)
 
 
 def test_rank_rows_without_groups_and_descending(frame):
@@ -106,6 +91,8 @@ def test_plain_fact_joins_are_split_by_adaptive_execution(spark, frame, tmp_path
             "unpaid": admission.unpaid_busy_bookings(facts, plain),
             "unpaid kept": admission.unpaid_busy_bookings(facts, plain, keep=True),
             "expired": listings.expired_profiles(plain, facts, "2021-01-01"),
+            "lookup": lookup_join(facts, plain.select(F.col("id").alias("trailer_id"), "currency"), ["trailer_id"], ["id"]),
+            "aggregates": attach_aggregates(facts, ["trailer_id"], [F.max("id").alias("top")], ["id"]),
         }
         for name, df in jobs.items():
             df.collect()
