@@ -6,20 +6,34 @@ from pyspark.sql import DataFrame, functions as F
 
 from lendlane.functions.columns import empty_to_null, js_trim
 from lendlane.operators.payouts import unique_hosts
-from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy, lookup_join
+from lendlane.operators.skew import lookup_join
 
 
-def onboarding_eligibility(
-    requests: DataFrame, hosts: DataFrame, config: DataFrame, policy: SkewPolicy = DEFAULT_POLICY
-) -> DataFrame:
+def onboarding_eligibility(requests: DataFrame, hosts: DataFrame, config: DataFrame) -> DataFrame:
     """Onboarding requests with the first failing check, and the country it is about.
 
-    The country is the request's, else the host's; an empty request country does not
-    fall through.  Each request is judged against the hosts as given.
+    The country is the request's, else the host's; an empty request country does not fall through.
+    Requests are handled by ``request_id``: the first eligible one of a host without a country
+    stores its own, and later requests without one use it.
     """
     known = unique_hosts(hosts, ["id", "country_code"]).select(
         "host_uid", F.col("id").alias("_host"), F.col("country_code").alias("_host_country")
     )
+    nothing = F.lit(None).cast("string")
+    alone = _judged(requests, known.withColumns({"_stored": nothing, "_stored_by": F.lit(None).cast("bigint")}), config)
+    stores = (F.col("outcome") == "eligible") & empty_to_null("_host_country").isNull()
+    stored = alone.where(stores).groupBy("host_uid").agg(
+        F.min_by("onboarding_country", "request_id").alias("_stored"), F.min("request_id").cast("bigint").alias("_stored_by"))
+    judged = _judged(requests, known.join(stored, "host_uid", "left"), config)
+    return judged.select(
+        *requests.columns,
+        F.when(F.col("outcome").isin("blocked", "eligible"), F.col("onboarding_country")).alias("onboarding_country"),
+        "outcome",
+    )
+
+
+def _judged(requests: DataFrame, known: DataFrame, config: DataFrame) -> DataFrame:
+    """Each request against its host and what an earlier request of the host has stored."""
     lookup = config.select(
         F.col("country_code").alias("_code"), "country_status", "host_enabled", "stripe_connect_supported"
     )
@@ -35,16 +49,13 @@ def onboarding_eligibility(
         .when(F.coalesce(blocked, F.lit(False)), "blocked")
         .otherwise("eligible")
     )
-    country = F.upper(js_trim(F.coalesce("country", "_host_country", F.lit(""))))
-    joined = (
-        lookup_join(requests, known, ["host_uid"], ["request_id"], policy=policy)
+    stored = F.when(F.col("_stored_by") < F.col("request_id"), F.col("_stored"))
+    country = F.upper(js_trim(F.coalesce("country", stored, "_host_country", F.lit(""))))
+    return (
+        lookup_join(requests, known, ["host_uid"], ["request_id"])
         .withColumn("onboarding_country", country)
         .join(lookup, F.col("onboarding_country") == F.col("_code"), "left")
-    )
-    return joined.withColumn("outcome", outcome).select(
-        *requests.columns,
-        F.when(F.col("outcome").isin("blocked", "eligible"), F.col("onboarding_country")).alias("onboarding_country"),
-        "outcome",
+        .withColumn("outcome", outcome)
     )
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lendlane.functions.columns import empty_to_null, js_positive_id, moment, touch
-from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy, lookup_join
+from lendlane.operators.skew import lookup_join
 
 # Event types that confirm or refuse a payment.
 SUCCESS_TYPES = ["checkout.session.completed", "checkout.session.async_payment_succeeded"]
@@ -104,30 +106,45 @@ def _deciding_state(pending: DataFrame, bookings: DataFrame) -> DataFrame:
 
 
 def payment_event_classify(
-    events: DataFrame, bookings: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, keep_booking: bool = False
+    events: DataFrame, bookings: DataFrame, keep_booking: bool = False
 ) -> DataFrame:
     """One outcome per event, as if events were handled one by one by (ts, event_id).
 
     For a booking not paid yet, the first fitting event is applied and binds its
     session, unless a session is stored already.  Events of another session are
-    mismatches, the rest duplicates.  ``(ts, event_id)`` names a delivery.  With
+    mismatches, the rest duplicates.  ``(ts, event_id)`` names a delivery; it may come several
+    times, and one copy of it is applied at most.  With
     ``keep_booking`` the parsed id of pending events stays in ``_booking``.
     """
     pending = pending_events(events)
-    joined = lookup_join(pending, _deciding_state(pending, bookings), ["_booking"], ["event_id"], policy=policy)
+    joined = lookup_join(pending, _deciding_state(pending, bookings), ["_booking"], ["event_id"])
     mine = F.struct("ts", "event_id")
     outcome = (
         F.when(F.col("_booking") == -1, "bad_metadata")
         .when(F.col("known").isNull(), "unknown_booking")
-        .when(F.coalesce(F.col("winner") == mine, F.lit(False)), "applied")
+        .when(F.coalesce(F.col("winner") == mine, F.lit(False)) & (F.col("_session") == F.coalesce("bound", F.lit(""))), "applied")
         .when(F.col("_session") != F.col("bound"), "session_mismatch")
         .otherwise("duplicate")
     )
-    kept = ["_booking"] if keep_booking else []
-    decided = joined.select(*events.columns, *kept, outcome.alias("outcome"))
+    decided = joined.select(*events.columns, "_booking", outcome.alias("outcome"))
+    decided = decided.where(F.col("outcome") != "applied").unionByName(_applied_once(decided, events.columns))
+    if not keep_booking:
+        decided = decided.drop("_booking")
     return decided.unionByName(settled_events(events), allowMissingColumns=True)
 
 
+def _applied_once(decided: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The winning deliveries: one of their copies stays ``applied``, the others are duplicates.
+
+    Copies are counted first, so only one row per winner and task is shuffled.
+    """
+    copies = decided.where(F.col("outcome") == "applied").groupBy(*columns, "_booking").agg(F.count(F.lit(1)).alias("_n"))
+    first = F.row_number().over(Window.partitionBy("_booking").orderBy(F.xxhash64(*columns)))
+    each = copies.withColumn("_first", first == 1).select(*columns, "_booking", "_first", F.explode(F.sequence(F.lit(1), "_n")).alias("_copy"))
+    outcome = F.when(F.col("_first") & (F.col("_copy") == 1), "applied").otherwise("duplicate")
+    return each.select(*columns, "_booking", outcome.alias("outcome"))
+
+
 def payment_apply(bookings: DataFrame, classified: DataFrame, as_of) -> DataFrame:
     """Bookings after the ``applied`` events: paid, confirmed, linked.  Price and currency never change."""
     intent = F.col("payment_intent_id") if "payment_intent_id" in classified.columns else F.lit(None).cast("string")

@@ -21,18 +21,19 @@ def market_tier(code: str, connect: str, currency: str) -> Column:
 def market_tier_rollup(config: DataFrame, hosts: DataFrame, bookings: DataFrame) -> DataFrame:
     """Countries, hosts and booking value per tier.
 
-    Bookings are summed per host before they meet the hosts, so no host is hot.
+    Bookings are summed per host before they meet the hosts, so no host is hot.  Bookings whose host
+    is NULL or unknown count as unlisted, so the tiers add up to all bookings.
     """
     of_country = market_tier("country_code", "stripe_connect_supported", "currency")
     countries = config.groupBy(of_country.alias("tier")).agg(F.count(F.lit(1)).alias("countries"))
     of_host = market_tier("cfg_country_code", "cfg_stripe_connect_supported", "cfg_currency")
     value = bookings.groupBy("host_uid").agg(F.sum("total_price").alias("value"), F.count(F.lit(1)).alias("n"))
-    known = hosts.groupBy("host_uid").agg(F.min_by("country_code", "id").alias("country_code"))
+    known = hosts.groupBy("host_uid").agg(F.min_by("country_code", "id").alias("country_code"), F.lit(1).alias("known"))
     per_tier = (
-        with_config(known.join(value, "host_uid", "left"), "country_code", config, ["currency", "stripe_connect_supported"])
+        with_config(known.join(value, "host_uid", "full"), "country_code", config, ["currency", "stripe_connect_supported"])
         .groupBy(of_host.alias("tier"))
         .agg(
-            F.count(F.lit(1)).alias("hosts"),
+            F.count("known").alias("hosts"),
             F.sum(F.coalesce("n", F.lit(0))).alias("bookings"),
             F.sum("value").alias("booking_value"),
         )

@@ -26,13 +26,17 @@ DRIVER_SCHEMAS = {
 
 # @TS: a timestamp literal without time zone.  @FOUR: one row for each k in 0..3.
 # @PARTS, @SUPPLIERS: rows of these tables; for Spark the number itself.
-COUNTED = {"@PARTS": "part", "@SUPPLIERS": "supplier"}
-SPARK_TOKENS = {"@TS": "timestamp_ntz", "@FOUR": "lateral view explode(array(0, 1, 2, 3)) g as k"}
+COUNTED = {"@PARTS": "part", "@SUPPLIERS": "supplier", "@ORDERS": "orders"}
+SPARK_TOKENS = {"@TS": "timestamp_ntz", "@FOUR": "lateral view explode(array(0, 1, 2, 3)) g as k",
+    "@THREE": "lateral view explode(array(0, 1, 2)) g as k"}
 ORACLE_TOKENS = {
-    "@TS": "timestamp", "@FOUR": "cross join range(4) as g(k)",
+    "@TS": "timestamp", "@FOUR": "cross join range(4) as g(k)", "@THREE": "cross join range(3) as g(k)",
     **{token: f"(select count(*) from {table})" for token, table in COUNTED.items()},
 }
 
+# several events per booking, all bookings at every scale, and one booking with a third of the events
+_EVENT_BOOKING = "(case when event_id % 3 = 1 then 4 else 1 + (cast((event_id - event_id % 4) / 4 as bigint)*7919) % @ORDERS end)"
+
 _PROFILE_RATES = """
  cast((p_partkey*(k+1)) % 8 as decimal(10,2)) as short_rental_price,
  cast((p_partkey+k) % 15 as decimal(10,2)) as daily_rate,
@@ -110,7 +114,8 @@ VIEWS = {
  from {part} @FOUR where p_partkey % 11 <> 5""",
     "bookings": """
  select o_orderkey+1 as id, (o_orderkey*7) % @PARTS as trailer_id,
- concat('host_', cast(((o_orderkey*7) % @PARTS) % @SUPPLIERS as varchar(20))) as host_uid,
+ case when o_orderkey % 43 = 0 then null when o_orderkey % 47 = 0 then 'host_gone'
+  else concat('host_', cast(((o_orderkey*7) % @PARTS) % @SUPPLIERS as varchar(20))) end as host_uid,
  case o_orderkey % 5 when 0 then null when 1 then '' else 'Box' end as trailer_type,
  case o_orderstatus when 'F' then 'completed' when 'O' then 'Paid_Confirmed'
   else case when o_orderkey % 2 = 0 then 'in_progress' else null end end as status,
@@ -131,17 +136,17 @@ VIEWS = {
  case event_type when 'purchase' then 'checkout.session.completed' when 'click' then 'checkout.session.async_payment_succeeded'
   when 'error' then 'checkout.session.async_payment_failed' else 'other' end as type,
  case when event_id % 29 = 0 then null when event_id % 31 = 0 then 'abc' when event_id % 37 = 0 then '99999999'
-  else cast(1 + event_id % 1600 as varchar(20)) end as booking_id,
+  else cast(@BOOKING as varchar(20)) end as booking_id,
  case when event_id % 5 = 0 then 'unpaid' else 'paid' end as payment_status,
- concat('cs_', cast(case when event_id % 7 = 0 then 0 else 1 + event_id % 1600 end as varchar(20))) as session_id,
+ concat('cs_', cast(case when event_id % 7 = 0 then 0 else @BOOKING end as varchar(20))) as session_id,
  case event_id % 3 when 0 then concat('pi_', cast(event_id as varchar(20)))
   when 1 then concat('{{"id":"pi_', cast(event_id as varchar(20)), '"}}') end as payment_intent
- from {events}""",
+ from {events} @THREE where k = 0 or event_id % 41 = 0""".replace("@BOOKING", _EVENT_BOOKING),
     "city_centres": """
  select concat('City ', cast(n_nationkey as varchar(20))) as loc,
  cast(cast(n_nationkey as decimal(9,4))*cast(3.5 as decimal(5,4)) as decimal(10,6)) as clat,
  cast(cast(n_nationkey as decimal(9,4))*cast(-2.25 as decimal(5,4)) as decimal(10,6)) as clng
- from {nation} where n_nationkey < 11""",
+ from {nation} where n_nationkey % 6 <> 5""",
     "city_offsets": """
  select cast(i as bigint) as i, cast(dlat as decimal(10,6)) as dlat, cast(dlng as decimal(10,6)) as dlng
  from (values (0,0.0060,0.0040),(1,-0.0040,0.0080),(2,0.0080,-0.0040),(3,-0.0060,-0.0060),(4,0.0100,0.0030),(5,0.0030,-0.0090))
@@ -154,7 +159,7 @@ VIEWS = {
  concat('https://photos.example/', cast(p_partkey % 9 as varchar(20)), '.jpg') as photo from {part}""",
     "checkout_requests": """
  select event_id, case when event_id % 23 = 0 then '-1' when event_id % 19 = 0 then null
-  else cast(1 + (event_id*7) % 16000 as varchar(20)) end as booking_id from {events} where event_type = 'click'""",
+  else cast(1 + (event_id*7) % (@ORDERS + 1000) as varchar(20)) end as booking_id from {events} where event_type = 'click'""",
     "authorize_requests": """
  select event_id, case event_id % 7 when 0 then null when 1 then 'USD' when 2 then '' else 'EUR' end as currency,
  case event_id % 11 when 0 then null when 1 then '12.5' when 2 then 'x' when 3 then '2000000'
@@ -189,7 +194,7 @@ VIEWS = {
     "app_links": """
  select case n_nationkey when 0 then 'client' when 1 then 'host' else concat('app', cast(n_nationkey as varchar(9))) end as app,
  0 as min_build, n_nationkey as latest_build, false as force_update,
- concat('https://store.example/', cast(n_nationkey as varchar(9))) as android_url from {nation} where n_nationkey < 8""",
+ concat('https://store.example/', cast(n_nationkey as varchar(9))) as android_url from {nation} where n_nationkey % 3 <> 2""",
 }
 
 

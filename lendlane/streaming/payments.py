@@ -19,7 +19,6 @@ events in one batch is spread like there.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -29,7 +28,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lendlane.functions.columns import js_positive_id
 from lendlane.operators.payments import parse_events, payment_event_classify, pending_events
-from lendlane.operators.skew import DEFAULT_POLICY, SkewPolicy
 
 BOUND_SCHEMA = "id bigint, session_id string"
 
@@ -70,19 +68,24 @@ class OutcomeLog:
         found = outcomes.parquet(*[self.partition(b) for b in batches]).where(F.col("outcome") == "applied")
         return found.select(js_positive_id("booking_id").alias("id"), "session_id")
 
+    @staticmethod
+    def _one_each(bound: DataFrame) -> DataFrame:
+        """One row per booking, whatever the log holds."""
+        return bound.groupBy("id").agg(F.min("session_id").alias("session_id"))
+
     def bound(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """Bookings bound by the batches before ``batch_id``: at most one row each."""
         number, every = batch_id // self.snapshot_every, self.snapshot_every
         if number == 0:
-            return self._applied(spark, range(batch_id))
+            return self._one_each(self._applied(spark, range(batch_id)))
         if batch_id == number * every:
             # the snapshot before this one is in the other slot: a second try finds it whole
             rows = self._applied(spark, range(batch_id - every, batch_id))
             if number > 1:
                 rows = rows.unionByName(spark.read.schema(BOUND_SCHEMA).parquet(self.snapshot(number - 1)))
-            rows.write.mode("overwrite").parquet(self.snapshot(number))
+            self._one_each(rows).write.mode("overwrite").parquet(self.snapshot(number))
         recent = self._applied(spark, range(number * every, batch_id))
-        return spark.read.schema(BOUND_SCHEMA).parquet(self.snapshot(number)).unionByName(recent)
+        return self._one_each(spark.read.schema(BOUND_SCHEMA).parquet(self.snapshot(number)).unionByName(recent))
 
 
 def bookings_after(bookings: DataFrame, bound: DataFrame, touched: DataFrame) -> DataFrame:
@@ -102,14 +105,14 @@ def bookings_after(bookings: DataFrame, bound: DataFrame, touched: DataFrame) ->
 
 
 def judge_batch(
-    batch: DataFrame, batch_id: int, bookings: DataFrame, log: OutcomeLog, policy: SkewPolicy = DEFAULT_POLICY
+    batch: DataFrame, batch_id: int, bookings: DataFrame, log: OutcomeLog
 ) -> None:
     """Classify one micro-batch and write its partition of the log."""
     batch = batch.persist()
     try:
         touched = pending_events(batch).select(F.col("_booking").alias("id")).distinct()
         state = bookings_after(bookings, log.bound(batch.sparkSession, batch_id), touched)
-        outcomes = payment_event_classify(batch, state, policy)
+        outcomes = payment_event_classify(batch, state)
         outcomes.write.mode("overwrite").partitionBy("outcome").parquet(log.partition(batch_id))
     finally:
         batch.unpersist()
@@ -121,7 +124,6 @@ def start_payment_stream(
     log: OutcomeLog,
     checkpoint: str,
     drain: bool = True,
-    policy: SkewPolicy = DEFAULT_POLICY,
 ) -> StreamingQuery:
     """Judge streaming ``events`` into the log.
 
@@ -130,16 +132,12 @@ def start_payment_stream(
     there is has been read, else it goes on.
     """
     writer = events.writeStream.foreachBatch(
-        lambda batch, batch_id: judge_batch(batch, batch_id, bookings(batch.sparkSession), log, policy)
+        lambda batch, batch_id: judge_batch(batch, batch_id, bookings(batch.sparkSession), log)
     ).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer).start()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names for checkpoints."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="lendlane-")
+    """A new folder below the one the cluster names for checkpoints, else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/payments-{uuid.uuid4().hex}"

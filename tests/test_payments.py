@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 from tests.conftest import as_dicts, column
 
 from lendlane.operators import payments
-from lendlane.operators.skew import SkewPolicy
 from lendlane.plans import jobs
 from lendlane.streaming import payments as stream
 
 NOW = "2026-07-06 00:00:00"
-EAGER = SkewPolicy(max_hot=2, rows_per_salt=3)
 DONE, LATER, FAILED = (
     "checkout.session.completed", "checkout.session.async_payment_succeeded", "checkout.session.async_payment_failed")
 EVENT = "event_id bigint, ts timestamp_ntz, type string, booking_id string, payment_status string, session_id string, payment_intent string"
@@ -68,9 +66,8 @@ def judge(bookings, events):
 def test_batch_equals_one_event_at_a_time(frame, seed):
     bookings, events = random_world(seed)
     expected, state = judge(bookings, sorted(events, key=lambda e: (e[1], e[0])))
-    for policy in (EAGER, SkewPolicy()):
-        replay = jobs.payment_replay(frame(EVENT, *events), frame(BOOKING, *bookings), NOW, policy)
-        assert column(replay.outcomes, "outcome", "event_id") == expected
+    replay = jobs.payment_replay(frame(EVENT, *events), frame(BOOKING, *bookings), NOW)
+    assert column(replay.outcomes, "outcome", "event_id") == expected
     after = as_dicts(replay.bookings, "id")
     winners = {int(float(events[i][3])): events[i] for i, o in expected.items() if o == "applied"}
     for id, status, paid, session, price, _ in bookings:
@@ -88,7 +85,7 @@ def test_replay_does_not_depend_on_row_order(frame):
     bookings, events = random_world(9)
     mixed = random.Random(1).sample(events, len(events))
     one = payments.payment_event_classify(frame(EVENT, *events), frame(BOOKING, *bookings))
-    two = payments.payment_event_classify(frame(EVENT, *mixed), frame(BOOKING, *bookings), EAGER)
+    two = payments.payment_event_classify(frame(EVENT, *mixed), frame(BOOKING, *bookings))
     assert column(one, "outcome", "event_id") == column(two, "outcome", "event_id")
 
 
@@ -99,6 +96,26 @@ def test_booking_that_starts_paid_never_binds(frame):
     assert [got[i] for i in range(4)] == ["duplicate", "duplicate", "duplicate", "session_mismatch"]
 
 
+def test_redelivered_events_are_applied_once(spark, frame, tmp_path):
+    """Copies of a delivery, in one batch and over several: one is applied, no outcome is multiplied."""
+    bookings, events = random_world(5, 120)
+    copies = sorted([e for e in events for _ in range(1 + e[0] % 3)], key=lambda e: (e[1], e[0]))
+    expected = []
+    state = {b[0]: b for b in bookings}
+    for n, e in enumerate(copies):
+        outcome, after = judge(state.values(), [e])
+        expected.append((e[0], outcome[e[0]]))
+        for i, b in state.items():
+            state[i] = (*b[:2], "paid" if after[i]["paid"] else b[2], after[i]["session"], *b[4:])
+    got = payments.payment_event_classify(frame(EVENT, *copies), frame(BOOKING, *bookings))
+    assert sorted((r.event_id, r.outcome) for r in got.collect()) == sorted(expected)
+    log = stream.OutcomeLog(str(tmp_path / "log"), 2)
+    cuts = [0, 1, 40, 41, 43, 100, len(copies)]
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        stream.judge_batch(frame(EVENT, *copies[a:b]), n, frame(BOOKING, *bookings), log)
+    assert sorted((r.event_id, r.outcome) for r in log.read(spark).collect()) == sorted(expected)
+
+
 def test_counts(frame):
     bookings, events = random_world(2)
     classified = payments.payment_event_classify(frame(EVENT, *events), frame(BOOKING, *bookings))
@@ -136,7 +153,7 @@ def test_stream_in_several_batches_equals_the_replay(spark, frame, tmp_path, see
         (source / f"part-{n}.json").write_text("\n".join(document(e, e[0] % 2 == 0) for e in part) + "\n")
         if n % 2:  # two files per start; the query goes on from its checkpoint
             flat = stream.json_event_source(spark, str(source), max_files=1)
-            stream.start_payment_stream(flat, lambda _: owned, log, str(checkpoint), policy=EAGER).awaitTermination()
+            stream.start_payment_stream(flat, lambda _: owned, log, str(checkpoint)).awaitTermination()
     got = log.read(spark)
     expected, _ = judge(bookings, events)
     assert column(got, "outcome", "event_id") == {f"evt_{i:05d}": o for i, o in expected.items()}

@@ -3,12 +3,10 @@ from decimal import Decimal
 from tests.conftest import as_dicts, column
 
 from lendlane.operators import onboarding, payouts, reports
-from lendlane.operators.skew import SkewPolicy
 from lendlane.plans import jobs
 from lendlane.sources.golden import golden
 
 NOW = "2026-07-06 00:00:00"
-EAGER = SkewPolicy(max_hot=2, rows_per_salt=1)
 BOOKING = (
     "id bigint, host_uid string, status string, payout_status string, payout_due_at timestamp_ntz,"
     " host_payout_amount decimal(16,5), currency string, total_price decimal(16,5)"
@@ -51,14 +49,13 @@ def test_plan_ladder(frame):
         booking(6, "space", currency=None), booking(7, "dd"), booking(8, payout="paid", amount=0), booking(9, amount=None),
         booking(10, amount="0.00499"), booking(11, "missing"), booking(12, None), booking(13, "no"), booking(14, amount="0.005"), booking(15, payout="failed"),
     )
-    for policy in (EAGER, SkewPolicy()):
-        got = as_dicts(payouts.payout_plan(df, hosts(frame), config(frame), policy), "booking_id")
-        assert {i: got[i]["outcome"] for i in got} == {
-            1: "transfer", 2: "country_blocked", 3: "transfer", 4: "no_account", 5: "no_account", 6: "transfer", 7: "country_blocked",
-            8: "already_paid", 9: "no_amount", 10: "no_amount", 11: "no_account", 12: "no_account", 13: "transfer", 14: "transfer", 15: "transfer"}
-        # configured currency, else the booking's, else euro; ' EE ' is looked up untrimmed
-        assert [got[i]["transfer_currency"] for i in (1, 3, 6, 13, 2)] == ["eur", "sek", "eur", "nok", None]
-        assert (got[14]["amount_cents"], got[2]["blocked_country"], got[1]["destination"]) == (1, "SE", "acct_1")
+    got = as_dicts(payouts.payout_plan(df, hosts(frame), config(frame)), "booking_id")
+    assert {i: got[i]["outcome"] for i in got} == {
+        1: "transfer", 2: "country_blocked", 3: "transfer", 4: "no_account", 5: "no_account", 6: "transfer", 7: "country_blocked",
+        8: "already_paid", 9: "no_amount", 10: "no_amount", 11: "no_account", 12: "no_account", 13: "transfer", 14: "transfer", 15: "transfer"}
+    # configured currency, else the booking's, else euro; ' EE ' is looked up untrimmed
+    assert [got[i]["transfer_currency"] for i in (1, 3, 6, 13, 2)] == ["eur", "sek", "eur", "nok", None]
+    assert (got[14]["amount_cents"], got[2]["blocked_country"], got[1]["destination"]) == (1, "SE", "acct_1")
     manual = payouts.payout_plan_manual(df, frame("booking_id bigint", (15,), (8,), (99,)), hosts(frame), config(frame))
     assert column(manual, "outcome", "booking_id") == {15: "transfer", 8: "already_paid"}
     summary = as_dicts(payouts.payout_run_summary(payouts.payout_plan(df, hosts(frame), config(frame))), "outcome")
@@ -96,13 +93,12 @@ def test_eligibility_ladder_and_backfill(frame):
         (6, "ee", "", None), (7, "ee", " \tse\n", None), (8, "ee", "ng", None), (9, "ee", "DD", None), (10, "ee", "NO", None),
         (11, "space", None, None), (12, "none", "zz", None), (13, "none", "ee", None),
     )
-    for policy in (EAGER, SkewPolicy()):
-        eligible = onboarding.onboarding_eligibility(requests, hosts(frame), config(frame), policy)
-        got = as_dicts(eligible, "request_id")
-        assert [got[i]["outcome"] for i in range(1, 14)] == [
-            "no_host_uid", "no_host_uid", "host_not_found", "host_not_found", "no_country", "no_country", "eligible",
-            "blocked", "blocked", "blocked", "eligible", "eligible", "eligible"]
-        assert (got[7]["onboarding_country"], got[11]["onboarding_country"], got[6]["onboarding_country"]) == ("SE", "EE", None)
+    eligible = onboarding.onboarding_eligibility(requests, hosts(frame), config(frame))
+    got = as_dicts(eligible, "request_id")
+    assert [got[i]["outcome"] for i in range(1, 14)] == [
+        "no_host_uid", "no_host_uid", "host_not_found", "host_not_found", "no_country", "no_country", "eligible",
+        "blocked", "blocked", "blocked", "eligible", "eligible", "eligible"]
+    assert (got[7]["onboarding_country"], got[11]["onboarding_country"], got[6]["onboarding_country"]) == ("SE", "EE", None)
     filled = column(onboarding.onboarding_country_backfill(hosts(frame), eligible), "country_code")
     assert filled[3] == "ZZ" and filled[1] == "ee" and filled[7] == " EE "
 
@@ -124,6 +120,26 @@ def test_state(frame):
     assert (flags[1], flags[2], flags[5], flags[9]) == (True, False, False, True)
 
 
+def test_requests_of_a_host_see_each_other(frame):
+    """Against a fold, one request at a time."""
+    import random
+    dice, rows = random.Random(3), []
+    for i in range(200):
+        rows.append((i, dice.choice(["none", "blank", "ee", "missing"]), dice.choice([None, None, "", "EE", "DD", " se ", "NO"]), None))
+    all_hosts = [(5, "none", None, None, None, None), (6, "blank", None, "", None, None), (7, "ee", None, "ee", None, None)]
+    own = frame(HOST, *all_hosts)
+    alone = as_dicts(onboarding.onboarding_eligibility(frame(REQUEST, (0, "ee", "EE", None), (1, "ee", "DD", None), (2, "ee", "SE", None), (3, "ee", "NO", None)), own, config(frame)))
+    verdict = {r["onboarding_country"]: r["outcome"] for r in alone}
+    stored, expected = {h[1]: h[3] for h in all_hosts}, {}
+    for i, host, country, _ in rows:
+        asked = (country if country is not None else stored.get(host) or "").strip().upper()
+        expected[i] = "host_not_found" if host == "missing" else "no_country" if not asked else verdict[asked]
+        if expected[i] == "eligible" and not stored[host]:
+            stored[host] = asked
+    got = onboarding.onboarding_eligibility(frame(REQUEST, *rows), own, config(frame))
+    assert column(got, "outcome", "request_id") == expected
+
+
 def test_tiers(spark, frame):
     markets = golden(spark, "country_markets")
     some_hosts = frame(HOST, (1, "a", None, "ee", None, None), (2, "b", None, "US", None, None), (3, "c", None, "ng", None, None), (4, "d", None, "XX", None, None), (5, "e", None, None, None, None))
@@ -131,7 +147,7 @@ def test_tiers(spark, frame):
     got = as_dicts(reports.market_tier_rollup(markets, some_hosts, bookings), "tier")
     assert {t: r["countries"] for t, r in got.items()} == {"euro_auto_payout": 21, "live_non_euro": 23, "manual_payout": 7, "unlisted": 0}
     assert {t: (r["hosts"], r["bookings"], int(r["booking_value"])) for t, r in got.items()} == {
-        "euro_auto_payout": (1, 2, 12), "live_non_euro": (1, 0, 0), "manual_payout": (1, 0, 0), "unlisted": (2, 1, 1)}
+        "euro_auto_payout": (1, 2, 12), "live_non_euro": (1, 0, 0), "manual_payout": (1, 0, 0), "unlisted": (2, 2, 101)}
 
 
 def test_held_balance(frame):
