@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -110,20 +111,46 @@ def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of an edge list and the smallest node each is connected to."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[:len(a)], place[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[x], label[y])
+        for end in (x, y):
+            np.minimum.at(new, end, least)
+            np.minimum.at(new, label[end], least)  # also what stands for the node
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+EDGES_PER_TASK = 500_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: ``(node, component)`` with the smallest node as component.
 
-    Alternates large-star and small-star steps until the edges are stars.  Both sides of each
-    join are read from files, so each comes straight from a shuffle, and adaptive execution can
-    split a node with very many edges.  Nodes without an edge do not occur; NULL ends are ignored.
+    Each task joins its own edges, a bounded number, to stars; what is left of several tasks is
+    joined by large-star and small-star steps until nothing changes.  Joins are forced to shuffle
+    both sides, so adaptive execution can split a node with very many edges.  Nodes without an
+    edge do not occur; edges with a NULL end are ignored.
     """
     edges = save(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges")
     before = None
     for _ in range(rounds):
+        tasks = -(-edges.count() // EDGES_PER_TASK)
+        edges = save(edges.coalesce(max(tasks, 1)).mapInPandas(_stars, "u long, v long"), "stars")
+        if tasks <= 1:  # one task has seen every edge that is left
+            break
         now = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        if now == before:
             break
         before = now
         both = edges.union(edges.select("v", "u"))
@@ -135,10 +162,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _stars(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a task, each component as a star around its smallest node."""
+    parts = list(parts)
+    if parts:
+        node, least = local_components(*(np.concatenate([p[c].to_numpy() for p in parts]) for c in ("u", "v")))
+        yield pd.DataFrame({"u": node[node != least], "v": least[node != least]})
+
+
 def _to_least(edges: DataFrame, kept: Column) -> DataFrame:
     """Link each kept neighbour of a node, and the node itself, to the least node around it."""
-    least = save(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-    moved = edges.where(kept).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    even = F.pmod(F.xxhash64("u"), F.lit(1).cast("bigint"))  # one more key, so that both sides are shuffled
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    moved = edges.where(kept).withColumn("_even", even).join(least.withColumn("_even", even), ["u", "_even"])
+    moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
     return moved.union(own).where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
