@@ -86,20 +86,6 @@ def _whole(column: Column, pattern: str) -> Column:
     return F.regexp_extract(column, f"^[{JS_BLANKS}]*{pattern}[{JS_BLANKS}]*$", 1)
 
 
-def js_number(column: str | Column) -> Column:
-    """Text to number as ``Number(text)`` reads it; NULL where that gives NaN.
-
-    A suffix such as ``'12d'``, which a SQL cast lets pass, is not a number.
-    """
-    text = _col(column)
-    forms = [_whole(text, JS_NUMBERS[10]).try_cast("double")]
-    for radix in (16, 8, 2):
-        digits = F.nullif(_whole(text, JS_NUMBERS[radix]), F.lit(""))
-        forms.append(F.conv(digits, radix, 10).try_cast("double"))
-    blank = F.when(text.rlike(f"^[{JS_BLANKS}]*$"), F.lit(0.0))
-    return F.coalesce(*forms, blank)
-
-
 def js_positive_id(column: str | Column) -> Column:
     """Text id to bigint; NULL unless ``Number(text)`` is an integer above zero.
 

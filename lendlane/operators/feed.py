@@ -10,6 +10,7 @@ from lendlane.operators.skew import lookup_join
 # Booking states, in lower case, in which a listing is out on rent.
 RENTING_STATES = ["paid_confirmed", "in_progress"]
 
+# What the feed shows of a listing and of its prices.
 LISTING_COLUMNS = [
     "id", "trailername", "model", "trailer_type", "thumbnail", "photos", "main_category", "subtype",
     "is_available", "delivery_available", "verified", "insurance_status", "description",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -64,10 +65,11 @@ def write_bookings(bookings: DataFrame, path: str) -> None:
     monthly.repartitionByRange("start_month", "id").write.mode("append").partitionBy("start_month").parquet(path)
 
 
-def read_bookings_until(spark: SparkSession, path: str, as_of: str) -> DataFrame:
+def read_bookings_until(spark: SparkSession, path: str, as_of: str | datetime) -> DataFrame:
     """Bookings starting no later than the month of ``as_of``; later partitions are not read.
 
     Nothing bounds how long a rental lasts, so earlier months are not cut off.
     """
     df = spark.read.schema(TABLE_SCHEMAS["bookings"] + ", start_month string").parquet(path)
-    return df.where(F.col("start_month") <= as_of[:7]).drop("start_month")
+    month = as_of.strftime("%Y-%m") if isinstance(as_of, datetime) else as_of[:7]
+    return df.where(F.col("start_month") <= month).drop("start_month")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lendlane.functions.columns import blur, epoch_micros, js_number, js_positive_id, js_round_cents, js_trim, moment
+from lendlane.functions.columns import blur, epoch_micros, js_positive_id, js_round_cents, js_trim, moment
 
 
 def one(df, expression):
@@ -20,11 +20,6 @@ def test_ids_read_like_javascript_numbers(frame):
     assert [(c[0], got[n]) for n, c in enumerate(cases)] == cases
 
 
-def test_numbers(frame):
-    df = frame("t string", ("",), ("  ",), ("-2.5",), ("1e2",), ("0x10",), ("x",), ("5f",), (None,))
-    assert one(df, js_number("t")) == [0.0, 0.0, -2.5, 100.0, 16.0, None, None, None]
-
-
 def test_trim_takes_all_whitespace(frame):
     df = frame("t string", ("\t a b \n",), ("﻿x",), ("",))
     assert one(df, js_trim("t")) == ["a b", "x", ""]

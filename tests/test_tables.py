@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ def test_later_months_are_not_read(spark, frame, tmp_path):
     tables.write_bookings(made.unionByName(rows), path)
     df = tables.read_bookings_until(spark, path, "2026-06-15 00:00:00")
     assert sorted(r.id for r in df.collect()) == [1, 2, 4]
+    at = tables.read_bookings_until(spark, path, datetime(2026, 6, 15))
+    assert sorted(r.id for r in at.collect()) == [1, 2, 4]
     assert df.columns == [f.split()[0] for f in BOOKINGS.replace("\n", " ").split(", ")]
     assert "start_month#" in df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
 
