@@ -174,23 +174,40 @@ FOUND = "doc long, sign long, lo int, hi int"
 
 
 def _contexts(docs: DataFrame, firsts: PartedFilter, shared: PartedFilter, length: int, piece: int, buckets: int) -> DataFrame:
-    """The neighbourhoods of shared anchors: all bytes of the strings an anchor stands for."""
+    """The neighbourhoods of shared anchors: all bytes of the strings an anchor stands for.
+
+    A task sends equal neighbourhoods once, as long as the first it met is the earliest.  A later one
+    is known to be repeated: it goes without its bytes, to any shard.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((firsts, shared))
 
     def emit(batches):
         first_filter, shared_filter = sent.value
+        earliest: dict[int, tuple[int, int]] = {}
         for batch in slices(batches):
             ids, raw = _firsts(batch, first_filter)
             own = Slice(raw, length, piece)
             hashes, text, first, last = own.anchors()
             keep = np.flatnonzero(shared_filter.has(hashes)) if len(hashes) else np.zeros(0, np.int64)
             hashes, text, first, last = hashes[keep], text[keep], first[keep], last[keep]
-            signs, buffer = own.signs(), own.data.tobytes()
+            if not len(hashes):
+                continue
+            signs, buffer, doc, start = own.signs(), own.data.tobytes(), ids[text], first - own.starts[text]
+            content = own.hashes.of(first, last + length) ^ spread(hashes)
+            bucket = _dealt(hashes, buckets).astype(np.int64)
+            anywhere = (spread(doc.view(np.uint64) + spread(start.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+            data = []
+            for i, place in enumerate(zip(content.tolist(), doc.tolist(), start.tolist(), first.tolist(), last.tolist())):
+                known, here = earliest.get(place[0]), place[1:3]
+                if known is not None and known < here:
+                    data.append(None)
+                    bucket[i] = anywhere[i]
+                else:
+                    earliest[place[0]] = here
+                    data.append(buffer[place[3]:place[4] + length])
             yield pa.RecordBatch.from_arrays([
-                pa.array(_dealt(hashes, buckets).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(ids[text] if len(text) else np.zeros(0, np.int64)),
-                pa.array((signs[text] if len(text) else np.zeros(0, np.uint64)).view(np.int64)),
-                pa.array((first - own.starts[text] if len(text) else first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)),
-                pa.array([buffer[a:b + length] for a, b in zip(first.tolist(), last.tolist())], pa.binary()),
+                pa.array(bucket.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(doc), pa.array(signs[text].view(np.int64)),
+                pa.array(start.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(data, pa.binary()),
             ], ["bucket", "anchor", "doc", "sign", "start", "strings", "data"])
 
     return docs.mapInArrow(emit, CONTEXTS)
@@ -198,9 +215,10 @@ def _contexts(docs: DataFrame, firsts: PartedFilter, shared: PartedFilter, lengt
 
 def repeated_strings(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """Ranges of bytes covered by strings that start earlier too, in the neighbourhoods of one shard."""
+    known, rows = rows[rows["data"].isna()], rows[rows["data"].notna()]  # the first are known to be repeated
     rows = rows.sort_values(["doc", "start", "sign"], kind="stable").drop_duplicates(["doc", "start", "sign", "anchor"]).reset_index(drop=True)
     again = rows.duplicated(["anchor", "data"])
-    copies, rows = rows[again], rows[~again]
+    copies, rows = pd.concat([known, rows[again]]), rows[~again]
     several = rows.groupby("anchor")["doc"].transform("size") > 1
     rows = rows[several].reset_index(drop=True)
     out = [pd.DataFrame({"doc": copies["doc"], "sign": copies["sign"], "lo": copies["start"], "hi": copies["start"] + copies["strings"] + length - 1})]
