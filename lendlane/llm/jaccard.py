@@ -6,8 +6,9 @@ put the rarest of their elements into inverted lists; sets that meet in a list a
 are verified on whole sets.  The boundary comes from the cost of both on the histogram of sizes.
 
 A list with many sets is not expanded to all pairs.  Each set is first compared with the centre
-of its lists; what that links is one group, and then only pairs of sets that meet in a list and
-are still in different groups are compared.  No link between groups is lost this way.
+of its lists, then with the set of its lists that meets the most others; what that links is one
+group, and in the end only pairs of sets that meet in a list and are still in different groups
+are compared.  No link between groups is lost this way.
 """
 
 from __future__ import annotations
@@ -117,11 +118,26 @@ def _joined(values, kind: str) -> np.ndarray:
 
 # ---------------------------------------------------------------- frequent elements
 
-def frequent_elements(docs: DataFrame, buckets: int, width: int) -> BitFilter:
-    """The elements many sets hold, so that they stand last in the order of elements.
+class Ranks:
+    """How frequent elements are, in steps of four times: nested filters, most elements are in none."""
 
-    Counts cover all sets, by 32 bits of the element.  Of the frequent ones the filter takes those
-    above the power of two that leaves a million at most; the rest only costs time.
+    def __init__(self, levels: list[np.ndarray]):
+        self.filters = [BitFilter(v, min(max((16 * len(v)).bit_length(), 13), FILTER_BITS)) for v in levels]
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        rank, at = np.zeros(len(values), np.int8), np.arange(len(values))
+        for own in self.filters:
+            at = at[own.has(values[at])]
+            rank[at] += 1
+        return rank
+
+
+def element_ranks(docs: DataFrame, buckets: int, width: int) -> Ranks:
+    """Ranks that put the elements many sets hold last in the order of elements.
+
+    Counts cover all sets, by 32 bits of the element.  The filters take the most frequent million
+    at most; what they leave out, or admit wrongly, changes the order for all sets alike and
+    costs time only.
     """
     def emit(batches):
         for _, sets in _distinct_sets(batches, width):
@@ -144,8 +160,9 @@ def frequent_elements(docs: DataFrame, buckets: int, width: int) -> BitFilter:
         if left < 0:
             break
         least = level
-    rows = counted.where(F.col("level") >= least).select("data").collect() if least is not None else []
-    return BitFilter(_joined([bytes(r.data) for r in rows], "<u4"))
+    rows = counted.where(F.col("level") >= least).select("level", "data").collect() if least is not None else []
+    steps = range(least, max(r.level for r in rows) + 1, 2) if rows else ()
+    return Ranks([_joined([bytes(r.data) for r in rows if r.level >= step], "<u4") for step in steps])
 
 
 # ---------------------------------------------------------------- lists and candidates
@@ -164,7 +181,7 @@ def _light_keys(s: np.ndarray, light: int, percent: int) -> Iterator[np.ndarray]
         yield low, spread(mixed ^ np.uint64(low * 64 + high + 1))
 
 
-def _entries(signs, sets, rare: BitFilter, light: int, percent: int):
+def _entries(signs, sets, ranks: Ranks, light: int, percent: int):
     """Keys, sets, sizes and kinds (0: heavy, else the smaller size of a light class)."""
     keys, own, sizes, kinds = [], [], [], []
 
@@ -174,18 +191,17 @@ def _entries(signs, sets, rare: BitFilter, light: int, percent: int):
         sizes.append(np.full(len(k), n, np.int32))
         kinds.append(np.full(len(k), kind, np.uint8))
 
-    often = rare.has(np.concatenate(sets).astype(np.uint32))
+    rank = ranks.of(np.concatenate(sets).astype(np.uint32))
     at = 0
     for sign, s in zip(signs, sets):
-        n, flags = len(s), often[at:at + len(s)]
+        n, own_rank = len(s), rank[at:at + len(s)]
         at += n
         if n <= light:
             for low, k in _light_keys(s, light, percent):
                 add(k, sign, n, low)
         if 100 * n >= percent * (light + 1):
-            p = prefix(n, percent)
-            first = s[~flags][:p]
-            add(first if len(first) == p else np.concatenate([first, s[flags][:p - len(first)]]), sign, n, 0)
+            first = np.argsort(own_rank, kind="stable")[:prefix(n, percent)]
+            add(s[first], sign, n, 0)
     if not keys:
         return None
     return np.concatenate(keys), np.concatenate(own), np.concatenate(sizes), np.concatenate(kinds)
@@ -226,9 +242,9 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def _met(docs: DataFrame, rare: BitFilter, light: int, buckets: int, width: int, percent: int) -> DataFrame:
+def _met(docs: DataFrame, ranks: Ranks, light: int, buckets: int, width: int, percent: int) -> DataFrame:
     """Rows ``GROUP_SCHEMA``: every list with its members, each list of equal members once."""
-    shared = docs.sparkSession.sparkContext.broadcast(rare)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def emit(batches):
         for signs, sets in _distinct_sets(batches, width):
@@ -295,6 +311,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """``gid, sign, size, component`` of the lists that hold sets of different groups."""
+    placed = lists.join(groups, F.col("sign") == F.col("node"), "left").select(
+        "gid", "sign", "size", F.coalesce("component", "sign").alias("component"))
+    placed = save(placed, "placed")
+    mixed = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gid")
+    return save(placed.join(mixed, "gid", "left_semi"), "open")
+
+
+def _by_centre(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member with the set of its list that meets the most others, if in another group."""
+    sizes = save(lists.groupBy("gid").agg(F.count(F.lit(1)).alias("n")), "met")
+    weight = save(lists.join(sizes, "gid").groupBy("sign").agg(F.sum("n").alias("weight")), "weights")
+    weighed = lists.join(weight, "sign")
+    best = weighed.groupBy("gid").agg(F.max(F.struct("weight", F.xxhash64("sign").alias("h"), "sign", "size", "component")).alias("c"))
+    best = save(best.select("gid", F.col("c.sign").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.component").alias("centre_group")), "centres")
+    near = 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
+    return _pairs(lists.join(best, "gid").where((F.col("component") != F.col("centre_group")) & near), "centre", "sign")
+
+
 def similar_groups(docs: DataFrame, ids: str = "doc_id", width: int = 5, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``ids``, ``text``).
 
@@ -318,30 +358,31 @@ def similar_groups(docs: DataFrame, ids: str = "doc_id", width: int = 5, percent
     buckets = max(64, rows.count() // 1000)
 
     named = docs.where(F.col("doc_id").isNotNull())
-    met = save(_met(named, frequent_elements(named, buckets, width), light, buckets, width, percent), "lists")
+    met = save(_met(named, element_ranks(named, buckets, width), light, buckets, width, percent), "lists")
     near = 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
     linked = met.where(F.col("linked") & (F.col("sign") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("sign").alias("b"))
     lists = met.where(~F.col("linked"))
-    pairs = save(lists.where((F.col("sign") != F.col("centre")) & near)
-                 .select(F.least("centre", "sign").alias("a"), F.greatest("centre", "sign").alias("b")).distinct(), "pairs")
-    sets = save(_whole_sets(named, save(lists.select("sign").distinct(), "wanted"), width), "whole")
-    links = save(linked.union(_verified(pairs, sets, percent)), "links")
+    pairs = save(_pairs(lists.where((F.col("sign") != F.col("centre")) & near), "centre", "sign"), "pairs")
+    sets = _whole_sets(named, save(pairs.select(F.explode(F.array("a", "b")).alias("sign")).distinct(), "wanted"), width)
+    links = save(linked.union(_verified(pairs, save(sets, "whole"), percent)), "links")
     groups = save(components(links), "groups")
 
-    # what meets in a list and is in different groups now
-    placed = lists.select("gid", "sign", "size").join(groups, F.col("sign") == F.col("node"), "left").select(
-        "gid", "sign", "size", F.coalesce("component", "sign").alias("component"))
-    placed = save(placed, "placed")
-    mixed = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gid")
-    open_lists = save(placed.join(mixed, "gid", "left_semi"), "open")
-    left, right = (open_lists.select("gid", *(F.col(c).alias(f"{c}_{side}") for c in ("sign", "size", "component"))) for side in "lr")
+    # lists whose sets are in different groups: once more with the set that most others meet
+    still = _open(lists.select("gid", "sign", "size"), groups)
+    central = save(_by_centre(still, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    sets = save(_whole_sets(named, save(still.select("sign").distinct(), "wanted"), width), "whole")
+    links = save(links.union(_verified(central, sets, percent)), "links")
+    groups = save(components(links), "groups")
+
+    # and what still meets in a list from different groups, pair by pair
+    still = _open(still.select("gid", "sign", "size"), groups)
+    left, right = (still.select("gid", *(F.col(c).alias(f"{c}_{side}") for c in ("sign", "size", "component"))) for side in "lr")
     rest = left.join(right, "gid").where(
         (F.col("component_l") < F.col("component_r"))
         & (100 * F.least("size_l", "size_r") >= percent * F.greatest("size_l", "size_r")))
-    rest = rest.select(F.least("sign_l", "sign_r").alias("a"), F.greatest("sign_l", "sign_r").alias("b")).distinct()
-    rest = save(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = save(_verified(rest, sets, percent), "more")
-    groups = save(components(links.union(more)), "groups")
+    rest = _pairs(rest, "sign_l", "sign_r").join(pairs.union(central), ["a", "b"], "left_anti")
+    more = _verified(save(rest, "rest"), sets, percent)
+    groups = save(components(save(links.union(more), "links")), "groups")
 
     classed = used.select("doc_id", "sign").join(groups, F.col("sign") == F.col("node"), "left").select(
         "doc_id", "sign", F.coalesce("component", "sign").alias("component"))
@@ -362,7 +403,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> Data
     gone = save(gone, "gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
     named = kept.where(F.col("doc_id").isNotNull())
-    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    # written first, so that their size is known and texts are not shuffled for a few ids
+    repeated = save(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated")
     single = named.join(repeated, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
     again = named.join(repeated, "doc_id", "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1")
