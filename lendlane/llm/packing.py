@@ -53,8 +53,8 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int, end_id: int = 0) -> Da
         encode = word_encoder(tokenizer)
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
-                ids = encode(text) + last
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts(batch))):
+                ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * longest)):
                     own = ids[at:at + 4 * longest]
                     rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))

@@ -1,37 +1,85 @@
 """Token ids of texts, one distinct word at a time.
 
 The word tokenizer drops white space and its splits never reach over it, so the ids of a text
-are those of its words in a row.  Each task keeps the ids of words it has met, up to a bound.
+are those of its words in a row.  It folds case, and a run of letters is one of its units.  Each task
+keeps the ids of words it has met, up to a bound.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 
-MOST_WORDS = 300_000
-BATCH = 2_000
+MOST_WORDS = 1_000_000
+BATCH = 1_000
+_ENDED = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")  # letters and ASCII marks
 
 
-def word_encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian unsigned 32-bit numbers."""
+def _is_unit(word: str) -> bool:
+    """Letters only, as the tokenizer's normal form leaves them: one unit of its split."""
+    return word.isalpha() and word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word))
+
+
+def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to their ids as little-endian unsigned 32-bit numbers.
+
+    Words kept from earlier calls are forgotten when they and the new ones are too many.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer, known = Tokenizer.from_file(path), {}
 
-    def encode(text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()  # bytes are split at ASCII white space only
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+    def ids_of(found) -> bytes:
+        return np.array(found, "<u4").tobytes()
+
+    def one_by_one(parts: list[str]) -> list[bytes]:
+        return [ids_of(e.ids) for e in tokenizer.encode_batch(parts, add_special_tokens=False)]
+
+    def of_units(units: list[str]) -> list[bytes]:
+        """Units are encoded as one text; the library tells which unit an id is from."""
+        found = tokenizer.encode(" ".join(units), add_special_tokens=False)
+        unit = np.array(found.word_ids, np.int64)
+        if len(unit) == 0 or unit[-1] + 1 != len(units) or (np.diff(unit) < 0).any() or len(np.unique(unit)) != len(units):
+            return one_by_one(units)
+        data, ends = ids_of(found.ids), (4 * np.searchsorted(unit, np.arange(len(units)), side="right")).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(words: list[bytes]) -> None:
+        texts, units, ended, others = [w.decode() for w in words], {}, [], []
+        for word, text in zip(words, texts):
+            if _is_unit(text):
+                units[text] = word
+            elif (m := _ENDED.fullmatch(text)) and _is_unit(m[1]):
+                ended.append((word, m[1].encode(), m[2].encode()))
+                if ended[-1][1] not in known:
+                    units[m[1]] = ended[-1][1]
+                if ended[-1][2] not in known:
+                    others.append(m[2])
+            else:
+                others.append(text)
+        names = list(units)
+        for i in range(0, len(names), BATCH):
+            part = names[i:i + BATCH]
+            known.update(zip([units[n] for n in part], of_units(part)))
+        for i in range(0, len(others), BATCH):
+            part = others[i:i + BATCH]
+            known.update(zip([t.encode() for t in part], one_by_one(part)))
+        for word, unit, tail in ended:
+            known[word] = known[unit] + known[tail]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        own = [t.encode("utf-8", "replace").lower().split() for t in texts]  # ASCII case and white space only
+        words = set().union(*own)
+        missing = words.difference(known)
         if len(known) + len(missing) > MOST_WORDS:
             known.clear()
-            missing = list(dict.fromkeys(words))
-        for i in range(0, len(missing), BATCH):
-            part = missing[i:i + BATCH]
-            for word, found in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            missing = words
+        learn(list(missing))
+        return [b"".join(map(known.__getitem__, w)) for w in own]
 
     return encode

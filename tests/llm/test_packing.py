@@ -19,7 +19,7 @@ LIBRARY = Tokenizer.from_file(PATH)
 def test_ids_are_those_of_the_library(parts):
     text = "".join(parts).encode("utf-8", "replace").decode()
     want = np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert word_encoder(PATH)(text) == want
+    assert word_encoder(PATH)([text, text]) == [want, want]
 
 
 @pytest.mark.parametrize("choose", ["norm", "dot"])
