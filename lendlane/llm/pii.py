@@ -32,7 +32,9 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)|[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|AT)[)\]]")
+# all that can stand for the "@" of a hidden address; a plain "at" only where a host with a dot of any form follows
+_TRIGGER = re.compile(
+    r"[0-9@]|[(\[]\s*+at\s*+[)\]]|\sat\s++(?=[a-z0-9-]++(?:\.|\s*+[(\[]\s*+(?:dot|\.)\s*+[)\]]\s*+|\s++dot\s++)[a-z0-9-])", re.I)
 
 Span = tuple[int, int, str]
 
@@ -98,6 +100,7 @@ class Settings:
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _AT = re.compile(r"\s*[(\[]\s*at\s*[)\]]\s*|\s+at\s+", re.I)
+_PROSE = re.compile(r"\s+at\s+[a-z0-9-]+\.[a-z0-9-]", re.I)
 _DOT = re.compile(r"\s*[(\[]\s*(?:dot|\.)\s*[)\]]\s*|\s+dot\s+", re.I)
 _OPEN, _SHUT = set("+([") , set(")]")
 
@@ -113,13 +116,14 @@ def segment_features(text: str, start: int, end: int, tokens: int) -> list[str]:
     plain = _DOT.sub(".", _AT.sub("@", s))
     number = _digits(s)
     letters = any(c.isalpha() for c in plain)
+    bare = "@" not in s and not re.search(r"[(\[]\s*at\s*[)\]]", s, re.I)
     parts = plain.split(".")
     before, after = text[start - 1:start], text[end:end + 1]
     out = [
         "bias", f"digits {_bucket(len(number), (1, 4, 7, 10, 12, 14, 17, 20))}", f"letters {letters}",
         f"at {plain.count('@')}", f"dots {min(plain.count('.'), 4)}", f"spaces {min(plain.count(' '), 5)}",
         f"tokens {_bucket(tokens, (2, 4, 7, 10, 13))}", f"odd {bool(re.search(r'[^A-Za-z0-9._%+@ ()/-]', plain))}",
-        f"hidden {min(ats + dots, 2)}", f"glued left {before.isalnum() or before in ('@', '_', '-', '+', '.')}",
+        f"hidden {min(ats + dots, 2)}", f"plain at {min(ats, 1) * bare} {min(dots, 1)}", f"glued left {before.isalnum() or before in ('@', '_', '-', '+', '.')}",
         f"glued right {after.isalnum() or after in ('@', '_', '-')}", f"cut right {after == '.' and text[end + 1:end + 2].isalnum()}",
     ]
     if re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", plain):
@@ -220,9 +224,10 @@ def _windows(text: str, taken=(), around: int = 48) -> list[tuple[int, int]]:
             at += 1
         if at < len(taken) and taken[at][0] <= p:
             continue
-        if out and p < out[-1][1] - around // 2:
+        if out and p < out[-1][1] - around // 2 and m.end() == p + 1:
             continue
-        lo, hi = max(0, p - around), min(len(text), p + around)
+        # a spelled address has no further trigger, so it is all within reach
+        lo, hi = max(0, p - around), min(len(text), m.end() + around * (1 if m.end() == p + 1 else 4))
         while lo > 0 and not text[lo - 1].isspace() and p - lo < 4 * around:
             lo -= 1
         while hi < len(text) and not text[hi].isspace() and hi - p < 4 * around:
@@ -297,20 +302,22 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Field:
     """Train on a bounded sample: per kind of window the first ``windows`` by a hash of id and place.
 
     The windows are short, so the sample is small whatever the texts are.  No match, no field.
+    Windows without an entity but with a host after a plain "at" are a kind of their own, as they are
+    few and look like hidden addresses.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = [(w, s) for t in texts(batch) if _TRIGGER.search(t) for w, s in examples(t)]
             yield pa.RecordBatch.from_pydict({
                 "window": [w for w, _ in rows], "start": [s[0][0] if s else -1 for _, s in rows],
-                "end": [s[0][1] if s else -1 for _, s in rows], "kind": [s[0][2] if s else "" for _, s in rows],
+                "end": [s[0][1] if s else -1 for _, s in rows], "kind": [s[0][2] if s else "at" if _PROSE.search(w) else "" for w, s in rows],
             }, schema=pa.schema([("window", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     found = docs.select("text").mapInArrow(run, "window string, start int, end int, kind string").where(F.length("window") <= 400)
-    each = settings.windows // (len(KINDS) + 1)
+    each = settings.windows // (len(KINDS) + 2)
     rows = []
     for kind, own in _sample(found, each).items():
-        rows += [(w, [(a, b, kind)] if kind else []) for w, a, b in own]
+        rows += [(w, [(a, b, kind)] if kind in KINDS else []) for w, a, b in own]
     return train(rows, settings) if any(s for _, s in rows) else Field({}, settings)
 
 

@@ -61,6 +61,17 @@ def test_field_adds_hidden_forms_and_leaves_others():
         assert pii.all_spans(text, own) == ([], [])
 
 
+def test_every_hidden_form_is_looked_for(frame):
+    own = field()
+    for hidden in ("jo.doe (at) example.org", "jo.doe [at] example [dot] org", "jo.doe at example dot org", "jo.doe ( at ) example.org", "jo.doe (At) example.org",
+                   "jo.doe [ AT ] example ( dot ) org", "jo.doe At mail.example Dot org", "jo.doe at departmentofphysicalchemistryandmaterials dot universityofsomewhere dot org"):
+        text = f"write to {hidden} soon"
+        assert pii.all_spans(text, own) == ([], [(9, 9 + len(hidden), "email")]), hidden
+        assert as_dicts(pii.redacted(frame("doc_id long, text string", (1, text)), own))[0]["text"] == "write to <email> soon"
+    for text in ("we met at noon. then left", "look at that", "at home"):
+        assert pii.all_spans(text, own) == ([], [])
+
+
 def test_best_segmentation_is_the_highest():
     own = field()
     text = "mail a1 (at) b.com or 702-555-4777 x"
