@@ -167,26 +167,16 @@ class Field:
 
     def best(self, text: str, tokens: list[tuple[int, int]], margin: float) -> list[tuple[int, int, str, list[str]]]:
         """The highest-scoring segmentation; tokens outside entities score 0, entities less a margin."""
-        ending = defaultdict(list)
+        out, open_, reach = [], [], 0
         for i, j, features in self.candidates(text, tokens):
+            if i >= reach:  # nothing crosses this place, so what is before it is settled
+                out += _chosen(open_)
+                open_ = []
             score, kind = max(((self.score(k, features), k) for k in _possible(features)), default=(margin, ""))
             if score > margin:
-                ending[j].append((score - margin, i, kind, features))
-        best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-        for j in range(1, len(tokens) + 1):
-            best[j] = best[j - 1]
-            for score, i, kind, features in ending[j]:
-                if best[i] + score > best[j]:
-                    best[j], back[j] = best[i] + score, (i, kind, features)
-        out, j = [], len(tokens)
-        while j:
-            if back[j]:
-                i, kind, features = back[j]
-                out.append((i, j, kind, features))
-                j = i
-            else:
-                j -= 1
-        return out[::-1]
+                open_.append((score - margin, i, j, kind, features))
+                reach = max(reach, j)
+        return out + _chosen(open_)
 
     def spans(self, text: str, free_of: list[Span]) -> list[Span]:
         """Entities in the windows around triggers that do not touch the given spans."""
@@ -198,18 +188,42 @@ class Field:
         return out
 
 
+def _chosen(segments: list[tuple[float, int, int, str, list[str]]]) -> list[tuple[int, int, str, list[str]]]:
+    """Of scored segments those without overlap that score most together."""
+    if not segments:
+        return []
+    ending, low = defaultdict(list), segments[0][1]
+    for score, i, j, kind, features in segments:
+        ending[j - low].append((score, i - low, kind, features))
+    n = max(ending)
+    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    for j in range(1, n + 1):
+        best[j] = best[j - 1]
+        for score, i, kind, features in ending[j]:
+            if best[i] + score > best[j]:
+                best[j], back[j] = best[i] + score, (i, kind, features)
+    out, j = [], n
+    while j:
+        if back[j]:
+            i, kind, features = back[j]
+            out.append((i + low, j + low, kind, features))
+            j = i
+        else:
+            j -= 1
+    return out[::-1]
+
+
 def _parts(tokens, taken) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens between the taken spans, at most some hundred tokens at a time."""
+    """Runs of tokens between the taken spans, however long."""
     run, at = [], 0
     for a, b in tokens:
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if (at < len(taken) and taken[at][0] < b) or len(run) >= 400:
+        if at < len(taken) and taken[at][0] < b:
             if run:
                 yield run
             run = []
-            if at < len(taken) and taken[at][0] < b:
-                continue
+            continue
         run.append((a, b))
     if run:
         yield run

@@ -72,6 +72,15 @@ def test_every_hidden_form_is_looked_for(frame):
         assert pii.all_spans(text, own) == ([], [])
 
 
+def test_entities_anywhere_in_long_dense_text():
+    own = field()
+    for hidden, kind in (("jo.doe (at) example.org", "email"), ("(702) 555-4777", "phone")):
+        for before in (150, 196, 198, 199):
+            for turns in (1, 2):
+                lead, rest = "7 n " * before * turns, " n 7" * 60
+                assert pii.all_spans(lead + hidden + rest, own) == ([], [(len(lead), len(lead) + len(hidden), kind)]), (hidden, before, turns)
+
+
 def test_best_segmentation_is_the_highest():
     own = field()
     text = "mail a1 (at) b.com or 702-555-4777 x"
