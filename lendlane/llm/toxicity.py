@@ -96,21 +96,24 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """Fit on the texts of a bounded sample of labelled rows; rows are calibrated with dictionaries they had no part in.
 
     The texts of the sample come to the driver as far as they stay under ``sample_chars`` per label,
-    in the order of a hash of the id.  Without a toxic row the score of every text is a constant 0.
+    in the order of a hash of the id; a text that does not fit is passed over.  Without a toxic row the
+    score of every text is a constant 0.  Raises if there are rows of a label but none fits.
     """
     chosen = F.broadcast(sampled_labels(labels, settings))
     known = save(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").distinct(), "labelled")
-    rows = []
+    rows, text = [], F.xxhash64("text").alias("key")
     for label in (1, 0):
         own = known.where(F.col("toxic") == label)
-        left, last = settings.sample_chars // 2, None
-        for r in own.groupBy("rank").agg(F.sum(F.length("text")).alias("n")).orderBy("rank").collect():
-            left -= r.n
-            if left < 0:
-                break
-            last = r["rank"]
-        if last is not None:
-            rows += own.where(F.col("rank") <= last).orderBy("rank", "text").collect()
+        left, fits, sizes = settings.sample_chars // 2, [], own.groupBy("rank", text).agg(F.sum(F.length("text")).alias("n"))
+        for r in sizes.orderBy("rank", "key").toLocalIterator():
+            if r.n <= left:
+                left -= r.n
+                fits.append((r["rank"], r.key))
+        if fits:
+            taken = F.broadcast(docs.sparkSession.createDataFrame(fits, "rank long, key long"))
+            rows += own.withColumn("key", text).join(taken, ["rank", "key"], "left_semi").orderBy("rank", "text").collect()
+        elif not own.isEmpty():
+            raise ValueError(f"no text labelled toxic = {label} fits into {settings.sample_chars // 2} characters")
     parts = [zlib.crc32(f"{r.doc_id}/part".encode()) % settings.parts for r in rows]
     if not any(r.toxic for r in rows):
         return Model(b"", b"", (-30.0,) + (0.0,) * (len(settings.steps) + 2), settings)

@@ -40,3 +40,16 @@ def test_labels_of_held_out_rows_are_not_read(frame):
     labels = frame("doc_id long, toxic int", *[(i, i % 2) for i in range(200)])
     assert {r["doc_id"] for r in as_dicts(toxicity.sampled_labels(labels))} == set(range(200)) - set(held)
     assert toxicity.sampled_labels(labels, toxicity.Settings(toxic_rows=3, ordinary_rows=5)).count() == 8
+
+
+def test_a_text_that_does_not_fit_is_passed_over(frame):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    labels = frame("doc_id long, toxic int", *[(i, i % 2) for i in ids])
+    first = {label: min((r["rank"], r["doc_id"]) for r in as_dicts(toxicity.sampled_labels(labels)) if r["toxic"] == label)[1] for label in (0, 1)}
+    texts = {i: ("grobian lummox " if i % 2 else "garden window ") * 3 + f"n{i}" for i in ids}
+    docs = frame("doc_id long, text string", *[(i, "x" * 30_000 if i in first.values() else texts[i]) for i in ids])
+    settings = toxicity.Settings(sample_chars=40_000)
+    model = toxicity.fit(docs, labels, settings)
+    assert b"lummox" in model.toxic and b"garden" in model.ordinary and b"xxxx" not in model.ordinary + model.toxic
+    with pytest.raises(ValueError, match="toxic = 1"):
+        toxicity.fit(docs.where(f"doc_id % 2 = 0 OR doc_id = {first[1]}"), labels, settings)
