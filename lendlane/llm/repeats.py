@@ -24,6 +24,7 @@ LENGTH = 100
 PIECE = 32
 PARTS = 256
 PART_BITS = 18
+PLACE_BITS = 26
 NO_ID = (1 << 63) - 1
 
 
@@ -108,14 +109,17 @@ class Slice:
             return np.zeros(0, np.uint64), none, none, none
         at = np.arange(n - piece + 1)
         hashes = self.hashes.of(at, at + piece)
-        low = np.uint64((1 << 26) - 1)  # a slice is shorter than that
-        key = (hashes & ~low) | at.astype(np.uint64)
-        width, have = length - piece + 1, 1
-        while have < width:
-            step = min(have, width - have)
-            key = np.minimum(key[:-step], key[step:])
-            have += step
-        anchor = (key & low).astype(np.int64)  # of the string that starts here
+        low, width = np.uint64((1 << PLACE_BITS) - 1), length - piece + 1
+        found = []
+        for lo in range(0, n - length + 1, step := (1 << PLACE_BITS) - width + 1):  # places are counted in a stretch
+            part = hashes[lo:lo + step + width - 1]
+            key, have = (part & ~low) | np.arange(len(part)).astype(np.uint64), 1
+            while have < width:
+                more = min(have, width - have)
+                key = np.minimum(key[:-more], key[more:])
+                have += more
+            found.append((key & low).astype(np.int64) + lo)
+        anchor = np.concatenate(found)  # of the string that starts here
         text = np.searchsorted(self.ends, np.arange(len(anchor)), side="right")
         fits = np.arange(len(anchor)) + length <= self.ends[np.minimum(text, len(self.ends) - 1)]
         place = np.flatnonzero(fits)

@@ -63,3 +63,17 @@ def test_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert got(docs) == plain([(r["doc_id"], r["text"]) for r in as_dicts(docs)], 100)
     assert repeats.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_anchors_of_a_slice_longer_than_its_places(monkeypatch):
+    monkeypatch.setattr(repeats, "PLACE_BITS", 10)
+    dice = np.random.default_rng(4)
+    same = dice.integers(0, 256, 700, np.uint8).tobytes()
+    texts = [dice.integers(0, 256, n, np.uint8).tobytes() + same + dice.integers(0, 256, 900, np.uint8).tobytes() for n in (50, 3210)]
+    anchors = []
+    for text in texts:
+        hashes, _, first, last = repeats.Slice([text], 100, 32).anchors()
+        of = {p: h for h, a, b in zip(hashes.tolist(), first.tolist(), last.tolist()) for p in range(a, b + 1)}
+        assert len(of) == len(text) - 99
+        anchors.append([of[text.index(same) + k] for k in range(601)])
+    assert anchors[0] == anchors[1]
