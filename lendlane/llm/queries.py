@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lendlane.llm import context_mixing, embeddings, jaccard, mixing, packing, pii, quality, repeats, token_counts, toxicity
+from lendlane.llm import (
+    context_mixing, embeddings, jaccard, mixing, negatives, packing, pii, quality, repeats, token_counts, toxicity,
+)
 from lendlane.llm.shared import read_documents
 
 
@@ -52,6 +54,11 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(read_documents(spark, sf_dir), labels)
 
 
+def op11_negatives(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+    return negatives.hard_negatives(rows, negatives.ANCHORS, negatives.SHIFTED)
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_packing": op2_packing,
@@ -63,8 +70,10 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
     "op8_mixing": op8_mixing,
+    "op11_negatives": op11_negatives,
 }
 
 ORACLES = {
     "op8_mixing": mixing.ORACLE,
+    "op11_negatives": negatives.ORACLE,
 }
