@@ -6,6 +6,7 @@ import public_tokenizers
 
 from lendlane.llm import (
     context_mixing, embeddings, jaccard, mixing, negatives, packing, pii, quality, repeats, token_counts, toxicity,
+    word_classifier,
 )
 from lendlane.llm.shared import read_documents
 
@@ -59,6 +60,11 @@ def op11_negatives(spark, sf_dir):
     return negatives.hard_negatives(rows, negatives.ANCHORS, negatives.SHIFTED)
 
 
+def op12_classifier(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return word_classifier.quality(read_documents(spark, sf_dir), labels)
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_packing": op2_packing,
@@ -71,6 +77,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op8_mixing": op8_mixing,
     "op11_negatives": op11_negatives,
+    "op12_classifier": op12_classifier,
 }
 
 ORACLES = {
