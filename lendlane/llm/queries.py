@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from lendlane.llm import (
-    context_mixing, embeddings, jaccard, mixing, negatives, packing, pii, quality, repeats, token_counts, toxicity,
-    word_classifier,
+    context_mixing, embeddings, jaccard, lexical, mixing, negatives, packing, pii, quality, repeats, token_counts,
+    toxicity, word_classifier,
 )
 from lendlane.llm.shared import read_documents
 
@@ -65,6 +65,11 @@ def op12_classifier(spark, sf_dir):
     return word_classifier.quality(read_documents(spark, sf_dir), labels)
 
 
+def op13_search(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return lexical.search(items, read_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_packing": op2_packing,
@@ -78,9 +83,11 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op11_negatives": op11_negatives,
     "op12_classifier": op12_classifier,
+    "op13_search": op13_search,
 }
 
 ORACLES = {
     "op8_mixing": mixing.ORACLE,
     "op11_negatives": negatives.ORACLE,
+    "op13_search": lexical.ORACLE,
 }
