@@ -23,12 +23,16 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 @dataclass(frozen=True)
 class Settings:
-    """The sample learned from has at most ``rows`` labelled rows, of texts up to ``longest`` characters."""
+    """The sample learned from has at most ``rows`` labelled rows, of texts up to ``longest`` characters.
+
+    In each round every shard takes so many ``turns`` over its rows before states are averaged.
+    """
 
     rows: int = 32_000
     longest: int = 50_000
     shard_rows: int = 2_000
-    epochs: int = 4
+    rounds: int = 2
+    turns: int = 2
     bits: int = 18
     orders: tuple[int, ...] = (1, 2)
     rate: float = 1.0
@@ -148,44 +152,42 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", settings: S
     """
     chosen = F.broadcast(sampled_labels(labels, column, settings))
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= settings.longest).join(chosen, "doc_id")
-    rows = save(known.select("y", "rank", "text").mapInArrow(_featured(settings), "y double, rank long, digest long, place binary, value binary"), "ngrams")
+    rows = save(known.select("y", "rank", F.xxhash64("text").alias("digest"), "text"), "labelled")
     shards = max(1, round(rows.count() / settings.shard_rows))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("rank", "digest"), F.lit(shards)).cast("int"))
     leader = Leader(settings)
-    for _ in range(settings.epochs):
-        states = dealt.groupBy("shard").applyInPandas(_epoch(leader), "shard int, moved binary, squares binary").orderBy("shard").toLocalIterator()
+    for _ in range(settings.rounds):
+        states = dealt.groupBy("shard").applyInPandas(_learned(leader), "shard int, place binary, moved binary, squares binary").collect()
         moved, squares, touched = (np.zeros(settings.places) for _ in range(3))
-        for r in states:
-            own_moved, own_squares = np.frombuffer(r.moved), np.frombuffer(r.squares)
-            seen = own_squares != leader.squares
-            touched += seen
-            moved[seen] += own_moved[seen]
-            squares[seen] += own_squares[seen]
+        for r in sorted(states, key=lambda r: r.shard):
+            place = np.frombuffer(r.place, np.int32)
+            touched[place] += 1
+            moved[place] += np.frombuffer(r.moved)
+            squares[place] += np.frombuffer(r.squares)
         kept, divisor = touched == 0, np.maximum(touched, 1)
         leader = Leader(settings, np.where(kept, leader.moved, moved / divisor), np.where(kept, leader.squares, squares / divisor))
     return Model(leader.weights(), settings)
 
 
-def _featured(settings: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            own = texts(batch)
-            place, value, begins = features(own, settings)
-            rows = [np.unique(place[lo:hi], return_inverse=True) + (value[lo:hi],) for lo, hi in zip(begins, begins[1:])]
-            packed = [(p.astype(np.int32).tobytes(), np.bincount(inverse, v).astype(np.float32).tobytes()) for p, inverse, v in rows]
-            digest = spread(np.array([np.frombuffer(p + v, np.uint32).astype(np.uint64).sum() for p, v in packed], np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digest), *(pa.array([x[k] for x in packed], pa.binary()) for k in (0, 1))],
-                ["y", "rank", "digest", "place", "value"])
-    return run
-
+def _learned(start: Leader):
+    """Some turns over the rows of a shard, and the state of the places they touched."""
+    settings = start.settings
 
-def _epoch(start: Leader):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = Leader(start.settings, start.moved.copy(), start.squares.copy())
-        for r in rows.sort_values(["rank", "digest"], kind="stable").itertuples():
-            own.learn(np.frombuffer(r.place, np.int32), np.frombuffer(r.value, np.float32).astype(float), r.y)
-        return pd.DataFrame({"shard": [rows.shard.iloc[0]], "moved": [own.moved.tobytes()], "squares": [own.squares.tobytes()]})
+        rows = rows.sort_values(["rank", "digest"], kind="stable")
+        own, learned = Leader(settings, start.moved.copy(), start.squares.copy()), []
+        for low in range(0, len(rows), 100):
+            part = rows.iloc[low:low + 100]
+            place, value, begins = features(part.text.tolist(), settings)
+            for lo, hi, y in zip(begins, begins[1:], part.y):
+                distinct, inverse = np.unique(place[lo:hi], return_inverse=True)
+                learned.append((distinct.astype(np.int32), np.bincount(inverse, value[lo:hi]).astype(np.float32), y))
+        for _ in range(settings.turns):
+            for row in learned:
+                own.learn(*row)
+        place = np.flatnonzero(own.squares != start.squares).astype(np.int32)
+        state = {"place": place, "moved": own.moved[place], "squares": own.squares[place]}
+        return pd.DataFrame({"shard": [rows.shard.iloc[0]], **{k: [x.tobytes()] for k, x in state.items()}})
     return run
 
 
