@@ -11,9 +11,9 @@ JS_BLANKS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u30
 # Texts that JavaScript's Number() reads, and the radix of each form.
 JS_NUMBERS = {
     10: r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)",
-    16: r"0[xX]([0-9a-fA-F]+)",
-    8: r"0[oO]([0-7]+)",
-    2: r"0[bB]([01]+)",
+    16: r"0[xX]0*([1-9a-fA-F][0-9a-fA-F]*)",
+    8: r"0[oO]0*([1-7][0-7]*)",
+    2: r"0[bB]0*(1[01]*)",
 }
 PLAIN_POSITIVE = r"\+?0*([1-9]\d{0,17})(?:\.0*)?"
 
@@ -90,18 +90,15 @@ def js_positive_id(column: str | Column) -> Column:
     """Text id to bigint; NULL unless ``Number(text)`` is an integer above zero.
 
     Nearly all ids are plain digits, which a cast reads; the patterns are tried only on
-    the rest.  Each form appears once, to keep the generated code small enough for the
-    JVM to compile.
+    the rest, and give empty text, which is no number, where they do not fit.  Each form names the text
+    once: Spark pastes it in for each mention, and the JVM only compiles small code.
     """
     text = _col(column)
     # as decimal text, 1.5e1 is 15.000…: whole if only zeros follow the point
     decimal = _whole(text, JS_NUMBERS[10]).try_cast("decimal(38,18)").cast("string")
-    forms = [_whole(decimal, PLAIN_POSITIVE).try_cast("bigint")] + [
-        F.nullif(F.conv(F.nullif(_whole(text, JS_NUMBERS[radix]), F.lit("")), radix, 10).try_cast("bigint"), F.lit(0))
-        for radix in (16, 8, 2)
-    ]
+    forms = [_whole(decimal, PLAIN_POSITIVE)] + [F.conv(_whole(text, JS_NUMBERS[radix]), radix, 10) for radix in (16, 8, 2)]
     plain = text.try_cast("bigint")
-    return F.when(plain > 0, plain).when(plain.isNull(), F.coalesce(*forms))
+    return F.when(plain > 0, plain).otherwise(F.coalesce(*[f.try_cast("bigint") for f in forms]))
 
 
 def js_round_cents(amount: str | Column) -> Column:

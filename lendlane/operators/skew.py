@@ -35,7 +35,8 @@ def lookup_join(
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
-    even = F.pmod(F.xxhash64(*keys), F.lit(1).cast("bigint"))
+    # never NULL, to the optimizer too: else it would filter for that, with a copy of the keys' expressions
+    even = F.coalesce(F.pmod(F.xxhash64(*keys), F.lit(1).cast("bigint")), F.lit(0).cast("bigint"))
     spread_facts = facts.withColumn("_even", F.when(some_null, F.xxhash64(*row_id)).otherwise(even))
     return spread_facts.join(lookup.withColumn("_even", even), [*keys, "_even"], how).drop("_even")
 
