@@ -100,18 +100,18 @@ def assign_ids(new_rows: DataFrame, existing: DataFrame, order: str = "seq", nam
     return numbered.withColumn(name, top + F.col("_position")).drop("_position")
 
 
-def default_profile_for_import(
-    new_listings: DataFrame, trailers: DataFrame, profiles: DataFrame, as_of, order: str = "seq"
-) -> DataFrame:
-    """One default profile per new listing, with the listing's new id."""
-    with_listing = assign_ids(new_listings.select(order, "host_id"), trailers, order).withColumnRenamed("id", "trailer_id")
-    first_profile = profiles.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("top")).scalar()
-    first_listing = trailers.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("top")).scalar()
+def number_from(new_rows: DataFrame, top: int, order: str = "seq", name: str = "id") -> DataFrame:
+    """Ids after ``top``, in source order."""
+    numbered = rank_rows(new_rows, [], [F.col(order)], id_buckets(order), "_position")
+    return numbered.withColumn(name, F.lit(top).cast("bigint") + F.col("_position")).drop("_position")
+
+
+def default_profiles(listings: DataFrame, shift: int | Column, as_of) -> DataFrame:
+    """One default profile per listing; its id is the listing's plus ``shift``, so both follow one order."""
     now = moment(as_of)
-    return with_listing.select(
-        # both ids follow the same source order
-        (F.col("trailer_id") - first_listing + first_profile).alias("id"),
-        "trailer_id",
+    return listings.select(
+        (F.col("id") + shift).alias("id"),
+        F.col("id").alias("trailer_id"),
         "host_id",
         F.lit("Default").alias("name"),
         F.lit("EUR").alias("currency"),
@@ -124,6 +124,16 @@ def default_profile_for_import(
     )
 
 
+def default_profile_for_import(
+    new_listings: DataFrame, trailers: DataFrame, profiles: DataFrame, as_of, order: str = "seq"
+) -> DataFrame:
+    """One default profile per new listing, with the listing's new id."""
+    with_listing = assign_ids(new_listings.select(order, "host_id"), trailers, order)
+    first_profile = profiles.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("top")).scalar()
+    first_listing = trailers.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("top")).scalar()
+    return default_profiles(with_listing, first_profile - first_listing, as_of)
+
+
 @dataclass(frozen=True)
 class HostRequest:
     """Whom a load should belong to: exact e-mails first, else a fragment of e-mail or name."""
@@ -133,11 +143,23 @@ class HostRequest:
     fragment: str
 
 
-def host_resolution(hosts: DataFrame, requests: Sequence[HostRequest]) -> DataFrame:
+# How a host is written in lists, short and with the name.
+HOST_FIELDS = {"id": "id", "email": "email"}
+NAMED_HOST_FIELDS = {"id": "id", "email": "email", "nimi": "full_name"}
+
+
+def _host_entry(fields: dict[str, str]) -> Column:
+    """``'id=… email=…'``: a label and a value for each field, a dash for NULL."""
+    pattern = " ".join(f"{label}=%s" for label in fields)
+    return F.format_string(pattern, *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in fields.values()])
+
+
+def host_resolution(hosts: DataFrame, requests: Sequence[HostRequest], listed: int = 50) -> DataFrame:
     """One row per request: the chosen host and the tier that found it.
 
     Tier 1 is an exact e-mail, tier 2 the fragment in e-mail or name, tier 3 the
-    only host there is; within a tier the lowest id.  Without any, ``error`` says so.
+    only host there is; within a tier the lowest id.  Without any, ``error`` says so and lists
+    the hosts there are, the ``listed`` lowest ids by name and the rest as a number: ``host_list_agg`` gives all.
     All requests are answered in one aggregate over the hosts.
     """
     row = F.struct(F.col("id").alias("id"), F.col("host_uid").alias("host_uid"))
@@ -155,23 +177,25 @@ def host_resolution(hosts: DataFrame, requests: Sequence[HostRequest]) -> DataFr
         F.struct(F.lit(r.name).alias("request"), F.coalesce(F.col(f"r{n}"), only).alias("pick"))
         for n, r in enumerate(requests)
     ]
-    return summary.select(F.explode(F.array(*answers)).alias("a")).select(
+    lowest = hosts.select("id", _host_entry(NAMED_HOST_FIELDS).alias("entry")).orderBy("id").limit(listed)
+    names = lowest.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "entry"))), lambda x: x["entry"]), "; ")).scalar()
+    more = F.when(F.col("n") > listed, F.concat(F.lit("; and "), (F.col("n") - listed).cast("string"), F.lit(" more"))).otherwise("")
+    return summary.select("n", F.explode(F.array(*answers)).alias("a")).select(
         "a.request",
         F.col("a.pick.tier").alias("tier"),
         F.col("a.pick.host.id").alias("host_id"),
         F.col("a.pick.host.host_uid").alias("host_uid"),
-        F.when(F.col("a.pick").isNull(), F.lit("host not found")).alias("error"),
+        F.when(F.col("a.pick").isNull(), F.concat(F.lit("host not found"), F.when(F.col("n") > 0, F.concat(F.lit(": "), names, more)).otherwise(""))).alias("error"),
     )
 
 
-def host_list_agg(hosts: DataFrame, per_line: int = 1000) -> DataFrame:
-    """All hosts as text, ``'id=… email=…'`` joined by ``'; '``, by id.
+def host_list_agg(hosts: DataFrame, per_line: int = 1000, fields: dict[str, str] = HOST_FIELDS) -> DataFrame:
+    """All hosts as text, ``'id=… email=…'`` joined by ``'; '``, by id; ``fields`` gives labels and columns.
 
     The text is cut into lines of ``per_line`` consecutive ids, as a single string
     would hold the whole table; joining the lines in order gives it.
     """
-    entry = F.format_string("id=%s email=%s", F.col("id").cast("string"), F.coalesce("email", F.lit("-")))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("id"), entry.alias("entry"))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("id"), _host_entry(fields).alias("entry"))))
     return (
         hosts.groupBy(F.floor(F.col("id").cast("decimal(20,0)") / F.lit(per_line)).cast("bigint").alias("line"))
         .agg(F.array_join(F.transform(ordered, lambda x: x["entry"]), "; ").alias("host_list"))

@@ -157,6 +157,19 @@ VIEWS = {
   when p_partkey % 41 = 0 then null
   else concat('New ', cast(p_partkey % 50 as varchar(20))) end as location_name,
  concat('https://photos.example/', cast(p_partkey % 9 as varchar(20)), '.jpg') as photo from {part}""",
+    # whole listings to load: some there already, some twice in the batch, some without a place
+    "listing_rows": """
+ select p_partkey*2+k as seq, p_name as trailername, p_brand as model, p_type as trailer_type, p_type as main_category,
+ concat('sub ', cast(p_size as varchar(9))) as subtype, concat('Listing ', cast(p_partkey as varchar(20))) as description,
+ cast(p_size*50 as int) as capacity_kg, concat(cast(p_size as varchar(9)), ' x 1.3') as dimensions_m,
+ cast(1 + p_partkey % 2 as varchar(9)) as axles, case when p_partkey % 4 = 0 then null else 'grey' end as color,
+ concat('https://photos.example/', cast(p_partkey % 9 as varchar(20)), '.jpg') as photo,
+ cast(cast(p_partkey % 900000 as decimal(9,0))*cast(0.0001 as decimal(5,4)) as decimal(10,6)) as latitude,
+ cast(cast(p_partkey % 1800000 as decimal(9,0))*cast(-0.0001 as decimal(5,4)) as decimal(10,6)) as longitude,
+ case when p_partkey % 3 = 0 then concat('District ', cast(p_partkey % 7 as varchar(20)), ', City ', cast(p_partkey % 13 as varchar(20)))
+  when p_partkey % 41 = 0 then null when p_partkey % 2 = 0 then concat('City ', cast(p_partkey % 13 as varchar(20)))
+  else concat('New ', cast(p_partkey % 50 as varchar(20))) end as location_name
+ from {part} @THREE where k = 0 or (k = 1 and p_partkey % 10 = 3)""",
     "checkout_requests": """
  select event_id, case when event_id % 23 = 0 then '-1' when event_id % 19 = 0 then null
   else cast(1 + (event_id*7) % (@ORDERS + 1000) as varchar(20)) end as booking_id from {events} where event_type = 'click'""",

@@ -19,7 +19,6 @@ events in one batch is spread like there.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -135,9 +134,3 @@ def start_payment_stream(
         lambda batch, batch_id: judge_batch(batch, batch_id, bookings(batch.sparkSession), log)
     ).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer).start()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names for checkpoints, else below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/payments-{uuid.uuid4().hex}"

@@ -66,7 +66,10 @@ def test_host_resolution_tiers(frame):
     ]), "request")
     assert (got["exact"]["tier"], got["exact"]["host_id"]) == (1, 5)
     assert (got["part"]["tier"], got["part"]["host_uid"]) == (2, "b")
-    assert got["none"]["host_id"] is None and got["none"]["error"] == "host not found"
+    assert got["none"]["host_id"] is None
+    assert got["none"]["error"] == "host not found: id=2 email=- nimi=Acme Ltd; id=3 email=sales@acme.example nimi=-; id=5 email= Info@X.example  nimi=-; id=9 email=info@x.example nimi=-"
+    shorter = listings.host_resolution(hosts, [listings.HostRequest("none", (), "zzz")], listed=1).first()
+    assert shorter.error == "host not found: id=2 email=- nimi=Acme Ltd; and 3 more"
     sole = listings.host_resolution(hosts.where("id = 9"), [listings.HostRequest("r", ("none@x.example",), "zzz")]).first()
     assert (sole.tier, sole.host_id, sole.error) == (3, 9, None)
     nobody = listings.host_resolution(hosts.where("false"), [listings.HostRequest("r", ("a@x.example",), "a")]).first()
@@ -76,6 +79,8 @@ def test_host_resolution_tiers(frame):
 def test_host_list_lines(frame):
     hosts = frame(HOSTS, (12, "", "b@x", ""), (2, "", None, ""), (1, "", "a@x", ""))
     assert [r.host_list for r in listings.host_list_agg(hosts, 10).collect()] == ["id=1 email=a@x; id=2 email=-", "id=12 email=b@x"]
+    named = listings.host_list_agg(hosts, 10, listings.NAMED_HOST_FIELDS)
+    assert [r.host_list for r in named.collect()] == ["id=1 email=a@x nimi=; id=2 email=- nimi=", "id=12 email=b@x nimi="]
 
 
 def test_expired(frame):

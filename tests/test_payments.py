@@ -186,7 +186,3 @@ def test_bookings_made_meanwhile_are_found(spark, frame, tmp_path):
             flat, lambda _: frame(BOOKING, *made), log, str(tmp_path / "checkpoint")).awaitTermination()
         made.append((7, "x", None, None, 1, "eur"))
     assert column(log.read(spark), "outcome", "event_id") == {"evt_00000": "unknown_booking", "evt_00001": "applied"}
-
-
-def test_shared_folder_comes_from_the_session(spark):
-    assert stream.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
