@@ -30,7 +30,7 @@ def parse_events(raw: DataFrame, body: str = "body") -> DataFrame:
     flat = raw.select(
         F.col("event_id") if "event_id" in raw.columns else at("$.id").alias("event_id"),
         F.col("ts") if "ts" in raw.columns
-        else (epoch + F.make_dt_interval(secs=at("$.created").try_cast("bigint"))).alias("ts"),
+        else (epoch + F.make_dt_interval(secs=at("$.created").try_cast("decimal(18,6)"))).alias("ts"),
         at("$.type").alias("type"),
         at("$.data.object.metadata.booking_id").alias("booking_id"),
         at("$.data.object.payment_status").alias("payment_status"),

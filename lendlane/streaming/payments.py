@@ -5,16 +5,12 @@ earlier micro-batches left them, and its outcomes become one partition of a
 Parquet log.  So the stream gives what a replay gives, and a booking with very many
 events in one batch is spread like there.
 
-* What a booking is bound to never expires: it is the log's ``applied`` rows.  An
+* What a booking is bound to never expires: it is kept in ``BookingState``.  An
   event may come however late, so there is no watermark, and a redelivered one is
   a duplicate.
-* So that a batch need not read the whole log, the bound bookings are gathered into a
-  snapshot every so many batches; a batch reads the last snapshot and the few log
-  partitions since.  Two snapshots take turns, so there are never more.
+* Of the stored bookings and bound sessions a batch reads the parts it touches, and shuffles neither.
 * A batch that is run again after a failure reads only what earlier batches left, and
-  overwrites its own partition: the log holds one outcome per event.
-* Of the bookings only the few columns needed are read, and only those the batch
-  touches are shuffled.
+  overwrites its own partitions: the log holds one outcome per event.
 """
 
 from __future__ import annotations
@@ -27,9 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lendlane.functions.columns import js_positive_id
 from lendlane.operators.payments import parse_events, payment_event_classify, pending_events
-
-BOUND_SCHEMA = "id bigint, session_id string"
-
+from lendlane.streaming.state import BookingState
 
 def json_event_source(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Event JSON, one document per line, as a stream of flat events in file order."""
@@ -39,98 +33,60 @@ def json_event_source(spark: SparkSession, folder: str, max_files: int = 1000) -
 
 @dataclass(frozen=True)
 class OutcomeLog:
-    """Where outcomes and snapshots are, and after how many batches one is made.
+    """Where outcomes and state are; keep the other values as they are for the life of a log.
 
-    Keep ``snapshot_every`` as it is for the life of a log.
+    A part of the state is read as a snapshot and fewer than ``snapshot_every`` additions.
     """
 
     folder: str
     snapshot_every: int = 100
+    parts: int = 64
+    buckets: int = 16
+
+    @property
+    def state(self) -> BookingState:
+        return BookingState(f"{self.folder}/state", self.parts, self.buckets, self.snapshot_every)
 
     def partition(self, batch_id: int) -> str:
         return f"{self.folder}/outcomes/batch={batch_id}"
 
-    def snapshot(self, number: int) -> str:
-        return f"{self.folder}/bound-every-{self.snapshot_every}/slot={number % 2}"
-
     def read(self, spark: SparkSession) -> DataFrame:
         """All outcomes written so far, with the number of their batch."""
         return spark.read.parquet(f"{self.folder}/outcomes")
 
-    def _applied(self, spark: SparkSession, batches: range) -> DataFrame:
-        """Bookings bound in these batches; no other partition is even listed."""
-        if not batches:
-            return spark.createDataFrame([], BOUND_SCHEMA)
-        outcomes = spark.read.option("basePath", f"{self.folder}/outcomes").schema(
-            "booking_id string, session_id string, batch bigint, outcome string"
-        )
-        found = outcomes.parquet(*[self.partition(b) for b in batches]).where(F.col("outcome") == "applied")
-        return found.select(js_positive_id("booking_id").alias("id"), "session_id")
-
-    @staticmethod
-    def _one_each(bound: DataFrame) -> DataFrame:
-        """One row per booking, whatever the log holds."""
-        return bound.groupBy("id").agg(F.min("session_id").alias("session_id"))
-
-    def bound(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Bookings bound by the batches before ``batch_id``: at most one row each."""
-        number, every = batch_id // self.snapshot_every, self.snapshot_every
-        if number == 0:
-            return self._one_each(self._applied(spark, range(batch_id)))
-        if batch_id == number * every:
-            # the snapshot before this one is in the other slot: a second try finds it whole
-            rows = self._applied(spark, range(batch_id - every, batch_id))
-            if number > 1:
-                rows = rows.unionByName(spark.read.schema(BOUND_SCHEMA).parquet(self.snapshot(number - 1)))
-            self._one_each(rows).write.mode("overwrite").parquet(self.snapshot(number))
-        recent = self._applied(spark, range(number * every, batch_id))
-        return self._one_each(spark.read.schema(BOUND_SCHEMA).parquet(self.snapshot(number)).unionByName(recent))
-
-
-def bookings_after(bookings: DataFrame, bound: DataFrame, touched: DataFrame) -> DataFrame:
-    """State of the touched bookings after the earlier batches.  All three are unique per booking."""
-    applied = bound.select("id", F.col("session_id").alias("_session"), F.lit(True).alias("_applied"))
-    return (
-        bookings.select("id", "payment_status", "stripe_checkout_session_id")
-        .join(touched, "id", "left_semi")
-        .join(applied, "id", "left")
-        .select(
-            "id",
-            F.when(F.col("_applied"), "paid").otherwise(F.col("payment_status")).alias("payment_status"),
-            F.when(F.col("_applied"), F.col("_session")).otherwise(F.col("stripe_checkout_session_id"))
-            .alias("stripe_checkout_session_id"),
-        )
-    )
-
-
-def judge_batch(
-    batch: DataFrame, batch_id: int, bookings: DataFrame, log: OutcomeLog
-) -> None:
-    """Classify one micro-batch and write its partition of the log."""
+
+def judge_batch(batch: DataFrame, batch_id: int, bookings: DataFrame | None, log: OutcomeLog) -> None:
+    """Classify one micro-batch, write its partition of the log, and store what it bound.
+
+    ``bookings`` is a table of them, else those stored in the log's state are used.
+    """
     batch = batch.persist()
     try:
         touched = pending_events(batch).select(F.col("_booking").alias("id")).distinct()
-        state = bookings_after(bookings, log.bound(batch.sparkSession, batch_id), touched)
-        outcomes = payment_event_classify(batch, state)
+        outcomes = payment_event_classify(batch, log.state.after(touched, batch_id, bookings))
         outcomes.write.mode("overwrite").partitionBy("outcome").parquet(log.partition(batch_id))
+        written = batch.sparkSession.read.schema("booking_id string, session_id string, outcome string").parquet(log.partition(batch_id))
+        applied = written.where(F.col("outcome") == "applied")
+        log.state.bind(applied.select(js_positive_id("booking_id").alias("id"), "session_id"), batch_id)
     finally:
         batch.unpersist()
 
 
 def start_payment_stream(
     events: DataFrame,
-    bookings: Callable[[SparkSession], DataFrame],
+    bookings: Callable[[SparkSession], DataFrame] | None,
     log: OutcomeLog,
     checkpoint: str,
     drain: bool = True,
 ) -> StreamingQuery:
     """Judge streaming ``events`` into the log.
 
-    ``bookings`` is called for each batch, so that bookings made meanwhile are found.
+    ``bookings`` is called for each batch, so that bookings made meanwhile are found; without it the
+    bookings stored in the log's state are used, also those added while the query runs.
     One query at a time writes a log.  With ``drain`` the query stops once the input
     there is has been read, else it goes on.
     """
     writer = events.writeStream.foreachBatch(
-        lambda batch, batch_id: judge_batch(batch, batch_id, bookings(batch.sparkSession), log)
+        lambda batch, batch_id: judge_batch(batch, batch_id, bookings(batch.sparkSession) if bookings else None, log)
     ).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer).start()

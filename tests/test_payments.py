@@ -8,6 +8,7 @@ from tests.conftest import as_dicts, column
 from lendlane.operators import payments
 from lendlane.plans import jobs
 from lendlane.streaming import payments as stream
+from lendlane.streaming.state import BookingState
 
 NOW = "2026-07-06 00:00:00"
 DONE, LATER, FAILED = (
@@ -109,7 +110,7 @@ def test_redelivered_events_are_applied_once(spark, frame, tmp_path):
             state[i] = (*b[:2], "paid" if after[i]["paid"] else b[2], after[i]["session"], *b[4:])
     got = payments.payment_event_classify(frame(EVENT, *copies), frame(BOOKING, *bookings))
     assert sorted((r.event_id, r.outcome) for r in got.collect()) == sorted(expected)
-    log = stream.OutcomeLog(str(tmp_path / "log"), 2)
+    log = stream.OutcomeLog(str(tmp_path / "log"), 2, 2, 2)
     cuts = [0, 1, 40, 41, 43, 100, len(copies)]
     for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
         stream.judge_batch(frame(EVENT, *copies[a:b]), n, frame(BOOKING, *bookings), log)
@@ -145,7 +146,7 @@ def test_stream_in_several_batches_equals_the_replay(spark, frame, tmp_path, see
     cuts = [f"2026-01-01 00:{m}:00" for m in (15, 16, 40, 45, 50)] + ["2027-01-01 00:00:00"]
     source, checkpoint = tmp_path / "in", tmp_path / "checkpoint"
     source.mkdir()
-    owned, log = frame(BOOKING, *bookings), stream.OutcomeLog(str(tmp_path / "log"), every)
+    owned, log = frame(BOOKING, *bookings), stream.OutcomeLog(str(tmp_path / "log"), every, 2, 2)
     done = 0
     for n, cut in enumerate(cuts):
         part = [e for e in events[done:] if e[1] < cut]
@@ -163,7 +164,7 @@ def test_stream_in_several_batches_equals_the_replay(spark, frame, tmp_path, see
 
 def test_a_batch_run_twice_leaves_one_outcome_per_event(spark, frame, tmp_path):
     bookings, events = random_world(3, 60)
-    batch, owned, log = frame(EVENT, *events), frame(BOOKING, *bookings), stream.OutcomeLog(str(tmp_path / "log"), 2)
+    batch, owned, log = frame(EVENT, *events), frame(BOOKING, *bookings), stream.OutcomeLog(str(tmp_path / "log"), 2, 2, 2)
     for n in (0, 0, 1, 2, 2, 3, 4, 4):
         stream.judge_batch(batch, n, owned, log)
     first = log.read(spark).where("batch = 0")
@@ -178,7 +179,7 @@ def test_bookings_made_meanwhile_are_found(spark, frame, tmp_path):
     event = (1, "2026-01-01 00:00:00", DONE, "7", "paid", "s", "pi_1")
     source = tmp_path / "in"
     source.mkdir()
-    log, made = stream.OutcomeLog(str(tmp_path / "log")), []
+    log, made = stream.OutcomeLog(str(tmp_path / "log"), 100, 2, 2), []
     for n in range(2):
         (source / f"part-{n}.json").write_text(document((n, *event[1:]), False) + "\n")
         flat = stream.json_event_source(spark, str(source), max_files=1)
@@ -186,3 +187,47 @@ def test_bookings_made_meanwhile_are_found(spark, frame, tmp_path):
             flat, lambda _: frame(BOOKING, *made), log, str(tmp_path / "checkpoint")).awaitTermination()
         made.append((7, "x", None, None, 1, "eur"))
     assert column(log.read(spark), "outcome", "event_id") == {"evt_00000": "unknown_booking", "evt_00001": "applied"}
+
+
+def test_stored_bookings_are_neither_shuffled_nor_read_as_a_whole(spark, frame, tmp_path):
+    """Without broadcasts: no exchange above the stored tables, and only touched parts among their files."""
+    state = BookingState(str(tmp_path / "state"), parts=8, buckets=4)
+    state.add_bookings(frame(BOOKING, *[(i, "x", None, None, 1, "eur") for i in range(200)]), "first")
+    state.bind(frame("id long, session_id string", *[(i, f"s{i}") for i in range(0, 200, 3)]), 0)
+    ids = frame("id long", (3,), (4,), (999,)).distinct()
+    parts = state.touched_parts(ids)
+    assert 1 <= len(parts) <= 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = state.after(ids, 1)
+        plan = after._jdf.queryExecution().executedPlan().toString()
+        assert {r.id: (r.payment_status, r.stripe_checkout_session_id) for r in after.collect()} == {3: ("paid", "s3"), 4: (None, None)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    for kind in ("bookings", "bound"):
+        at, = [n for n, line in enumerate(lines) if f"spark_catalog.default.{kind}_" in line]
+        depth, above = len(lines[at]) - len(lines[at].lstrip(" :+-")), []
+        for line in reversed(lines[:at]):
+            if len(line) - len(line.lstrip(" :+-")) < depth:
+                depth = len(line) - len(line.lstrip(" :+-"))
+                above.append(line)
+        assert "Bucketed: true" in lines[at] and not any("Exchange" in line for line in above)
+        assert f"({len(parts)} paths)" in lines[at] or kind == "bound"
+    state.forget(spark)
+
+
+def test_state_survives_reruns_snapshots_and_a_new_catalog(spark, frame, tmp_path):
+    state = BookingState(str(tmp_path / "state"), parts=2, buckets=2, snapshot_every=2)
+    pairs = "id long, session_id string"
+    known = {}
+    for batch in range(6):
+        rows = [(batch * 10 + k, f"s{batch}") for k in range(3)] if batch != 3 else []
+        for _ in range(2):  # each batch twice
+            bound = state.bound(spark, batch, range(2))
+            assert {r.id: r.session_id for r in bound.collect()} == known
+            state.bind(frame(pairs, *rows), batch)
+        known |= dict(rows)
+        state.forget(spark)
+    kept = [p for p in (tmp_path / "state" / "bound").glob("part=*/gen=*")]
+    assert len(kept) <= 2 * 3 and len(list((tmp_path / "state" / "heads").glob("batch=*"))) == 2
