@@ -1,0 +1,70 @@
+import pytest
+
+from lendlane.plans import payout_outbox
+from lendlane.plans.payout_outbox import PayoutStore, payout_run
+from lendlane.sources import store as stores
+from tests.conftest import as_dicts
+
+AS_OF = "2026-07-06 12:00:00"
+BOOKING = "id long, host_uid string, status string, payout_status string, payout_due_at timestamp_ntz, host_payout_amount decimal(16,5), currency string"
+RESULT = "run string, booking_id long, ok boolean, transfer_id string"
+
+
+@pytest.fixture
+def world(frame, spark, tmp_path):
+    store = PayoutStore(str(tmp_path / "store"))
+    store.create(spark)
+    due = ("completed", "pending", "2026-07-01 00:00:00", "10", "eur")
+    bookings = frame(BOOKING, *[(i, "h", *due) for i in (1, 2, 3)], (4, "none", *due), (5, "h", "completed", "pending", "2026-08-01 00:00:00", "10", "eur"))
+    hosts = frame("host_uid string, stripe_account_id string, country_code string", ("h", "acct", "EE"), ("none", None, "EE"))
+    config = frame(
+        "country_code string, country_status string, payouts_enabled boolean, currency string, market_status string, booking_enabled boolean, "
+        "payments_enabled boolean, stripe_supported boolean", ("EE", "ACTIVE", True, "eur", "live", True, True, True))
+    return store, bookings, hosts, config
+
+
+def states(store, bookings):
+    return {r["id"]: (r["payout_status"], r["payout_transfer_id"]) for r in as_dicts(store.bookings(bookings))}
+
+
+def test_runs_may_be_repeated(spark, frame, world):
+    store, bookings, hosts, config = world
+    results = frame(RESULT, ("a", 1, True, "t1"), ("a", 2, False, None), ("other", 3, True, "t9"), ("a", 4, True, "t4"))
+    for _ in range(2):
+        plan = store.plan("a", bookings, hosts, config, AS_OF)
+        assert {r["booking_id"]: r["outcome"] for r in as_dicts(plan)} == {1: "transfer", 2: "transfer", 3: "transfer", 4: "no_account"}
+        store.settle("a", bookings, results, AS_OF)
+        assert [(r["run"], r["booking_id"], r["transfer_id"]) for r in as_dicts(store.ledger(spark))] == [("a", 1, "t1")]
+        assert states(store, bookings) == {1: ("paid", "t1"), 2: ("failed", None), 3: ("pending", None), 4: ("pending", None), 5: ("pending", None)}
+    # booking 3 is on its way: another run leaves it alone, until its own run is settled
+    assert {r["booking_id"] for r in as_dicts(store.plan("b", bookings, hosts, config, AS_OF))} == {4}
+    store.settle("a", bookings, results.unionByName(frame(RESULT, ("a", 3, True, "t3"))), AS_OF)
+    assert sorted(r["booking_id"] for r in as_dicts(store.ledger(spark))) == [1, 3]
+    assert {r["booking_id"]: r["outcome"] for r in as_dicts(store.plan("c", bookings, hosts, config, "2026-08-02 00:00:00"))} == {4: "no_account", 5: "transfer"}
+    with pytest.raises(LookupError):
+        store.settle("unknown", bookings, results, AS_OF)
+
+
+def test_a_run_that_dies_before_its_ledger_pays_once(spark, world, monkeypatch):
+    """The transfers were made, the ledger was not written: the repetition asks for the same ones and books them once."""
+    store, bookings, hosts, config = world
+    asked = []
+
+    def transfer(plan):
+        asked.append(sorted(r.booking_id for r in plan.collect()))
+        return plan.selectExpr("booking_id", "true as ok", "concat('t', booking_id) as transfer_id")
+
+    def dying(rows, path):
+        if "ledger" in path:
+            raise RuntimeError("lost")
+        return stores.replace(rows, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(payout_outbox, "replace", dying)
+        with pytest.raises(RuntimeError):
+            payout_run(store, "a", bookings, hosts, config, transfer, AS_OF)
+    assert store.ledger(spark).count() == 0
+    for _ in range(2):
+        payout_run(store, "a", bookings, hosts, config, transfer, "2026-09-01 00:00:00")
+    assert asked == [[1, 2, 3]] * 3  # as planned the first time, though more is due by now
+    assert sorted(r["booking_id"] for r in as_dicts(store.ledger(spark))) == [1, 2, 3]
