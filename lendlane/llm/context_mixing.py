@@ -21,7 +21,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from lendlane.llm.shared import PrefixHash, fold, save, spread, word_ranges
+from lendlane.llm.shared import fold, save, spread, word_hashes, word_ranges
 
 ORDER = 5
 END = 0xFF  # occurs in no UTF-8 text; stands before and after each
@@ -86,7 +86,7 @@ def words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = word_ranges(data)
     ends = np.cumsum([len(r) + 1 for r in raw])
     text = np.searchsorted(ends, start, side="right")
-    return (np.append(PrefixHash(data).of(start, end), np.full(len(raw), END_WORD)), np.append(text, np.arange(len(raw))))
+    return (np.append(word_hashes(data, start, end), np.full(len(raw), END_WORD)), np.append(text, np.arange(len(raw))))
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

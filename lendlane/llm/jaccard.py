@@ -20,9 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from lendlane.llm.shared import components, save, slices, spread, texts
+from lendlane.llm.shared import components, free_names, quoted, save, slices, spread, texts
 from lendlane.llm.shingles import shingle_sets, signature
 
 PERCENT = 80
@@ -342,16 +342,27 @@ def similar_groups(docs: DataFrame, ids: str = "doc_id", width: int = 5, percent
     smallest id.  Rows without words or text link with nothing, rows without an id too; equal
     rows are in one component.  A row alone is its own component.
     """
+    classed = _classed(docs, ids, width, percent)
+    least = save(classed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    return classed.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _classed(docs: DataFrame, ids: str, width: int, percent: int) -> DataFrame:
+    """``doc_id, digest, n_shingles, component`` of every row: its text's md5, and a name for the component of its set.
+
+    ``component`` is NULL without an id or a set.
+    """
     docs = docs.select(F.col(ids).cast("long").alias("doc_id"), "text")
 
     def sizes(batches):
         for batch in slices(batches):
             sets = shingle_sets(texts(batch), width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())],
-                ["doc_id", "n_shingles", "sign"])
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())],
+                ["doc_id", "digest", "n_shingles", "sign"])
 
-    rows = save(docs.mapInArrow(sizes, "doc_id long, n_shingles long, sign long"), "sets")
+    with_digest = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    rows = save(with_digest.mapInArrow(sizes, "doc_id long, digest string, n_shingles long, sign long"), "sets")
     used = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     small = used.where(F.col("n_shingles") <= 2 * LARGEST_LIGHT).groupBy("n_shingles").agg(F.countDistinct("sign").alias("n"))
     light = boundary({r.n_shingles: r.n for r in small.collect()}, percent)
@@ -384,28 +395,30 @@ def similar_groups(docs: DataFrame, ids: str = "doc_id", width: int = 5, percent
     more = _verified(save(rest, "rest"), sets, percent)
     groups = save(components(save(links.union(more), "links")), "groups")
 
-    classed = used.select("doc_id", "sign").join(groups, F.col("sign") == F.col("node"), "left").select(
-        "doc_id", "sign", F.coalesce("component", "sign").alias("component"))
-    least = save(classed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    of_sign = save(classed.select("sign", "component").distinct().join(least, "component").select("sign", "component_id"), "classes")
-    named_rows = rows.withColumn("sign", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("sign")))
-    return named_rows.join(of_sign, "sign", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_sign = save(groups.select(F.col("node").alias("sign"), "component"), "classes")
+    signed = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("sign"))
+    return rows.withColumn("sign", signed).join(of_sign, "sign", "left").select(
+        "doc_id", "digest", "n_shingles", F.coalesce("component", "sign").alias("component"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id names their component, with all columns: one document of each group.
+    """One row of each component, with all columns: the one with the smallest id, and then md5 of the text.
 
-    Decisions are by id: an id stays if one of its rows names its component, and of rows with the
-    same id one stays.  Rows without an id stay, as they link with nothing.
+    Decisions are by id and text, so a row is never dropped for another row of its id.  Of rows equal in both,
+    the first by a hash of all columns stays.  Rows without an id, and rows without words, stay all of them: they link with nothing.
     """
-    groups = similar_groups(docs, "doc_id", width, percent)
-    gone = groups.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("_stays")).where("_stays = 0").select("doc_id")
-    gone = save(gone, "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
-    named = kept.where(F.col("doc_id").isNotNull())
-    # written first, so that their size is known and texts are not shuffled for a few ids
-    repeated = save(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated")
-    single = named.join(repeated, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit(""))))
-    again = named.join(repeated, "doc_id", "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1")
-    return single.union(again.select(*(f"`{c}`" for c in docs.columns))).union(kept.where(F.col("doc_id").isNull()))
+    digest, name, of_name, number = free_names(docs.columns, "_digest", "_id", "_text", "_number")
+    classed = save(_classed(docs, "doc_id", width, percent).where("component is not null"), "classed")
+    rows = classed.groupBy("component", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    rows = save(rows, "distinct")
+    first = save(rows.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("f")), "first")
+    # both tables are small beside the texts: what goes, and what is repeated
+    judged = rows.join(first, "component").withColumn("stays", F.struct("doc_id", "digest") == F.col("f"))
+    names = [F.col("doc_id").alias(name), F.col("digest").alias(of_name)]
+    gone = save(judged.where("not stays").select(*names), "gone")
+    repeated = save(judged.where("stays and n > 1").select(*names), "repeated")
+    same = (F.col("doc_id").cast("long") == F.col(name)) & (F.col(digest) == F.col(of_name))
+    kept = docs.withColumn(digest, F.md5(F.coalesce("text", F.lit("")))).join(gone, same, "left_anti")
+    columns = quoted(docs.columns)
+    again = kept.join(repeated, same, "left_semi").groupBy("doc_id", digest).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(number))
+    return kept.join(repeated, same, "left_anti").select(*columns).union(again.select(*[F.col(number).getField(c).alias(c) for c in docs.columns]))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lendlane.llm.shared import n_words, save
+from lendlane.llm.shared import free_names, n_words, quoted, save
 
 # What the sources weigh, in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -104,19 +104,37 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return mixed(docs, n_words("text"))
 
 
+PORTION = 1000
+
+
 def repeated(docs: DataFrame, ids: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it.
+    """The rows of ``docs``, all columns, so often that each source has the words the mix takes of it.
 
-    Only ids, text hashes and counts are shuffled before the texts are.  Equal rows come equally
-    often, as the one taken most.  Rows without an id are taken too.
+    Only ids, text digests and counts are shuffled before the texts are.  Rows of one id and text share the
+    copies the mix takes of them all: each gets as many whole ones, and the first of them, by a hash of their columns, one more.
+    Rows without an id are taken too.
     """
-    text = F.xxhash64(F.col("text"))
-    mix = mixed(docs.select(ids, "source", "text").withColumn("_text", text), n_words("text"), ids, keep=("_text",))
-    times = mix.where("epochs > 0").groupBy("doc_id", "_text").agg(F.max("epochs").cast("int").alias("_times"))
-    times = save(times.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_times"), "times")
-    taken = docs.withColumn("_text", text).join(times, F.col(ids).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
-    named = [f"`{c}`" for c in docs.columns]
-    return taken.select(*named, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).select(*named)
+    text, once, key, copies, number, before, mine = free_names(docs.columns, "_text", "_id", "_key", "_copies", "_number", "_before", "_mine")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    mix = mixed(docs.select(ids, "source", "text").withColumn("_digest", digest), n_words("text"), ids, keep=("_digest",))
+    times = mix.groupBy("doc_id", "_digest").agg(F.sum("epochs").alias(copies), F.count(F.lit(1)).alias(number)).where(F.col(copies) > 0)
+    times = save(times.withColumnRenamed("doc_id", once).withColumnRenamed("_digest", key), "times")
+    own = docs.withColumn(text, digest).join(times, F.col(ids).eqNullSafe(F.col(once)) & (F.col(text) == F.col(key)))
+    columns = quoted(docs.columns)
+    single = own.where(F.col(number) == 1).select(*columns, F.col(copies).alias(mine))
+    # equal rows are one row with their number; the copies are dealt to these by place
+    kinds = own.where(F.col(number) > 1).groupBy(*columns, once, key, copies, number).agg(F.count(F.lit(1)).alias(mine))
+    order = Window.partitionBy(once, key).orderBy(F.xxhash64(*columns)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = kinds.withColumn(before, F.sum(mine).over(order) - F.col(mine))
+    more = F.least(F.greatest(F.col(copies) % F.col(number) - F.col(before), F.lit(0)), F.col(mine))
+    share = F.col(mine) * F.floor(F.col(copies) / F.col(number)) + more
+    several = placed.select(*columns, share.alias(mine)).where(F.col(mine) > 0)
+    # in two steps, so that very many copies of one row are not made by one task
+    portions = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(mine) - 1) / PORTION)))
+    cut = several.select(*columns, mine, portions.alias(before)).select(
+        *columns, F.least(F.col(mine) - F.col(before) * PORTION, F.lit(PORTION)).alias(mine), F.xxhash64(before).alias(before))
+    dealt = cut.repartition(*columns, before).select(*columns, mine)
+    return single.unionByName(dealt).select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mine).cast("long"))).alias(before)).select(*columns)
 
 
 ORACLE = r"""

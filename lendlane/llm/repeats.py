@@ -87,6 +87,10 @@ def _filter_of(values: DataFrame, column: str) -> PartedFilter:
 
 # ---------------------------------------------------------------- anchors
 
+def _digests(raw: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=8).digest() for r in raw), np.uint64)
+
+
 class Slice:
     """The texts of a record batch as bytes in one buffer, and the anchors of their strings."""
 
@@ -99,7 +103,8 @@ class Slice:
         self._piece = piece
 
     def signs(self) -> np.ndarray:
-        return self.hashes.of(self.starts, self.ends) ^ spread((self.ends - self.starts).astype(np.uint64))
+        """Digests that tell the texts of one id apart."""
+        return _digests(self.raw)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per anchor: its hash, its text, and the first and last place of the strings it stands for."""
@@ -187,7 +192,7 @@ def _contexts(docs: DataFrame, firsts: PartedFilter, shared: PartedFilter, lengt
 
     def emit(batches):
         first_filter, shared_filter = sent.value
-        earliest: dict[int, tuple[int, int]] = {}
+        earliest: dict[tuple[int, bytes], tuple[int, int]] = {}
         for batch in slices(batches):
             ids, raw = _firsts(batch, first_filter)
             own = Slice(raw, length, piece)
@@ -197,18 +202,19 @@ def _contexts(docs: DataFrame, firsts: PartedFilter, shared: PartedFilter, lengt
             if not len(hashes):
                 continue
             signs, buffer, doc, start = own.signs(), own.data.tobytes(), ids[text], first - own.starts[text]
-            content = own.hashes.of(first, last + length) ^ spread(hashes)
             bucket = _dealt(hashes, buckets).astype(np.int64)
             anywhere = (spread(doc.view(np.uint64) + spread(start.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
             data = []
-            for i, place in enumerate(zip(content.tolist(), doc.tolist(), start.tolist(), first.tolist(), last.tolist())):
-                known, here = earliest.get(place[0]), place[1:3]
+            for i, place in enumerate(zip(hashes.tolist(), doc.tolist(), start.tolist(), first.tolist(), last.tolist())):
+                piece_bytes, here = buffer[place[3]:place[4] + length], place[1:3]
+                content = place[0], hashlib.blake2b(piece_bytes, digest_size=16).digest()
+                known = earliest.get(content)
                 if known is not None and known < here:
                     data.append(None)
                     bucket[i] = anywhere[i]
                 else:
-                    earliest[place[0]] = here
-                    data.append(buffer[place[3]:place[4] + length])
+                    earliest[content] = here
+                    data.append(piece_bytes)
             yield pa.RecordBatch.from_arrays([
                 pa.array(bucket.astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(doc), pa.array(signs[text].view(np.int64)),
                 pa.array(start.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(data, pa.binary()),
@@ -287,13 +293,13 @@ def without_repeats(docs: DataFrame, ids: str = "doc_id", length: int = LENGTH,
     def describe(batches):
         for batch in slices(batches):
             raw = _raw(batch)
-            signs = Slice(raw, length, piece).signs().view(np.int64) if raw else []
+            signs = _digests(raw).view(np.int64)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(signs, pa.int64()), pa.array([len(r) for r in raw], pa.int64()),
                 pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string())], ["doc", "sign", "n_bytes", "whole"])
 
     rows = save(docs.mapInArrow(describe, "doc long, sign long, n_bytes long, whole string"), "texts")
-    first = save(rows.groupBy("sign").agg(F.min("doc").alias("first")), "firsts")
+    first = save(rows.groupBy("whole").agg(F.min("doc").alias("first")), "firsts")
     firsts = _filter_of(first.select("first"), "first")
     n = rows.count()
     shared = _shared_anchors(docs, firsts, length, piece, 1 + n // 250_000)
@@ -310,7 +316,7 @@ def without_repeats(docs: DataFrame, ids: str = "doc_id", length: int = LENGTH,
             doc = batch.column(0).to_numpy().view(np.uint64)
             keep = np.flatnonzero(touched.value.has(doc))
             part = batch.take(pa.array(keep))
-            signs = Slice(_raw(part), length, piece).signs().view(np.int64) if part.num_rows else np.zeros(0, np.int64)
+            signs = _digests(_raw(part)).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(signs, pa.int64())], ["doc", "text", "sign"])
 
     def cut(batches):
@@ -326,7 +332,7 @@ def without_repeats(docs: DataFrame, ids: str = "doc_id", length: int = LENGTH,
     done = save(done.dropDuplicates(["doc", "sign"]), "cut")
 
     copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= length)
-    out = rows.join(first, "sign").join(done, ["doc", "sign"], "left")
+    out = rows.join(first, "whole").join(done, ["doc", "sign"], "left")
     empty = hashlib.sha256(b"").hexdigest()
     return out.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes",

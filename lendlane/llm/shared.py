@@ -1,13 +1,15 @@
 """Helpers the operators have in common: shared files, text batches, word masks, components.
 
 Rows with a NULL text count as empty texts.  Operators pick the columns they name and
-never touch others, so further columns, whatever their names, do no harm.
+never touch others; those that hand on all columns name their own by ``free_names``.  So further
+columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,22 @@ def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+def free_names(taken: Sequence[str], *names: str) -> list[str]:
+    """``names``, each made longer until no column is called so, in whatever case."""
+    known, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: Sequence[str]) -> list[str]:
+    """Column names as they can be selected, dots and backticks included."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words; NULL counts as none."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -75,7 +93,11 @@ def spread(x: np.ndarray) -> np.ndarray:
 
 
 class PrefixHash:
-    """Hashes of any byte ranges of a buffer in constant time each, by prefix sums modulo 2^64."""
+    """Hashes of any byte ranges of a buffer in constant time each, by prefix sums modulo 2^64.
+
+    Long ranges of regular texts can meet, however they were made: use it for ranges of some 64 bytes, or
+    where meeting costs time only.
+    """
 
     _table = spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
     _base, _inverse = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -99,6 +121,17 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out[:n]
 
 
+LONGEST_HASHED = 64
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of a buffer; long ones by a digest of their bytes."""
+    out = PrefixHash(data).of(start, end)
+    for i in np.flatnonzero(end - start > LONGEST_HASHED):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from lendlane.llm.shared import PrefixHash, spread, word_ranges
+from lendlane.llm.shared import spread, word_hashes, word_ranges
 
 WIDTH = 5
 _STEP = 0xC2B2AE3D27D4EB4F
@@ -19,7 +19,7 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     ends = np.cumsum([len(p) + 1 for p in parts])
     data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
     start, end = word_ranges(data)
-    words = PrefixHash(data).of(start, end)
+    words = word_hashes(data, start, end)
     cuts = [0, *np.searchsorted(start, ends).tolist()]
     rolled = np.zeros(max(len(words) - width + 1, 0), np.uint64)
     for k in range(width if len(rolled) else 0):

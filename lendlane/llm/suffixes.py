@@ -11,6 +11,7 @@ import numpy as np
 
 from lendlane.llm.shared import PrefixHash
 
+PORTION = 100_000
 SMALL_ALPHABET = 1024
 
 
@@ -126,7 +127,10 @@ def _before(text, kind, at, into) -> None:
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: for each place the length it shares with its predecessor in order, ``most`` at most."""
+    """Permuted: for each place the length it shares with its predecessor in order, ``most`` at most.
+
+    ``most`` is never wrong: it is told from less by the bytes themselves.
+    """
     before = np.full(len(data), -1, np.int64)
     before[order[1:]] = order[:-1]
     hashes, n = PrefixHash(data), len(data)
@@ -138,6 +142,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         middle = (low + high + 1) // 2
         same = hashes.of(at, at + middle) == hashes.of(other, other + middle)
         low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    # what the hashes call equal throughout is compared byte by byte
+    whole = np.flatnonzero(low == most)
+    for part in np.split(whole, range(PORTION, len(whole), PORTION)):
+        step = np.arange(most)
+        differs = data[at[part, None] + step] != data[other[part, None] + step]
+        wrong = differs.any(axis=1)
+        low[part[wrong]] = differs[wrong].argmax(axis=1)
     out = np.zeros(n, np.int64)
     out[at] = low
     return out

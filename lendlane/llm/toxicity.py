@@ -17,9 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from lendlane.llm.shared import fold, save, slices, texts
+from lendlane.llm.shared import fold, free_names, quoted, save, slices, texts
 
 LIMIT = 0.3
 
@@ -183,17 +183,24 @@ def sampled_labels(labels: DataFrame, settings: Settings = Settings()) -> DataFr
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``score`` (0 to 1), of each whole ``text``; NULL texts are empty."""
-    kept = [f for f in docs.schema if f.name != "score"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double"
+    """All columns of ``docs`` with ``score`` (0 to 1), of each whole ``text``; NULL texts are empty.
+
+    A column of ``docs`` that is called so already, in whatever case, stays: see ``scored_as``.
+    """
+    return scored_as(docs, model, *free_names(docs.columns, "score"))
+
+
+def scored_as(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """All columns of ``docs`` and the score under ``name``."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.scorer()
         for batch in slices(batches):
             values = pa.array([own.score(t) for t in texts(batch)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
-    return docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -206,4 +213,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
 def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    return scored(docs, fit(docs, labels, settings)).where(F.col("score") < LIMIT).select(*(f"`{c}`" for c in docs.columns))
+    name, = free_names(docs.columns, "score")
+    return scored_as(docs, fit(docs, labels, settings), name).where(F.col(name) < LIMIT).select(*quoted(docs.columns))

@@ -1,8 +1,9 @@
 """Token ids of texts, one distinct word at a time.
 
 The word tokenizer drops white space and its splits never reach over it, so the ids of a text
-are those of its words in a row.  It folds case, and a run of letters is one of its units.  Each task
-keeps the ids of words it has met, up to a bound.
+are those of its words in a row.  It folds case, and a run of letters is one of its units; but special
+strings, which begin with ``<|``, are only known in the case they are written in, so words that hold
+that beginning stay as they are.  Each task keeps the ids of words it has met, up to a bound.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 
 MOST_WORDS = 1_000_000
 BATCH = 1_000
+SPECIAL = b"<|"  # fixed value: how special strings begin
 _ENDED = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")  # letters and ASCII marks
 
 
@@ -72,8 +74,13 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         for word, unit, tail in ended:
             known[word] = known[unit] + known[tail]
 
+    def words_of(text: bytes) -> list[bytes]:
+        if SPECIAL not in text:
+            return text.lower().split()  # ASCII case and white space only
+        return [w if SPECIAL in w else w.lower() for w in text.split()]
+
     def encode(texts: list[str]) -> list[bytes]:
-        own = [t.encode("utf-8", "replace").lower().split() for t in texts]  # ASCII case and white space only
+        own = [words_of(t.encode("utf-8", "replace")) for t in texts]
         words = set().union(*own)
         missing = words.difference(known)
         if len(known) + len(missing) > MOST_WORDS:
