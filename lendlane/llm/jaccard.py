@@ -7,8 +7,8 @@ are verified on whole sets.  The boundary comes from the cost of both on the his
 
 A list with many sets is not expanded to all pairs.  Each set is first compared with the centre
 of its lists, then with the set of its lists that meets the most others; what that links is one
-group, and in the end only pairs of sets that meet in a list and are still in different groups
-are compared.  No link between groups is lost this way.
+group.  In the end sets that meet in a list and are still in different groups are compared by sketches, tile by
+tile, and only pairs that sketches leave possible are verified.  No link between groups is lost this way.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ FREQUENT = 8
 FILTER_BITS = 25
 MOST_FREQUENT = 1_000_000
 BLOCKS = 32
+SKETCH_BITS = 1024
+CHUNK = 1024
 
 
 def required(a: int, b: int, percent: int = PERCENT) -> int:
@@ -335,6 +337,75 @@ def _by_centre(lists: DataFrame, percent: int) -> DataFrame:
     return _pairs(lists.join(best, "gid").where((F.col("component") != F.col("centre_group")) & near), "centre", "sign")
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """``sign, sketch``: how often, odd or even, the elements of a set fall in each of ``SKETCH_BITS`` places."""
+    def sketch(batches):
+        for batch in batches:
+            out = []
+            for data in batch.column(1).to_pylist():
+                place = (spread(np.frombuffer(data, "<u8") ^ np.uint64(0x5BD1E995)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+                out.append(np.packbits(np.bincount(place, minlength=SKETCH_BITS) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["sign", "sketch"])
+
+    return sets.select("sign", "data").mapInArrow(sketch, "sign long, sketch binary")
+
+
+def possible_pairs(sizes: np.ndarray, components: np.ndarray, sketches: np.ndarray, sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile that may be similar: of different groups and fitting sizes, and not too far apart.
+
+    Each element that only one of two sets holds changes at most one place, so sketches that differ in ``d`` places
+    belong to sets with an intersection of ``(a + b - d) / 2`` at most.  ``sides`` tells the two
+    halves of a tile apart: only pairs over both are made if there are two.
+    """
+    words = sketches.view(np.uint64)
+    found_a, found_b = [], []
+    two = len(np.unique(sides)) > 1
+    for i in range(len(sizes) - 1):
+        other = slice(i + 1, None)
+        a, b = sizes[i], sizes[other]
+        fits = (components[other] != components[i]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+        if two:
+            fits &= sides[other] != sides[i]
+        at = np.flatnonzero(fits) + i + 1
+        if len(at):
+            apart = np.bitwise_count(words[at] ^ words[i]).sum(axis=1, dtype=np.int64)
+            total = sizes[at] + a
+            at = at[(100 + percent) * (total - apart) >= 2 * percent * total]
+            found_a.append(np.full(len(at), i))
+            found_b.append(at)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
+def _possible(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of sets of an open list that sketches do not rule out.
+
+    A list is dealt into chunks, and each two chunks meet in a tile: neither a list nor its pairs are in one
+    task, and only possible pairs leave it.
+    """
+    chunks = save(lists.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks")), "chunks")
+    own = F.pmod(F.xxhash64("sign", F.lit(5)), F.col("chunks")).cast("int")
+    member = lists.join(chunks, "gid").join(sketches, "sign").withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    tiles = member.select("gid", "sign", "size", "component", "sketch", "own", other)
+    tiles = tiles.withColumn("tile", F.xxhash64("gid", F.least("own", "other"), F.greatest("own", "other")))
+    buckets = max(64, chunks.agg(F.coalesce(F.sum(F.col("chunks").cast("long") * F.col("chunks")), F.lit(0))).first()[0] // 200)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, tile in rows.groupby("tile", sort=True):
+            tile = tile.sort_values("sign", kind="stable")
+            side = tile["own"].to_numpy()
+            sketch = np.frombuffer(b"".join(tile["sketch"]), np.uint8).reshape(len(tile), -1)
+            sign = tile["sign"].to_numpy()
+            a, b = possible_pairs(tile["size"].to_numpy().astype(np.int64), tile["component"].to_numpy(), sketch, side, percent)
+            out.append(pd.DataFrame({"a": sign[a], "b": sign[b]}))
+        return pd.concat(out).drop_duplicates()
+
+    dealt = tiles.withColumn("bucket", F.pmod(F.col("tile"), F.lit(buckets)).cast("int"))
+    return dealt.select("bucket", "tile", "sign", "size", "component", "own", "sketch").groupBy("bucket").applyInPandas(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, ids: str = "doc_id", width: int = 5, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``ids``, ``text``).
 
@@ -385,13 +456,10 @@ def _classed(docs: DataFrame, ids: str, width: int, percent: int) -> DataFrame:
     links = save(links.union(_verified(central, sets, percent)), "links")
     groups = save(components(links), "groups")
 
-    # and what still meets in a list from different groups, pair by pair
+    # and what still meets in a list from different groups, as far as sketches leave a pair possible
     still = _open(still.select("gid", "sign", "size"), groups)
-    left, right = (still.select("gid", *(F.col(c).alias(f"{c}_{side}") for c in ("sign", "size", "component"))) for side in "lr")
-    rest = left.join(right, "gid").where(
-        (F.col("component_l") < F.col("component_r"))
-        & (100 * F.least("size_l", "size_r") >= percent * F.greatest("size_l", "size_r")))
-    rest = _pairs(rest, "sign_l", "sign_r").join(pairs.union(central), ["a", "b"], "left_anti")
+    possible = save(_possible(still, _sketches(sets), percent), "possible")
+    rest = _pairs(possible, "a", "b").join(pairs.union(central), ["a", "b"], "left_anti")
     more = _verified(save(rest, "rest"), sets, percent)
     groups = save(components(save(links.union(more), "links")), "groups")
 

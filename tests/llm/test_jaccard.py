@@ -91,3 +91,50 @@ def test_sets():
 
 def test_empty(frame):
     assert jaccard.similar_groups(frame("doc_id long, text string")).count() == 0
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(np.append(base[rng.random(400) < rng.choice([0.3, 0.9, 0.99])], rng.integers(0, 1 << 62, int(rng.integers(0, 40))).astype(np.uint64))) for _ in range(60)]
+    import pyarrow as pa
+
+    class Rows:  # stands in for a table: the function of a task is run here
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([s.tobytes() for s in sets])], ["sign", "data"])
+            return list(run([batch]))[0].column(1).to_pylist()
+
+    sketch = np.frombuffer(b"".join(jaccard._sketches(Rows())), np.uint8).reshape(60, -1)
+    a, b = jaccard.possible_pairs(np.array([len(s) for s in sets]), np.arange(60), sketch, np.zeros(60), 80)
+    possible, similar = set(zip(a.tolist(), b.tolist())), set()
+    for i in range(60):
+        for j in range(i + 1, 60):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                similar.add((i, j))
+    assert similar and similar <= possible and len(possible) < 60 * 59 // 2
+    halves = np.arange(60) % 2
+    a, b = jaccard.possible_pairs(np.array([len(s) for s in sets]), np.arange(60), sketch, halves, 80)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in possible if halves[i] != halves[j]}
+
+
+def test_a_common_passage_and_many_near_copies(frame, monkeypatch):
+    """Lists of many sets, in several chunks, give the groups that comparing all pairs gives."""
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
+    dice = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(12))
+    words = [f"w{i}" for i in range(300)]
+    near = dice.choices(words, k=60)
+    rows = []
+    for i in range(90):
+        if i % 3:
+            rows.append((i, passage + " " + " ".join(dice.choices(words, k=dice.randint(3, 40)))))
+        else:
+            own = list(near)
+            own[dice.randrange(60)] = f"x{i}"
+            rows.append((i, " ".join(own)))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in as_dicts(jaccard.similar_groups(frame("doc_id long, text string", *rows)))), key=str)
+    assert got == plain_components(rows)
