@@ -350,14 +350,18 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return sets.select("sign", "data").mapInArrow(sketch, "sign long, sketch binary")
 
 
-def possible_pairs(sizes: np.ndarray, components: np.ndarray, sketches: np.ndarray, sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def possible_pairs(
+    sizes: np.ndarray, components: np.ndarray, sketches: np.ndarray, sides: np.ndarray, percent: int, forest: bool = False,
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a tile that may be similar: of different groups and fitting sizes, and not too far apart.
 
+    With ``forest`` only as many as it takes to join what may belong together: fewer than there are groups.
+
     Each element that only one of two sets holds changes at most one place, so sketches that differ in ``d`` places
     belong to sets with an intersection of ``(a + b - d) / 2`` at most.  ``sides`` tells the two
     halves of a tile apart: only pairs over both are made if there are two.
     """
-    words = sketches.view(np.uint64)
+    words, components = sketches.view(np.uint64), components.copy()
     found_a, found_b = [], []
     two = len(np.unique(sides)) > 1
     for i in range(len(sizes) - 1):
@@ -371,14 +375,18 @@ def possible_pairs(sizes: np.ndarray, components: np.ndarray, sketches: np.ndarr
             apart = np.bitwise_count(words[at] ^ words[i]).sum(axis=1, dtype=np.int64)
             total = sizes[at] + a
             at = at[(100 + percent) * (total - apart) >= 2 * percent * total]
+            if forest and len(at):
+                joined, first = np.unique(components[at], return_index=True)
+                components[np.isin(components, joined)] = components[i]
+                at = at[first]
             found_a.append(np.full(len(at), i))
             found_b.append(at)
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
-def _possible(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of sets of an open list that sketches do not rule out.
+def _possible(lists: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """``a, b``: pairs of sets of an open list that sketches do not rule out, or a forest of them.
 
     A list is dealt into chunks, and each two chunks meet in a tile: neither a list nor its pairs are in one
     task, and only possible pairs leave it.
@@ -398,7 +406,7 @@ def _possible(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             side = tile["own"].to_numpy()
             sketch = np.frombuffer(b"".join(tile["sketch"]), np.uint8).reshape(len(tile), -1)
             sign = tile["sign"].to_numpy()
-            a, b = possible_pairs(tile["size"].to_numpy().astype(np.int64), tile["component"].to_numpy(), sketch, side, percent)
+            a, b = possible_pairs(tile["size"].to_numpy().astype(np.int64), tile["component"].to_numpy(), sketch, side, percent, forest)
             out.append(pd.DataFrame({"a": sign[a], "b": sign[b]}))
         return pd.concat(out).drop_duplicates()
 
@@ -456,10 +464,15 @@ def _classed(docs: DataFrame, ids: str, width: int, percent: int) -> DataFrame:
     links = save(links.union(_verified(central, sets, percent)), "links")
     groups = save(components(links), "groups")
 
-    # and what still meets in a list from different groups, as far as sketches leave a pair possible
+    # what still meets in a list from different groups, as far as sketches leave a pair possible: first so many
+    # pairs as could join all that may belong together, then every pair of what is in different groups even so
+    sketches, tried = save(_sketches(sets), "sketches"), pairs.union(central)
+    still = _open(still.select("gid", "sign", "size"), groups)
+    joining = save(_pairs(_possible(still, sketches, percent, True), "a", "b").join(tried, ["a", "b"], "left_anti"), "joining")
+    links = save(links.union(_verified(joining, sets, percent)), "links")
+    groups = save(components(links), "groups")
     still = _open(still.select("gid", "sign", "size"), groups)
-    possible = save(_possible(still, _sketches(sets), percent), "possible")
-    rest = _pairs(possible, "a", "b").join(pairs.union(central), ["a", "b"], "left_anti")
+    rest = _pairs(save(_possible(still, sketches, percent, False), "possible"), "a", "b").join(tried.union(joining), ["a", "b"], "left_anti")
     more = _verified(save(rest, "rest"), sets, percent)
     groups = save(components(save(links.union(more), "links")), "groups")
 

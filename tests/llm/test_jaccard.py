@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lendlane.llm import jaccard
+from lendlane.llm.shared import local_components
 from lendlane.llm.shingles import shingle_sets
 from tests.conftest import as_dicts
 
@@ -116,6 +117,11 @@ def test_sketches_rule_out_no_similar_pair():
             if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 similar.add((i, j))
     assert similar and similar <= possible and len(possible) < 60 * 59 // 2
+    a, b = jaccard.possible_pairs(np.array([len(s) for s in sets]), np.arange(60), sketch, np.zeros(60), 80, forest=True)
+    assert len(a) < 60 and set(zip(a.tolist(), b.tolist())) <= possible
+    def groups(edges):
+        return sorted(zip(*(x.tolist() for x in local_components(*map(np.array, zip(*edges))))))
+    assert groups(zip(a, b)) == groups(possible)
     halves = np.arange(60) % 2
     a, b = jaccard.possible_pairs(np.array([len(s) for s in sets]), np.arange(60), sketch, halves, 80)
     assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in possible if halves[i] != halves[j]}
