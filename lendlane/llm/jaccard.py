@@ -296,7 +296,10 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose sets are similar enough.  Both joins shuffle both sides, so hot sets split."""
+    """Pairs ``a, b`` whose sets are similar enough.  ``pairs`` is a written table; only sets it names are moved.
+
+    Both joins shuffle both sides where these are large, so hot sets split.
+    """
     def check(batches):
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -308,8 +311,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
-    left = pairs.join(sets.select(F.col("sign").alias("a"), F.col("data").alias("of_a")), "a")
-    both = left.join(sets.select(F.col("sign").alias("b"), F.col("data").alias("of_b")), "b")
+    def named(side: str) -> DataFrame:
+        return sets.select(F.col("sign").alias(side), F.col("data").alias(f"of_{side}")).join(pairs.select(side), side, "left_semi")
+
+    both = pairs.join(named("a"), "a").join(named("b"), "b")
     return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
