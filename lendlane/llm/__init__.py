@@ -1 +1 @@
-"""Operators of a training-data pipeline: ten numbered operators and their registered queries."""
+"""Operators of a training-data pipeline: thirteen numbered operators and their registered queries."""
