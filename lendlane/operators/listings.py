@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlane.functions.columns import moment
-from lendlane.operators.skew import id_buckets, rank_rows
+from lendlane.operators.skew import id_order, rank_rows
 
 IMPORT_KEY = ["host_id", "trailername", "location_name", "model"]
 START_KEY = ["host_id", "trailername"]
@@ -92,17 +92,17 @@ def start_listing_defaults(batch: DataFrame, as_of, photo: str = "photo") -> Dat
 def assign_ids(new_rows: DataFrame, existing: DataFrame, order: str = "seq", name: str = "id") -> DataFrame:
     """Ids after the largest existing one, in source order.
 
-    The numbering counts rows bucket by bucket, so it neither pulls the load
+    The numbering counts rows range by range, so it neither pulls the load
     into one task nor depends on how it is partitioned.
     """
     top = existing.agg(F.coalesce(F.max(name), F.lit(0)).cast("bigint").alias("top")).scalar()
-    numbered = rank_rows(new_rows, [], [F.col(order)], id_buckets(order), "_position")
+    numbered = rank_rows(new_rows, [], [id_order(order)], "_position")
     return numbered.withColumn(name, top + F.col("_position")).drop("_position")
 
 
 def number_from(new_rows: DataFrame, top: int, order: str = "seq", name: str = "id") -> DataFrame:
     """Ids after ``top``, in source order."""
-    numbered = rank_rows(new_rows, [], [F.col(order)], id_buckets(order), "_position")
+    numbered = rank_rows(new_rows, [], [id_order(order)], "_position")
     return numbered.withColumn(name, F.lit(top).cast("bigint") + F.col("_position")).drop("_position")
 
 
@@ -208,9 +208,7 @@ def slot_in_city(
 ) -> DataFrame:
     """Slot of each listing in its city: position by id, modulo ``slots``."""
     chosen = trailers if model is None else trailers.where(F.col("model") == model)
-    ranked = rank_rows(
-        chosen.select("id", "location_name"), ["location_name"], [F.col("id")], id_buckets("id"), "_position"
-    )
+    ranked = rank_rows(chosen.select("id", "location_name"), ["location_name"], [id_order("id")], "_position")
     return ranked.select("id", "location_name", F.pmod(F.col("_position") - 1, F.lit(slots)).cast("bigint").alias("slot"))
 
 

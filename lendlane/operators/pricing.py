@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlane.functions.columns import epoch_micros, moment, not_false, positive, touch
 from lendlane.operators.skew import (
-    attach_aggregates, id_buckets, rank_rows, time_buckets,
+    attach_aggregates, id_order, newest_first, rank_rows,
 )
 
 # Lowest price in euro per rate, and the rates that count as "priced".
@@ -84,14 +84,8 @@ def _candidates(profiles: DataFrame) -> DataFrame:
 
 def profile_rank(profiles: DataFrame) -> DataFrame:
     """Rank of every active profile within its listing; 1 is the one to keep."""
-    day, part, instant = time_buckets(epoch_micros(profiles, "updated_at"))
-    ranked = rank_rows(
-        _candidates(profiles),
-        ["trailer_id"],
-        [_quality().asc(), F.col("updated_at").desc_nulls_last(), F.col("id").desc()],
-        [F.struct(_quality(), day), part, instant, *id_buckets("id", descending=True)],
-        "rn",
-    )
+    order = [_quality().cast("bigint"), newest_first(epoch_micros(profiles, "updated_at")), id_order("id", descending=True)]
+    ranked = rank_rows(_candidates(profiles), ["trailer_id"], order, "rn")
     return ranked.select("id", "trailer_id", "rn")
 
 

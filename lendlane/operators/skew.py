@@ -7,7 +7,7 @@ way for every key and every size:
 
 * ``lookup_join`` / ``attach_aggregates`` join on one more key that is always equal, so that both
   sides are shuffled for the join itself and a hot key can be split;
-* ``rank_rows`` numbers rows bucket by bucket.
+* ``rank_rows`` numbers rows range by range.
 """
 
 from __future__ import annotations
@@ -53,55 +53,71 @@ def attach_aggregates(
     return lookup_join(facts, facts.groupBy(*keys).agg(*aggregates), keys, row_id)
 
 
-def id_buckets(column: str | Column, descending: bool = False) -> list[Column]:
-    """Order-preserving buckets of a unique bigint: at most 2**20 ids each.
+def id_order(column: str | Column, descending: bool = False) -> Column:
+    """A bigint id as an ordering value; NULL is first, or last where ``descending``."""
+    value = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(-(2**62)))
+    return F.bitwise_not(value) if descending else value  # ~x = -x-1: turns the order round, cannot overflow
+
+
+def newest_first(micros: Column) -> Column:
+    """Microseconds as an ordering value: newest first, NULL last."""
+    return F.coalesce(F.bitwise_not(micros), F.lit(2**62))
+
+
+def _bounds(df: DataFrame, order: Sequence[str], ranges: int) -> list[list[int]]:
+    """Per ordering column its distinct quantiles over all rows, from one sketch that tasks merge.
 
-    Two levels keep the number of buckets under one parent small for sparse
-    ids too.
+    At most ``ranges`` numbers a column come to the driver, whatever the table holds.
     """
-    # never NULL, to the optimizer too: else the joins below would filter the counts for
-    # NULL each in their own way, and Spark could not use one shuffle of them for all
-    value = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(-(2**62)))
-    if descending:
-        value = F.bitwise_not(value)  # ~x = -x-1: turns the order round, cannot overflow
-    return [F.shiftright(value, 40), F.shiftright(value, 20)]
+    shares = [i / ranges for i in range(1, ranges)]
+    found = df.agg(*[F.percentile_approx(o, shares, 4 * ranges).alias(o) for o in order]).first()
+    return [sorted(set(quantiles or [])) for quantiles in found]
+
 
+def _range_code(value: Column, bounds: list[int], ranges: int) -> Column:
+    """Place of ``value`` among the bounds: even on one of them, odd between two.
+
+    Some bounds, evenly apart, are looked at first, then those that follow the place found.
+    """
+    def numbers(values: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-def time_buckets(micros: Column) -> list[Column]:
-    """Buckets for "newest first, NULL last": about 19 hours, a quarter second, a microsecond."""
-    newest_first = F.coalesce(F.bitwise_not(micros), F.lit(2**62))
-    return [F.shiftright(newest_first, 36), F.shiftright(newest_first, 18), newest_first]
+    if not bounds:
+        return F.lit(1)
+    fan = max(2, round(ranges**0.5))
+    block = F.greatest(F.size(F.filter(numbers(bounds[::fan]), lambda b: b <= value)) - 1, F.lit(0)) * fan
+    below = block + F.size(F.filter(F.slice(numbers(bounds), block + 1, F.lit(fan)), lambda b: b <= value))
+    return below * 2 + F.when(F.array_contains(numbers(bounds), value), 0).otherwise(1)
 
 
 def rank_rows(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column], buckets: Sequence[Column], name: str
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str, ranges: int = 256
 ) -> DataFrame:
     """``row_number() over (partition by groups order by order)``, exact, for groups of any size.
 
-    ``buckets`` are non-NULL columns that refine each other and follow ``order`` ascending.  Rows
-    are numbered inside their bucket, plus the number of rows in earlier buckets of the group.
-    Without ``groups`` the whole table is one group.  For very sparse orders a bucket holds few
-    rows, and the table of bucket sizes is nearly as large as the rows.
+    ``order`` are bigint columns without NULLs, ascending, that together tell a group's rows apart.
+    Rows are numbered inside a range of the order, plus the number of rows of the group in earlier ranges.
+    Ranges lie between quantiles of the whole table, and a value that fills a
+    quantile is a range of its own, cut up by the next ordering value.  So a range holds about one row in ``ranges`` of
+    the table at most, whatever the group, and a group has so many ranges that their sizes
+    are few.  Bounds only shape the tasks: any bounds give the same numbers.  They are exact to 2**53;
+    repeated values beyond, before the last ordering value, may share a range with their neighbours.
+    Without ``groups`` the whole table is one group.
     """
-    levels = [f"_b{i}" for i in range(len(buckets))]
-    # a struct key makes NULL group values equal each other in the joins below
+    parts = [f"_o{i}" for i in range(len(order))]
+    # a struct key makes NULL group values equal each other in the join below
     key = F.struct(*groups) if groups else F.lit(0)
-    rows = df.withColumns({"_g": key, **dict(zip(levels, buckets))})
-    # rows per bucket, and rows in earlier buckets under the same parent; then up a level
+    rows = df.withColumns({"_g": key, **dict(zip(parts, order))})
+    code = [_range_code(F.col(p), bounds, ranges) for p, bounds in zip(parts, _bounds(rows, parts, ranges))]
+    levels = [f"_c{i}" for i in range(len(parts))]
+    for i, level in enumerate(levels):
+        # cut up further only where the value before is a range of its own
+        cut = F.lit(True) if i == 0 else (F.col(levels[i - 1]) >= 0) & (F.col(levels[i - 1]) % 2 == 0)
+        rows = rows.withColumn(level, F.when(cut, code[i]).otherwise(F.lit(-1)))
     sizes = rows.groupBy("_g", *levels).agg(F.count(F.lit(1)).alias("_n"))
-    before = None
-    for depth in range(len(levels), 0, -1):
-        path, parent = levels[:depth], levels[: depth - 1]
-        siblings = Window.partitionBy("_g", *parent).orderBy(path[-1]).rowsBetween(Window.unboundedPreceding, -1)
-        step = sizes.select("_g", *path, F.coalesce(F.sum("_n").over(siblings), F.lit(0)).alias("_step"))
-        if before is None:
-            before = step.withColumnRenamed("_step", "_before")
-        else:
-            before = before.join(step, ["_g", *path]).select(
-                "_g", *levels, (F.col("_before") + F.col("_step")).alias("_before")
-            )
-        sizes = sizes.groupBy("_g", *parent).agg(F.sum("_n").alias("_n"))
-    inside = F.row_number().over(Window.partitionBy("_g", *levels).orderBy(*order))
+    earlier = Window.partitionBy("_g").orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_g", *levels, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_g", *levels).orderBy(*parts))
     return (
         rows.withColumn("_inside", inside)
         .join(before, ["_g", *levels])

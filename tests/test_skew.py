@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window, functions as F
 
 from lendlane.functions.columns import epoch_micros
-from lendlane.operators.skew import attach_aggregates, id_buckets, lookup_join, rank_rows, time_buckets
+from lendlane.operators.skew import attach_aggregates, id_order, lookup_join, newest_first, rank_rows
 
 
 def facts(frame):
@@ -40,28 +40,54 @@ def test_rank_rows_equals_row_number(frame):
     ids = sorted({rng.randrange(-(2**62), 2**62) for _ in range(300)} | set(range(2**20 - 50, 2**20 + 50)))
     rows = [(i, rng.choice(["hot", "hot", "a", None])) for i in ids]
     df = frame("id bigint, g string", *rows)
-    got = rank_rows(df, ["g"], [F.col("id")], id_buckets("id"), "rn")
+    got = rank_rows(df, ["g"], [id_order("id")], "rn", ranges=8)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("id")))
     assert same(got.select("id", "g", "rn"), want)
 
 
 def test_rank_rows_without_groups_and_descending(frame):
     df = frame("id bigint", *[(i * 700_001,) for i in range(-100, 100)])
-    up = rank_rows(df, [], [F.col("id")], id_buckets("id"), "rn")
+    up = rank_rows(df, [], [id_order("id")], "rn")
     assert sorted((r.rn, r.id) for r in up.collect()) == [(n + 1, (n - 100) * 700_001) for n in range(200)]
-    down = rank_rows(df, [], [F.col("id").desc()], id_buckets("id", descending=True), "rn")
+    down = rank_rows(df, [], [id_order("id", descending=True)], "rn")
     assert [r.id for r in down.orderBy("rn").collect()] == [i * 700_001 for i in range(99, -101, -1)]
 
 
-def test_time_buckets_put_newest_first_and_null_last(frame):
+def test_newest_come_first_and_null_last(frame):
     moments = ["2020-01-01 00:00:00.000001", "2020-01-01 00:00:00.000002", "1969-05-05 10:00:00", "2024-06-01 00:00:00", None]
     df = frame("id bigint, t timestamp_ntz", *[(i, m) for i, m in enumerate(moments * 3)])
     order = [F.col("t").desc_nulls_last(), F.col("id").desc()]
-    got = rank_rows(df, [], order, [*time_buckets(epoch_micros(df, "t")), *id_buckets("id", descending=True)], "rn")
+    got = rank_rows(df, [], [newest_first(epoch_micros(df, "t")), id_order("id", descending=True)], "rn", ranges=4)
     want = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
     assert same(got.select("id", "t", "rn"), want)
 
 
+def test_ranges_stay_small_in_a_hot_group_and_on_repeated_values(spark):
+    """One group with a third of the rows and one moment on most of them: no task gets a large share."""
+    rows = spark.range(30_000).selectExpr(
+        "id", "if(id % 3 = 0, 0L, if(id % 7 = 0, null, id % 500)) as g", "if(id % 10 < 8, 7L, id * 13 % 9000) as t")
+    got = rank_rows(rows, ["g"], [F.col("t"), id_order("id", descending=True)], "rn", ranges=64)
+    want = rows.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("t", F.col("id").desc())))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    largest = _ranges(rows, 64).groupBy("g", "_c0", "_c1").count().agg(F.max("count")).first()[0]
+    assert largest < 30_000 / 64 * 1.5
+
+
+def _ranges(rows, ranges):
+    from lendlane.operators.skew import _bounds, _range_code
+
+    keyed = rows.withColumns({"_o0": F.col("t"), "_o1": id_order("id", descending=True)})
+    moments, ids = _bounds(keyed, ["_o0", "_o1"], ranges)
+    first = keyed.withColumn("_c0", _range_code(F.col("_o0"), moments, ranges))
+    return first.withColumn("_c1", F.when(F.col("_c0") % 2 == 0, _range_code(F.col("_o1"), ids, ranges)).otherwise(-1))
+
+
+def test_ranking_needs_few_exchanges(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 3 as g", "id % 5 as t")
+    plan = rank_rows(rows, ["g"], [F.col("t"), id_order("id")], "rn")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 12
+
+
 def test_plain_fact_joins_are_split_by_adaptive_execution(spark, frame, tmp_path):
     """Joins of facts to plain tables rely on Spark splitting a hot key: see that it can."""
     from lendlane.operators import admission, listings
