@@ -293,3 +293,9 @@ def listings_per_split_city(trailers: DataFrame, cities: Sequence[str] | None =
         chosen.groupBy(city.alias("city")).agg(F.count(F.lit(1)).alias("listings"))
         .orderBy(F.col("city").asc_nulls_last())
     )
+
+
+def expiry_months(trailers: DataFrame, since) -> DataFrame:
+    """The months, as ``yyyy-MM``, in which placeholder listings expire from ``since`` on; repeats are kept."""
+    expiring = trailers.where(F.col("starter_expires_at") >= moment(since, trailers, "starter_expires_at"))
+    return expiring.select(F.date_format("starter_expires_at", "yyyy-MM").alias("start_month"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlane.functions.columns import epoch_micros, moment, not_false, positive, touch
 from lendlane.operators.skew import (
-    attach_aggregates, id_order, newest_first, rank_rows,
+    attach_aggregates, id_order, lookup_join, newest_first, rank_rows,
 )
 
 # Lowest price in euro per rate, and the rates that count as "priced".
@@ -158,6 +158,39 @@ def one_active_fold(profiles: DataFrame, as_of=None) -> DataFrame:
     return joined.withColumns(columns).select(*profiles.columns)
 
 
+def active_state(profiles: DataFrame) -> DataFrame:
+    """What the one-active rule must know of some profiles, per listing.
+
+    ``last_priced``, the id of the last priced profile; ``first_active``, that of the first one inserted as
+    active, and its flag ``first_flag`` (true or NULL).  Combines map-side.
+    """
+    active = F.when(not_false("is_active"), F.col("id"))
+    priced = F.when(_any([positive(r) for r in _rates(profiles)]), F.col("id"))
+    return profiles.where(F.col("trailer_id").isNotNull()).groupBy("trailer_id").agg(
+        F.max(priced).alias("last_priced"), F.min(active).alias("first_active"), F.min_by("is_active", active).alias("first_flag"))
+
+
+def merge_active_states(*states: DataFrame) -> DataFrame:
+    """The state of all profiles from states of parts; parts may overlap and come in any order."""
+    rows = states[0]
+    for state in states[1:]:
+        rows = rows.unionByName(state)
+    return rows.groupBy("trailer_id").agg(
+        F.max("last_priced").alias("last_priced"), F.min("first_active").alias("first_active"),
+        F.min_by("first_flag", "first_active").alias("first_flag"))
+
+
+def active_flags(profiles: DataFrame, state: DataFrame) -> DataFrame:
+    """``profiles`` as inserted, with ``is_active`` as the one-active rule leaves it once all of ``state`` is in."""
+    joined = lookup_join(profiles, state, ["trailer_id"], ["id"])
+    active = (
+        F.when(F.col("last_priced").isNotNull(), F.col("id") == F.col("last_priced"))
+        .when(F.col("id") > F.col("first_active"), F.lit(False))
+        .otherwise(F.col("is_active"))
+    )
+    return joined.withColumn("is_active", active).select(*profiles.columns)
+
+
 def orphan_profiles(trailers: DataFrame, profiles: DataFrame, as_of) -> DataFrame:
     """A default profile for each hosted listing that has none at all."""
     price = F.coalesce(F.col("price_per_hr"), F.lit(0)).cast("decimal(10,2)")

@@ -7,7 +7,7 @@ finishes or does nothing; files of other buckets are never opened or touched.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -60,14 +60,18 @@ class StoredTable:
 
         Two source rows with one key are an error, and change nothing.  An empty source changes nothing.
         """
+        return self.rewrite(source, name, lambda old: upsert(old, source, self.key, update_cols, as_of, defaults, forced))
+
+    def rewrite(self, source: DataFrame, name: str, merged: Callable[[DataFrame], DataFrame]) -> bool:
+        """Put what ``merged`` makes of the rows in the buckets of ``source`` in their place, once per ``name``."""
         spark = source.sparkSession
         self.finish(spark)
         if "done" in self.journal.of(spark, name):
             return False
         # at most as many rows as there are buckets
         touched = sorted(r.bucket for r in source.select(self._bucket()).distinct().collect())
-        merged = upsert(self.read(spark, touched), source, self.key, update_cols, as_of, defaults, forced)
-        self._write(merged.withColumn("bucket", self._bucket()), self._stage(name), "static")
+        rows = conform(merged(self.read(spark, touched)), self.schema)
+        self._write(rows.withColumn("bucket", self._bucket()), self._stage(name), "static")
         self.journal.note(spark, name, "staged")
         self._publish(spark, name)
         return True

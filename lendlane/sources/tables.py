@@ -73,3 +73,14 @@ def read_bookings_until(spark: SparkSession, path: str, as_of: str | datetime) -
     df = spark.read.schema(TABLE_SCHEMAS["bookings"] + ", start_month string").parquet(path)
     month = as_of.strftime("%Y-%m") if isinstance(as_of, datetime) else as_of[:7]
     return df.where(F.col("start_month") <= month).drop("start_month")
+
+
+def read_bookings_of(spark: SparkSession, path: str, months: DataFrame) -> DataFrame:
+    """Bookings starting in one of ``months`` (``start_month`` as ``yyyy-MM``, repeats allowed).
+
+    Distinct months are twelve a year, which bounds the broadcast.  Where ``months`` comes through a
+    filter, the scan asks for them before it lists files, and opens no others.
+    """
+    df = spark.read.schema(TABLE_SCHEMAS["bookings"] + ", start_month string").parquet(path)
+    wanted = months.where(F.col("start_month").rlike("^[0-9]{4}-[0-9]{2}$")).select("start_month").distinct()
+    return df.join(F.broadcast(wanted), "start_month", "left_semi").drop("start_month")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lendlane.sources import tables
 from lendlane.sources.golden import SCHEMAS, golden
+from lendlane.sources.store import conform
 
 BOOKINGS = tables.TABLE_SCHEMAS["bookings"]
 
@@ -36,3 +37,18 @@ def test_golden_dimensions(spark, name, rows):
     df = golden(spark, name)
     assert df.count() == rows and df.columns == spark.createDataFrame([], SCHEMAS[name]).columns
     assert df.dropna("any").count() == rows
+
+
+def test_only_months_asked_for_are_opened(spark, frame, tmp_path):
+    """The months are known at run time only: a broken file of another month is never opened."""
+    from lendlane.operators.listings import expiry_months
+
+    rows = frame("id bigint, start_at timestamp_ntz", (1, "2026-05-03"), (2, "2026-06-01"), (3, "2026-06-30"), (4, "2026-07-01"), (5, None))
+    path = f"{tmp_path}/bookings"
+    tables.write_bookings(conform(rows, tables.TABLE_SCHEMAS["bookings"]), path)
+    (tmp_path / "bookings" / "start_month=2026-05" / "broken.parquet").write_bytes(b"no parquet at all")
+    trailers = frame("id bigint, starter_expires_at timestamp_ntz", (1, "2026-06-05"), (2, "2026-06-09"), (3, "2026-05-05"), (4, None))
+    found = tables.read_bookings_of(spark, path, expiry_months(trailers, "2026-06-01 00:00:00"))
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in found.select("id").collect()) == [2, 3]
+    assert tables.read_bookings_of(spark, path, expiry_months(trailers, "2027-01-01 00:00:00")).count() == 0
