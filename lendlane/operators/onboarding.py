@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlane.functions.columns import empty_to_null, js_trim
 from lendlane.operators.payouts import unique_hosts
@@ -81,6 +81,40 @@ def host_name_split(people: DataFrame, column: str = "full_name") -> DataFrame:
     })
 
 
+def account_requests(eligibility: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The accounts to open: one per host without one, as its first eligible request asks.
+
+    Name and phone fall back to the host's own where the request gives none; an empty one
+    does not, and the e-mail never does.  Blank fields are NULL.
+    """
+    asked = [c for c in ("full_name", "email", "phone") if c in eligibility.columns]
+    first = (
+        eligibility.where(F.col("outcome") == "eligible").groupBy("host_uid")
+        .agg(F.min_by(F.struct("request_id", "onboarding_country", *asked), "request_id").alias("_first"))
+    )
+    own = {"full_name": "full_name", "phone": "phone_number"}
+    without = hosts.where(empty_to_null("stripe_account_id").isNull()).select(
+        "host_uid", *[F.col(c).alias(f"_own_{f}") for f, c in own.items() if c in hosts.columns])
+
+    def field(name: str) -> Column:
+        given = [F.col(f"_first.{name}")] if name in asked else []
+        fallback = [F.col(f"_own_{name}")] if own.get(name) in hosts.columns else []
+        return empty_to_null(js_trim(F.coalesce(*given, *fallback, F.lit(""))))
+
+    found = first.join(without, "host_uid").select(
+        "host_uid", F.col("_first.request_id").alias("request_id"), F.col("_first.onboarding_country").alias("country"),
+        field("email").alias("email"), field("full_name").alias("full_name"), field("phone").alias("phone"))
+    return host_name_split(found).drop("full_name")
+
+
+def link_accounts(hosts: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Hosts with the ids of opened accounts (``host_uid, account_id``, one per host); a host that has one keeps it."""
+    opened = accounts.select("host_uid", F.col("account_id").alias("_opened"))
+    return hosts.join(opened, "host_uid", "left").withColumn(
+        "stripe_account_id", F.coalesce(empty_to_null("stripe_account_id"), "_opened", "stripe_account_id")
+    ).select(*hosts.columns)
+
+
 def onboarding_state(accounts: DataFrame) -> DataFrame:
     """Per account snapshot: onboarding done, or a link needed for what is due."""
     due = (F.coalesce(F.size("currently_due"), F.lit(0)) > 0) | (F.coalesce(F.size("past_due"), F.lit(0)) > 0)

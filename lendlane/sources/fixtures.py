@@ -211,6 +211,16 @@ VIEWS = {
 }
 
 
+VIEWS["phone_hosts"] = VIEWS["hosts"].replace(
+    " from {supplier}",
+    ", case s_suppkey % 3 when 0 then concat(' +372 ', cast(s_suppkey as varchar(20))) when 1 then '' end as phone_number from {supplier}")
+# requests with contact fields; blank ones differ from missing ones
+VIEWS["contact_requests"] = VIEWS["onboard_requests"].replace(
+    " from {customer}",
+    """, case c_custkey % 3 when 0 then null when 1 then ' ' else concat(' c', cast(c_custkey as varchar(20)), '@mail.example ') end as email,
+ case c_custkey % 5 when 0 then '' when 1 then concat('+47 ', cast(c_custkey as varchar(20))) end as phone from {customer}""")
+
+
 def _text(view: str, tokens: dict[str, str]) -> str:
     text = VIEWS[view]
     for token, value in tokens.items():

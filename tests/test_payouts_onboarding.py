@@ -110,6 +110,26 @@ def test_names(frame):
         ("Mari", " Maasikas Tamm"), ("Mari", None), (None, None), (None, None), ("a", "b")]
 
 
+def test_accounts_are_opened_once_per_host_with_contacts_that_fall_back(frame):
+    asked = frame(
+        "request_id bigint, host_uid string, onboarding_country string, outcome string, full_name string, email string, phone string",
+        (1, "a", "EE", "blocked", "Not Me", None, None), (3, "a", "EE", "eligible", None, " a@x ", None), (2, "a", "FI", "eligible", "", "  ", " "),
+        (4, "b", "EE", "eligible", None, None, None), (5, "c", "EE", "eligible", "Has One", None, None), (6, None, None, "no_host_uid", None, None, None))
+    hosts = frame(HOST + ", phone_number string", (1, "a", "Own Name", None, "", None, "+372 1"), (2, "b", " Own Name Too ", None, None, None, " +372 2 "),
+                  (3, "c", "C", None, "acct_c", None, None), (4, None, "nobody", None, None, None, None))
+    rows = onboarding.account_requests(asked, hosts)
+    assert as_dicts(rows, "host_uid") == {
+        "a": {"host_uid": "a", "request_id": 2, "country": "FI", "email": None, "phone": None, "first_name": None, "last_name": None},
+        "b": {"host_uid": "b", "request_id": 4, "country": "EE", "email": None, "phone": "+372 2", "first_name": "Own", "last_name": "Name Too"}}
+    opened = frame("host_uid string, account_id string", ("a", "acct_1"), ("b", "acct_2"), ("c", "never"))
+    linked = onboarding.link_accounts(hosts, opened)
+    assert column(linked, "stripe_account_id") == {1: "acct_1", 2: "acct_2", 3: "acct_c", 4: None}
+    # once linked, no host asks again; requests without contact columns use the hosts' own
+    assert onboarding.account_requests(asked, linked).isEmpty()
+    bare = onboarding.account_requests(asked.select("request_id", "host_uid", "onboarding_country", "outcome"), hosts)
+    assert column(bare, "first_name", "host_uid") == {"a": "Own", "b": "Own"}
+
+
 def test_state(frame):
     accounts = frame(
         "host_id bigint, payouts_enabled boolean, details_submitted boolean, currently_due array<string>, past_due array<string>",
