@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lendlane.llm.shared import components, free_names, quoted, save, slices, spread, texts
-from lendlane.llm.shingles import shingle_sets, signature
+from lendlane.llm.shingles import AT_ONCE, shingle_sets, signatures
 
 PERCENT = 80
 LARGEST_LIGHT = 24
@@ -33,6 +33,7 @@ MOST_FREQUENT = 1_000_000
 BLOCKS = 32
 SKETCH_BITS = 1024
 CHUNK = 1024
+NEIGHBOURS = 15
 
 
 def required(a: int, b: int, percent: int = PERCENT) -> int:
@@ -92,10 +93,11 @@ class BitFilter:
 def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Sets of slices of texts; a set the task has met before is left out."""
     met = set()
-    for batch in slices(batches):
+    for batch in slices(batches, most=AT_ONCE):
         signs, sets = [], []
-        for s in shingle_sets(texts(batch), width):
-            if len(s) and (sign := signature(s)) not in met:
+        found = shingle_sets(texts(batch), width)
+        for s, sign in zip(found, signatures(found)):
+            if len(s) and sign not in met:
                 met.add(sign)
                 signs.append(sign)
                 sets.append(s)
@@ -184,14 +186,15 @@ def _light_keys(s: np.ndarray, light: int, percent: int) -> Iterator[np.ndarray]
 
 
 def _entries(signs, sets, ranks: Ranks, light: int, percent: int):
-    """Keys, sets, sizes and kinds (0: heavy, else the smaller size of a light class)."""
-    keys, own, sizes, kinds = [], [], [], []
+    """Keys, sets, sizes, kinds (0: heavy, else the smaller size of a light class) and places in the common order."""
+    keys, own, sizes, kinds, places = [], [], [], [], []
 
     def add(k, sign, n, kind):
         keys.append(k)
         own.append(np.full(len(k), sign, np.int64))
         sizes.append(np.full(len(k), n, np.int32))
         kinds.append(np.full(len(k), kind, np.uint8))
+        places.append(np.zeros(len(k), np.int32) if kind else np.arange(len(k), dtype=np.int32))
 
     rank = ranks.of(np.concatenate(sets).astype(np.uint32))
     at = 0
@@ -206,16 +209,53 @@ def _entries(signs, sets, ranks: Ranks, light: int, percent: int):
             add(s[first], sign, n, 0)
     if not keys:
         return None
-    return np.concatenate(keys), np.concatenate(own), np.concatenate(sizes), np.concatenate(kinds)
+    return tuple(np.concatenate(x) for x in (keys, own, sizes, kinds, places))
 
 
 GROUP_SCHEMA = "gid long, sign long, size int, centre long, centre_size int, linked boolean"
 
 
-def _lists(rows: pd.DataFrame) -> pd.DataFrame:
-    """The lists of one bucket that hold two sets or more; lists of the same sets once."""
+def _with_partner(sizes: np.ndarray, places: np.ndarray, lists: np.ndarray, percent: int) -> np.ndarray:
+    """Members of heavy lists that may have a partner there whose first common element is the list's.
+
+    Sizes must fit, and what both sets hold from the list's element on must be enough.  In a list of more than
+    ``NEIGHBOURS + 1`` members only sizes count.  Linked sets stay together in the list of their first common element.
+    """
+    order = np.lexsort((sizes, lists))
+    sizes, places, lists = sizes[order].astype(np.int64), places[order], lists[order]
+    stays, long = np.zeros(len(sizes), bool), np.bincount(lists)[lists] > NEIGHBOURS + 1 if len(lists) else np.zeros(0, bool)
+    for d in range(1, min(NEIGHBOURS, len(sizes) - 1) + 1):
+        a, b = sizes[:-d], sizes[d:]  # a list's sizes ascend
+        fits = (lists[:-d] == lists[d:]) & (100 * a >= percent * b)
+        enough = (100 + percent) * np.minimum(a - places[:-d], b - places[d:]) >= percent * (a + b)
+        fits &= enough | long[d:]
+        stays[:-d] |= fits
+        stays[d:] |= fits
+    out = np.zeros(len(sizes), bool)
+    out[order] = stays
+    return out
+
+
+def _lists(rows: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+    """The lists of one bucket that hold two sets or more that may be linked; lists of the same sets once."""
     keys, signs = _joined(rows["keys"], "<u8"), _joined(rows["signs"], "<i8")
-    sizes, kinds = _joined(rows["sizes"], "<i4"), _joined(rows["kinds"], "u1")
+    sizes, kinds, places = _joined(rows["sizes"], "<i4"), _joined(rows["kinds"], "u1"), _joined(rows["places"], "<i4")
+    # most elements are in one set only
+    order = np.lexsort((kinds, keys))
+    k, i = keys[order], kinds[order]
+    same = (k[1:] == k[:-1]) & (i[1:] == i[:-1])
+    met = order[np.append(same, False) | np.append(False, same)] if len(k) else order
+    keys, signs, sizes, kinds, places = (x[met] for x in (keys, signs, sizes, kinds, places))
+    # a set that several tasks have met is in its lists several times
+    order = np.lexsort((signs, kinds, keys))
+    keys, signs, sizes, kinds, places = (x[order] for x in (keys, signs, sizes, kinds, places))
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])
+    once = new.copy()
+    once[1:] |= signs[1:] != signs[:-1]
+    number, heavy = np.cumsum(new), once & (kinds == 0)
+    once[heavy] = _with_partner(sizes[heavy], places[heavy], number[heavy], percent)
+    keys, signs, sizes, kinds = (x[once] for x in (keys, signs, sizes, kinds))
     rank = spread(signs.view(np.uint64))
     # members of the smaller size come first in a light list, so that its centre is one of them
     late = (kinds > 0) & (sizes != kinds)
@@ -223,9 +263,6 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     keys, signs, sizes, kinds, rank = keys[order], signs[order], sizes[order], kinds[order], rank[order]
     first = np.ones(len(keys), bool)
     first[1:] = (keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])
-    again = np.zeros(len(keys), bool)
-    again[1:] = ~first[1:] & (signs[1:] == signs[:-1])
-    keys, signs, sizes, kinds, rank, first = (x[~again] for x in (keys, signs, sizes, kinds, rank, first))
     starts = np.flatnonzero(first)
     if not len(starts):
         return pd.DataFrame(columns=["gid", "sign", "size", "centre", "centre_size", "linked"])
@@ -252,12 +289,15 @@ def _met(docs: DataFrame, ranks: Ranks, light: int, buckets: int, width: int, pe
         for signs, sets in _distinct_sets(batches, width):
             made = _entries(signs, sets, shared.value, light, percent)
             if made:
-                kinds = (pa.int32(), *[pa.binary()] * 4)
+                kinds = (pa.int32(), *[pa.binary()] * 5)
                 rows = zip(*_by_bucket(made[0], buckets, *made))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["bucket", "keys", "signs", "sizes", "kinds"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["bucket", "keys", "signs", "sizes", "kinds", "places"])
+
+    def lists(rows: pd.DataFrame) -> pd.DataFrame:
+        return _lists(rows, percent)
 
-    entries = docs.select("text").mapInArrow(emit, "bucket int, keys binary, signs binary, sizes binary, kinds binary")
-    return entries.groupBy("bucket").applyInPandas(_lists, GROUP_SCHEMA).dropDuplicates(["gid", "sign"])
+    entries = docs.select("text").mapInArrow(emit, "bucket int, keys binary, signs binary, sizes binary, kinds binary, places binary")
+    return entries.groupBy("bucket").applyInPandas(lists, GROUP_SCHEMA).dropDuplicates(["gid", "sign"])
 
 
 # ---------------------------------------------------------------- verification
@@ -405,15 +445,24 @@ def _possible(lists: DataFrame, sketches: DataFrame, percent: int, forest: bool)
     buckets = max(64, chunks.agg(F.coalesce(F.sum(F.col("chunks").cast("long") * F.col("chunks")), F.lit(0))).first()[0] // 200)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, tile in rows.groupby("tile", sort=True):
-            tile = tile.sort_values("sign", kind="stable")
-            side = tile["own"].to_numpy()
-            sketch = np.frombuffer(b"".join(tile["sketch"]), np.uint8).reshape(len(tile), -1)
-            sign = tile["sign"].to_numpy()
-            a, b = possible_pairs(tile["size"].to_numpy().astype(np.int64), tile["component"].to_numpy(), sketch, side, percent, forest)
-            out.append(pd.DataFrame({"a": sign[a], "b": sign[b]}))
-        return pd.concat(out).drop_duplicates()
+        rows = rows.sort_values(["tile", "sign"], kind="stable")
+        tile, sign, size, component, side = (rows[c].to_numpy() for c in ("tile", "sign", "size", "component", "own"))
+        size, sketch = size.astype(np.int64), np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+        starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        counts = np.diff(np.append(starts, len(tile)))
+        # most tiles hold one pair
+        i = starts[counts == 2]
+        low, high = np.minimum(size[i], size[i + 1]), np.maximum(size[i], size[i + 1])
+        i = i[(component[i] != component[i + 1]) & (100 * low >= percent * high)]
+        apart = np.bitwise_count(sketch[i].view(np.uint64) ^ sketch[i + 1].view(np.uint64)).sum(axis=1, dtype=np.int64)
+        i = i[(100 + percent) * (size[i] + size[i + 1] - apart) >= 2 * percent * (size[i] + size[i + 1])]
+        found = [(i, i + 1)]
+        for lo, n in zip(starts[counts > 2], counts[counts > 2]):
+            own = slice(lo, lo + n)
+            a, b = possible_pairs(size[own], component[own], sketch[own], side[own], percent, forest)
+            found.append((a + lo, b + lo))
+        a, b = (sign[np.concatenate(x)] for x in zip(*found))
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     dealt = tiles.withColumn("bucket", F.pmod(F.col("tile"), F.lit(buckets)).cast("int"))
     return dealt.select("bucket", "tile", "sign", "size", "component", "own", "sketch").groupBy("bucket").applyInPandas(run, "a long, b long")
@@ -439,10 +488,10 @@ def _classed(docs: DataFrame, ids: str, width: int, percent: int) -> DataFrame:
     docs = docs.select(F.col(ids).cast("long").alias("doc_id"), "text")
 
     def sizes(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=AT_ONCE):
             sets = shingle_sets(texts(batch), width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures(sets), pa.int64())],
                 ["doc_id", "digest", "n_shingles", "sign"])
 
     with_digest = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))

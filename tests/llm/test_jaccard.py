@@ -144,3 +144,39 @@ def test_a_common_passage_and_many_near_copies(frame, monkeypatch):
             rows.append((i, " ".join(own)))
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in as_dicts(jaccard.similar_groups(frame("doc_id long, text string", *rows)))), key=str)
     assert got == plain_components(rows)
+
+
+def _rows_of_lists(sets):
+    """The lists of one bucket that a task makes of sets, as pairs of sets that are in one list."""
+    import pandas as pd
+
+    signs = list(range(1, len(sets) + 1))
+    made = jaccard._entries(signs, sets, jaccard.Ranks([]), 0, 80)
+    blocks = list(jaccard._by_bucket(made[0], 1, *made))
+    found = jaccard._lists(pd.DataFrame(blocks, columns=["bucket", "keys", "signs", "sizes", "kinds", "places"][:len(blocks[0])]))
+    return {(a, b) for own in found.groupby("gid")["sign"].agg(list) for a in own for b in own if a < b}
+
+
+def test_lists_leave_out_sets_without_a_possible_partner():
+    small, large = np.arange(1, 41, dtype=np.uint64), np.append(np.uint64(1), np.arange(1000, 1200, dtype=np.uint64))
+    assert _rows_of_lists([small, large]) == set()  # one common element, but sizes that never fit
+    late = np.sort(np.append(np.arange(100, 108, dtype=np.uint64), np.arange(500, 550, dtype=np.uint64)))
+    other = np.sort(np.append(np.uint64(107), np.arange(2000, 2057, dtype=np.uint64)))
+    assert _rows_of_lists([late, other]) == set()  # what follows their common element is too little for 80 %
+
+
+def test_linked_sets_stay_in_a_list():
+    rng = np.random.default_rng(21)
+    sets = []
+    for size in (5, 30, 31, 200):
+        base = rng.integers(0, 1 << 40, size)
+        for share in (0.0, 0.02, 0.05, 0.1, 0.2):
+            kept = base[rng.random(size) >= share]
+            sets.append(np.unique(np.append(kept, rng.integers(0, 1 << 40, max(1, int(share * size / 2))))).astype(np.uint64))
+    pairs, linked = _rows_of_lists(sets), set()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(x, sets[j]))
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                linked.add((j + 1, i + 1))
+    assert len(linked) > 10 and linked <= pairs
