@@ -19,6 +19,9 @@ from lendlane.llm.shared import SPACES, PrefixHash, fold, save, slices, spread,
 
 LIMIT = 0.3
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Places whose state is averaged in one group, and the columns of a state.
+BLOCK = 1 << 14
+STATE = "place binary, moved binary, squares binary"
 
 
 @dataclass(frozen=True)
@@ -157,15 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", settings: S
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("rank", "digest"), F.lit(shards)).cast("int"))
     leader = Leader(settings)
     for _ in range(settings.rounds):
-        states = dealt.groupBy("shard").applyInPandas(_learned(leader), "shard int, place binary, moved binary, squares binary").collect()
-        moved, squares, touched = (np.zeros(settings.places) for _ in range(3))
-        for r in sorted(states, key=lambda r: r.shard):
+        states = dealt.groupBy("shard").applyInPandas(_learned(leader), f"block int, shard int, {STATE}")
+        # states are averaged block by block on the executors: the driver gets one state, however many shards there are
+        means = states.groupBy("block").applyInPandas(_averaged, STATE).collect()
+        leader = Leader(settings, leader.moved.copy(), leader.squares.copy())
+        for r in means:
             place = np.frombuffer(r.place, np.int32)
-            touched[place] += 1
-            moved[place] += np.frombuffer(r.moved)
-            squares[place] += np.frombuffer(r.squares)
-        kept, divisor = touched == 0, np.maximum(touched, 1)
-        leader = Leader(settings, np.where(kept, leader.moved, moved / divisor), np.where(kept, leader.squares, squares / divisor))
+            leader.moved[place], leader.squares[place] = np.frombuffer(r.moved), np.frombuffer(r.squares)
     return Model(leader.weights(), settings)
 
 
@@ -186,11 +187,31 @@ def _learned(start: Leader):
             for row in learned:
                 own.learn(*row)
         place = np.flatnonzero(own.squares != start.squares).astype(np.int32)
-        state = {"place": place, "moved": own.moved[place], "squares": own.squares[place]}
-        return pd.DataFrame({"shard": [rows.shard.iloc[0]], **{k: [x.tobytes()] for k, x in state.items()}})
+        block = place // BLOCK
+        cuts = np.searchsorted(block, np.arange(settings.places // BLOCK + 2)).tolist()
+        out = []
+        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            if lo < hi:
+                at = place[lo:hi]
+                out.append((b, rows.shard.iloc[0], at.tobytes(), own.moved[at].tobytes(), own.squares[at].tobytes()))
+        return pd.DataFrame(out, columns=["block", "shard", "place", "moved", "squares"])
     return run
 
 
+def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
+    """The mean state of the places of a block, each over the shards that touched it, added up in the order of shards."""
+    first = rows["block"].iloc[0] * BLOCK
+    moved, squares, touched = (np.zeros(BLOCK) for _ in range(3))
+    for r in rows.sort_values("shard", kind="stable").itertuples():
+        at = np.frombuffer(r.place, np.int32) - first
+        touched[at] += 1
+        moved[at] += np.frombuffer(r.moved)
+        squares[at] += np.frombuffer(r.squares)
+    at = np.flatnonzero(touched)
+    state = (at + first).astype(np.int32), moved[at] / touched[at], squares[at] / touched[at]
+    return pd.DataFrame([tuple(x.tobytes() for x in state)], columns=["place", "moved", "squares"])
+
+
 def classified(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``; a NULL text is empty, a NULL id not held out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

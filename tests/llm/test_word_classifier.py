@@ -102,3 +102,26 @@ def test_labels_of_held_out_rows_are_not_read(frame):
     labels = frame("doc_id long, quality int", *[(i, i % 2) for i in range(200)])
     assert {r["doc_id"] for r in as_dicts(wc.sampled_labels(labels))} == set(range(200)) - held
     assert wc.sampled_labels(labels, settings=wc.Settings(rows=7)).count() == 7
+
+
+def test_states_are_averaged_block_by_block():
+    """The mean over shards, as the driver would add it up in the order of shards, comes from blocks of places."""
+    import pandas as pd
+
+    settings = wc.Settings(bits=15)
+    shards = [
+        pd.DataFrame({"shard": k, "rank": range(4), "digest": 0, "y": [0.0, 1.0, 1.0, 0.0], "text": [f"w{j * (k + 1)} a{k} b {j}" for j in range(4)]})
+        for k in range(3)
+    ]
+    states = pd.concat([wc._learned(wc.Leader(settings))(rows) for rows in shards])
+    moved, touched, got = np.zeros(settings.places), np.zeros(settings.places), np.zeros(settings.places)
+    for r in states.itertuples():
+        place = np.frombuffer(r.place, np.int32)
+        assert (place // wc.BLOCK == r.block).all()
+        touched[place] += 1
+        moved[place] += np.frombuffer(r.moved)
+    for _, rows in states.groupby("block"):
+        mean = wc._averaged(rows.sample(frac=1, random_state=1)).iloc[0]
+        got[np.frombuffer(mean.place, np.int32)] = np.frombuffer(mean.moved)
+    assert states["block"].nunique() == 3 and touched.max() == 3
+    assert np.array_equal(got, moved / np.maximum(touched, 1))
