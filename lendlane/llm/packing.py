@@ -8,6 +8,7 @@ Sequences left with much room are opened again and packed once more across group
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,40 +70,40 @@ def vector_best_fit(lengths: np.ndarray, caps: Capacities) -> tuple[np.ndarray,
     A piece goes to the open sequence with room in every capacity that scores best, the earliest
     of equals, else to a new one.
     """
-    limit = np.array([caps.tokens, caps.pieces, caps.cost], float)
-    weights = np.array(caps.weights)
     if len(lengths) and (lengths.max() > caps.tokens or lengths.max() ** 2 > caps.cost or caps.pieces < 1):
         raise ValueError("a piece is larger than a sequence may be")
-    order = np.argsort(-lengths, kind="stable")
-    room = np.empty((len(lengths), 3))
-    bins, opened, closed = 0, np.zeros(0, int), 0
+    w_tokens, w_pieces, w_cost = caps.weights
+    by_norm = caps.choose == "norm"
+    stops = by_norm and min(caps.weights) >= 0
+    # open sequences by their room: tokens, number, pieces, cost
+    live: list[tuple[int, int, int, int]] = []
+    bins, smallest = 0, int(lengths.min()) if len(lengths) else 0
     number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    live = np.zeros(len(lengths), np.int64)
-    smallest = lengths.min() if len(lengths) else 0
-    n_live = 0
-    for item in order:
-        n = float(lengths[item])
-        size = np.array([n, 1.0, n * n])
-        at = live[:n_live]
-        left = room[at] - size
-        fits = np.flatnonzero((left >= 0).all(axis=1))
-        if len(fits):
-            if caps.choose == "norm":
-                score = ((left[fits] / limit) ** 2) @ weights
+    for item in np.argsort(-lengths, kind="stable").tolist():
+        n = int(lengths[item])
+        best = None
+        for place in range(bisect_left(live, (n,)), len(live)):
+            tokens, k, rest, cost = live[place]
+            own = w_tokens * ((tokens - n) / caps.tokens) ** 2
+            if stops and best and own > best[0]:  # the other two only add to it, and room only grows
+                break
+            if rest < 1 or cost < n * n:
+                continue
+            if by_norm:
+                score = own + w_pieces * ((rest - 1) / caps.pieces) ** 2 + w_cost * ((cost - n * n) / caps.cost) ** 2
             else:
-                score = -((room[at[fits]] / limit * (size / limit)) @ weights)
-            place = fits[np.argmin(score)]
-            k = at[place]
+                score = -(w_tokens * (tokens / caps.tokens) * (n / caps.tokens) + w_pieces * (rest / caps.pieces) * (1 / caps.pieces)
+                          + w_cost * (cost / caps.cost) * (n * n / caps.cost))
+            if best is None or (score, k) < best[:2]:
+                best = score, k, place
+        if best:
+            tokens, k, rest, cost = live.pop(best[2])
         else:
-            k, place = bins, n_live
-            room[k] = limit
-            live[n_live] = k
-            bins, n_live = bins + 1, n_live + 1
-        number[item], offset[item] = k, caps.tokens - room[k, 0]
-        room[k] -= size
-        if room[k, 0] < smallest or room[k, 1] < 1:  # nothing fits any more
-            live[place:n_live - 1] = live[place + 1:n_live]
-            n_live -= 1
+            tokens, k, rest, cost = caps.tokens, bins, caps.pieces, caps.cost
+            bins += 1
+        number[item], offset[item] = k, caps.tokens - tokens
+        if tokens - n >= smallest and rest > 1:  # else nothing fits any more
+            insort(live, (tokens - n, k, rest - 1, cost - n * n))
     return number, offset
 
 

@@ -3,19 +3,22 @@
 The word tokenizer drops white space and its splits never reach over it, so the ids of a text
 are those of its words in a row.  It folds case, and a run of letters is one of its units; but special
 strings, which begin with ``<|``, are only known in the case they are written in, so words that hold
-that beginning stay as they are.  Each task keeps the ids of words it has met, up to a bound.
+that beginning stay as they are.  Each worker keeps the ids of words it has met, up to a bound, for all its tasks.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 BATCH = 1_000
 SPECIAL = b"<|"  # fixed value: how special strings begin
 _ENDED = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")  # letters and ASCII marks
@@ -26,6 +29,7 @@ def _is_unit(word: str) -> bool:
     return word.isalpha() and word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word))
 
 
+@functools.lru_cache(maxsize=1)
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit numbers.
 
@@ -74,19 +78,31 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         for word, unit, tail in ended:
             known[word] = known[unit] + known[tail]
 
-    def words_of(text: bytes) -> list[bytes]:
+    def normal(text: bytes) -> bytes:
         if SPECIAL not in text:
-            return text.lower().split()  # ASCII case and white space only
-        return [w if SPECIAL in w else w.lower() for w in text.split()]
+            return text.lower()  # ASCII case only
+        return b" ".join(w if SPECIAL in w else w.lower() for w in text.split())
 
     def encode(texts: list[str]) -> list[bytes]:
-        own = [words_of(t.encode("utf-8", "replace")) for t in texts]
-        words = set().union(*own)
-        missing = words.difference(known)
+        parts = pa.array([normal(t.encode("utf-8", "replace")) for t in texts], pa.large_binary()).cast(pa.large_string(), safe=False)
+        own = pc.ascii_split_whitespace(parts)  # the white space that bytes are split at; may leave empty words
+        coded = own.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        missing = [w for w in words if w not in known]
         if len(known) + len(missing) > MOST_WORDS:
             known.clear()
             missing = words
-        learn(list(missing))
-        return [b"".join(map(known.__getitem__, w)) for w in own]
+        learn([w for w in missing if w])
+        known[b""] = b""
+        found = [known[w] for w in words]
+        # the ids of all words in a row, by the places of the distinct ones
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        size = sizes[word]
+        ends = np.cumsum(size)
+        begin = (np.cumsum(sizes) - sizes)[word] - (ends - size)
+        data = ids[np.repeat(begin, size) + np.arange(len(size) and ends[-1])]
+        cuts = np.append(0, ends)[own.offsets.to_numpy()].tolist()
+        return [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     return encode

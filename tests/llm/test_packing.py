@@ -75,3 +75,29 @@ def test_groups(frame, spark):
     for r in rows:
         held[r["sequence_id"]] = held.get(r["sequence_id"], 0) + r["length"]
     assert max(held.values()) <= 64 and len(held) <= 1.02 * -(-sum(held.values()) // 64)
+
+
+def test_tasks_of_a_worker_share_the_words_it_has_met():
+    encode = word_encoder(PATH)
+    assert word_encoder(PATH) is encode
+    text = "  Zebra zebra\x0bquux! \n"
+    assert encode(["", text, " "]) == [b"", np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b""]
+
+
+@pytest.mark.parametrize("caps", [{}, {"choose": "dot"}, {"pieces": 5, "weights": (1.0, .3, .3)}, {"cost": 2048 ** 2 + 10, "weights": (.1, 1.0, 1.0)}])
+def test_the_sequence_chosen_is_the_best_of_all(caps):
+    caps = packing.Capacities(**caps)
+    lengths = np.minimum(np.random.default_rng(8).lognormal(5, 1.2, 400).astype(int) + 1, 2048)
+    limit, weights, rooms, want = np.array([caps.tokens, caps.pieces, caps.cost], float), np.array(caps.weights), [], {}
+    for item in np.argsort(-lengths, kind="stable"):
+        size = np.array([lengths[item], 1, lengths[item] ** 2], float)
+        def score(room):
+            return weights @ ((room - size) / limit) ** 2 if caps.choose == "norm" else -(weights @ (room / limit * size / limit))
+        fits = [k for k, room in enumerate(rooms) if (room >= size).all()]
+        if not fits:
+            rooms.append(limit.copy())
+        k = min(fits, key=lambda k: (round(score(rooms[k]), 12), k)) if fits else len(rooms) - 1
+        want[item] = k, caps.tokens - rooms[k][0]
+        rooms[k] = rooms[k] - size
+    number, offset = packing.vector_best_fit(lengths, caps)
+    assert [(number[i], offset[i]) for i in range(400)] == [want[i] for i in range(400)]
