@@ -6,11 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+DIGEST = 32
+
 
 def _narrow(df: DataFrame, column: str, kind) -> Column:
-    """A value that equals another one's just where the values are equal: texts and bytes as a 256-bit digest."""
+    """A value that equals another one's just where the values are equal: texts and bytes of ``DIGEST`` bytes or more as a digest."""
     value = F.col(column).cast(kind)
-    return F.unhex(F.sha2(value.cast("binary"), 256)) if kind.typeName() in ("string", "binary") else value
+    if kind.typeName() not in ("string", "binary"):
+        return value
+    raw = value.cast("binary")
+    return F.when(F.octet_length(raw) < DIGEST, raw).otherwise(F.unhex(F.sha2(raw, 8 * DIGEST)))
 
 
 def table_changes(old: DataFrame, new: DataFrame, key: str, ignored: Sequence[str] = ("updated_at",)) -> DataFrame:
@@ -20,6 +25,9 @@ def table_changes(old: DataFrame, new: DataFrame, key: str, ignored: Sequence[st
     of both versions count, but for the key and the ``ignored``, as the types ``new`` has; NULL
     equals NULL, as key too.  Keys are unique in a version: a key that occurs twice in one is an error.  Empty versions
     give all rows of the other.  Rows cross the network once, long texts as digests; map columns cannot be compared.
+
+    Keys being unique, rows of a key are brought together before anything is aggregated: a task that reads a version holds none
+    of it, and what a task sorts is its share of both versions.
     """
     watched = [c for c in new.columns if c in old.columns and c != key and c not in ignored]
     kinds = {c: new.schema[c].dataType for c in [key, *watched]}
@@ -28,7 +36,7 @@ def table_changes(old: DataFrame, new: DataFrame, key: str, ignored: Sequence[st
         values = [_narrow(df, c, kinds[c]).alias(f"c{i}") for i, c in enumerate(watched)]
         return df.select(F.col(key).cast(kinds[key]).alias("_key"), F.lit(is_new).alias("_new"), F.struct(F.lit(1).alias("one"), *values).alias("_row"))
 
-    found = version(old, False).unionAll(version(new, True)).groupBy("_key").agg(
+    found = version(old, False).unionAll(version(new, True)).repartition("_key").groupBy("_key").agg(
         F.count_if(~F.col("_new")).alias("_olds"), F.count_if(F.col("_new")).alias("_news"),
         F.first(F.when(~F.col("_new"), F.col("_row")), ignorenulls=True).alias("_before"),
         F.first(F.when(F.col("_new"), F.col("_row")), ignorenulls=True).alias("_after"),

@@ -105,8 +105,9 @@ def best_profiles(profiles: DataFrame) -> DataFrame:
 
 def deactivate_duplicates(profiles: DataFrame, as_of) -> DataFrame:
     """Switch off every active profile that is not its listing's best."""
-    best = F.max_by("id", F.when(not_false("is_active"), _goodness())).alias("_best")
-    joined = attach_aggregates(profiles, ["trailer_id"], [best], ["id"])
+    # graded before it is aggregated: tasks sort grades, not the columns these are made of
+    graded = profiles.withColumn("_good", F.when(not_false("is_active"), _goodness()))
+    joined = attach_aggregates(graded, ["trailer_id"], [F.max("_good").getField("i").alias("_best")], ["id"])
     loser = F.col("trailer_id").isNotNull() & not_false("is_active") & (F.col("id") != F.col("_best"))
     return (
         joined.withColumn("_loser", F.coalesce(loser, F.lit(False)))

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.errors import PySparkException
 
@@ -33,3 +35,19 @@ def test_a_key_that_occurs_twice_is_an_error(frame):
     rows = frame("k string, a int", ("p", 1), ("p", 2))
     with pytest.raises(PySparkException, match="key twice in one version: p"):
         table_changes(rows, rows, "k").collect()
+
+
+def test_rows_are_not_sorted_by_the_tasks_that_read_them(frame):
+    rows = frame("k string, a int, b string", ("p", 1, "x"), ("q", None, "y" * 40))
+    plan = table_changes(rows, frame("k string, a int, b string", ("p", 2, "x")), "k")._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.split("== Initial Plan ==")[-1].partition("Exchange")
+    assert "Aggregate" in above and "Sort " in above
+    assert "Aggregate" not in below and "Sort " not in below and "Exchange" not in below
+
+
+def test_texts_around_the_length_of_a_digest(frame):
+    kind = "k int, b string, c binary"
+    old = frame(kind, *[(n, "x" * n, b"x" * n) for n in (30, 31, 32, 33)])
+    new = frame(kind, *[(n, "x" * (n - 1) + "y", hashlib.sha256(b"x" * n).digest()) for n in (30, 31, 32, 33)])
+    assert changes(old, new) == {n: ("changed", "b,c") for n in (30, 31, 32, 33)}
+    assert changes(old, old) == {}
