@@ -180,3 +180,18 @@ def test_linked_sets_stay_in_a_list():
             if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
                 linked.add((j + 1, i + 1))
     assert len(linked) > 10 and linked <= pairs
+
+
+def test_texts_that_stay_are_not_shuffled(spark, frame):
+    rows = [(i, " ".join(random.Random(i).choices(WORDS, k=40))) for i in range(60)]
+    docs = frame("doc_id long, text string", *rows, *[(100 + i, rows[i][1]) for i in range(5)], rows[7], (None, rows[8][1]), (9, None))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.one_of_each(docs)
+        plan = kept._jdf.queryExecution().executedPlan().initialPlan()
+        found = sorted(((r["doc_id"], r["text"]) for r in as_dicts(kept)), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.nodeName() == "Union"
+    assert "Exchange" not in plan.children().apply(0).toString() and "Exchange" in plan.children().apply(1).toString()
+    assert found == sorted([*rows, (None, rows[8][1]), (9, None)], key=str)
