@@ -100,6 +100,14 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return numbers[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _found(numbers: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each of the asked numbers stands among ascending ones; looked up in ascending order, so that the search stays in caches."""
+    order = np.argsort(asked)
+    out = np.empty(len(asked), np.int64)
+    out[order] = np.searchsorted(numbers, asked[order])
+    return out
+
+
 def _bucket(kind: str, numbers: np.ndarray, buckets: int) -> np.ndarray:
     key = numbers if kind == "word" else (numbers >> np.uint64(8)) & np.uint64(0xFFFF)
     return (spread(key + np.uint64(5)) >> np.uint64(33)) % np.uint64(buckets)
@@ -377,12 +385,12 @@ def _scored(rows: pd.DataFrame, answers: pd.DataFrame, total: int, known: int, b
     for _, raw in _slices(texts):
         n = len(raw)
         word, text = words(raw)
-        at = np.searchsorted(numbers["word"], word)
+        at = _found(numbers["word"], word)
         out["n_tokens"].append(np.bincount(text, minlength=n))
         out["n_known"].append(np.bincount(text, values["word"][at] > 0, n).astype(np.int64))
         out["base"].append(np.bincount(text, per_word[at], n))
         string, text = strings(raw)
-        out["score"].append(np.bincount(text, values["string"][np.searchsorted(numbers["string"], string)].astype(float), n))
+        out["score"].append(np.bincount(text, values["string"][_found(numbers["string"], string)].astype(float), n))
     return pd.DataFrame({"doc_id": rows["doc_id"], "held_out": rows["held_out"], **{k: np.concatenate(v) for k, v in out.items()}})
 
 

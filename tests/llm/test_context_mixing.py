@@ -81,3 +81,17 @@ def test_strings_and_packing():
 
 def test_empty(frame):
     assert cm.scored(frame("doc_id long, text string")).count() == 0
+
+
+def test_numbers_are_looked_up_in_ascending_order(monkeypatch):
+    dice = np.random.default_rng(4)
+    numbers = np.unique(dice.integers(0, 1 << 48, 3000).astype(np.uint64))
+    asked, search, ascending = dice.choice(numbers, 20_000), np.searchsorted, []
+
+    def watched(known, wanted, *more, **options):
+        ascending.append(bool((wanted[1:] >= wanted[:-1]).all()))
+        return search(known, wanted, *more, **options)
+
+    monkeypatch.setattr(np, "searchsorted", watched)
+    assert (numbers[cm._found(numbers, asked)] == asked).all() and ascending == [True]
+    assert len(cm._found(numbers, asked[:0])) == 0
