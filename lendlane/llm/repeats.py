@@ -125,8 +125,8 @@ class Slice:
                 have += more
             found.append((key & low).astype(np.int64) + lo)
         anchor = np.concatenate(found)  # of the string that starts here
-        text = np.searchsorted(self.ends, np.arange(len(anchor)), side="right")
-        fits = np.arange(len(anchor)) + length <= self.ends[np.minimum(text, len(self.ends) - 1)]
+        text = np.repeat(np.arange(len(self.ends)), self.ends - self.starts)[:len(anchor)]
+        fits = np.arange(length, len(anchor) + length) <= np.repeat(self.ends, self.ends - self.starts)[:len(anchor)]
         place = np.flatnonzero(fits)
         if not len(place):
             return np.zeros(0, np.uint64), none, none, none

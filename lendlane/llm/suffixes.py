@@ -88,22 +88,20 @@ def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
 
 def _scan(text, smaller, ordered, alphabet: int) -> np.ndarray:
     """Induce all suffixes from the ordered leftmost smaller ones: larger ones up, then smaller ones down."""
-    own = np.split(ordered, np.searchsorted(text[ordered], np.arange(1, alphabet)))
+    # symbols of the suffixes to place, in the narrowest type, which sorts fastest; all others, and the last one, are none
+    narrow = np.min_scalar_type(alphabet)
+    to_larger, to_smaller = np.where(smaller, alphabet, text).astype(narrow), np.where(smaller, text, alphabet).astype(narrow)
+    to_larger[-1] = to_smaller[-1] = alphabet
+    starts = np.searchsorted(text[ordered], np.arange(alphabet + 1)).tolist()
     larger: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
     for c in range(alphabet):
-        at = 0
-        while at < len(larger[c]):  # grows while runs of the same symbol are followed
-            _before(text, ~smaller, larger[c][at], larger)
-            at += 1
-        _before(text, ~smaller, own[c], larger)
+        _follow(to_larger, alphabet, c, larger)
+        _before(to_larger, alphabet, ordered[starts[c]:starts[c + 1]], larger)
     up = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in larger]
     down: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
     for c in range(alphabet - 1, -1, -1):
-        at = 0
-        while at < len(down[c]):
-            _before(text, smaller, down[c][at], down)
-            at += 1
-        _before(text, smaller, up[c][::-1], down)
+        _follow(to_smaller, alphabet, c, down)
+        _before(to_smaller, alphabet, up[c][::-1], down)
     out = []
     last = np.array([len(text) - 1])
     for c in range(alphabet):
@@ -112,18 +110,29 @@ def _scan(text, smaller, ordered, alphabet: int) -> np.ndarray:
     return np.concatenate([last, *out])
 
 
-def _before(text, kind, at, into) -> None:
-    """Put the suffixes one symbol longer, if of the kind, into the buckets of their symbols, in order."""
-    at = at[at > 0] - 1
-    at = at[kind[at]]
+def _follow(symbols, none: int, c: int, into) -> None:
+    """Go on from a whole bucket at once, and from what that adds to it, while runs of its symbol are followed."""
+    at = 0
+    while at < len(into[c]):
+        part, at = into[c][at:], len(into[c])
+        _before(symbols, none, np.concatenate(part) if len(part) > 1 else part[0], into)
+
+
+def _before(symbols, none: int, at, into) -> None:
+    """Put the suffixes one symbol longer, if that symbol is not none, into the buckets of their symbols, in order."""
+    if not len(at):
+        return
+    at = at - 1  # before the first suffix comes the last one, which is none
+    own = symbols[at]
+    kept = own != none
+    own, at = own[kept], at[kept]
     if not len(at):
         return
-    symbols = text[at]
-    order = np.argsort(symbols, kind="stable")
-    symbols, at = symbols[order], at[order]
-    cuts = np.flatnonzero(np.diff(symbols)) + 1
-    for part, c in zip(np.split(at, cuts), symbols[np.append(0, cuts)]):
-        into[c].append(part)
+    order = own.argsort(kind="stable")
+    own, at = own[order], at[order]
+    cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(at)]
+    for c, lo, hi in zip(own[cuts[:-1]].tolist(), cuts, cuts[1:]):
+        into[c].append(at[lo:hi])
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from lendlane.llm import repeats
+from lendlane.llm import repeats, suffixes
 from lendlane.llm.suffixes import common_prefixes, suffix_array
 from tests.conftest import as_dicts
 
@@ -77,3 +77,24 @@ def test_anchors_of_a_slice_longer_than_its_places(monkeypatch):
         assert len(of) == len(text) - 99
         anchors.append([of[text.index(same) + k] for k in range(601)])
     assert anchors[0] == anchors[1]
+
+
+def test_whole_buckets_are_followed_at_once(monkeypatch):
+    calls, place = [], suffixes._before
+    monkeypatch.setattr(suffixes, "_before", lambda *a: (calls.append(1), place(*a))[1])
+    dice = np.random.default_rng(5)
+    text = np.concatenate([dice.permutation(60) for _ in range(60)])
+    text = np.append(text, np.append(np.repeat(7, 30), text[:150]))
+    order = suffixes.suffix_array(text, 200)
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    # two scans, of 61 symbols, three rounds a bucket and its own suffixes, but for the run of 30; names of the recursion are sorted by doubling
+    assert len(calls) <= 2 * 61 * 4 + 2 * 30
+
+
+def test_anchors_know_their_texts():
+    dice = np.random.default_rng(6)
+    raw = [dice.bytes(n) for n in (0, 300, 99, 0, 0, 100, 101, 5, 700, 0)]
+    own = repeats.Slice(raw, 100, 32)
+    hashes, text, first, last = own.anchors()
+    assert len(hashes) and sum(last - first + 1) == sum(max(len(r) - 99, 0) for r in raw)
+    assert (own.starts[text] <= first).all() and (last + 100 <= own.ends[text]).all()
