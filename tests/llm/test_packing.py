@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from lendlane.llm import packing
+from lendlane.llm import packing, wordpieces
 from lendlane.llm.wordpieces import word_encoder
 from tests.conftest import as_dicts
 
@@ -101,3 +101,47 @@ def test_the_sequence_chosen_is_the_best_of_all(caps):
         rooms[k] = rooms[k] - size
     number, offset = packing.vector_best_fit(lengths, caps)
     assert [(number[i], offset[i]) for i in range(400)] == [want[i] for i in range(400)]
+
+
+class Counted:
+    """A tokenizer that lists the words it is given."""
+    given = []
+
+    def __init__(self, inner):
+        self.__dict__["inner"] = inner if isinstance(inner, Tokenizer) else Tokenizer(inner)
+
+    @classmethod
+    def from_file(cls, path):
+        return cls(Tokenizer.from_file(path))
+
+    def __getattr__(self, name):
+        found = getattr(self.inner, name)
+        if not name.startswith("encode"):
+            return found
+
+        def call(texts, **options):
+            self.given.extend(" ".join([texts] if isinstance(texts, str) else texts).split())
+            return found(texts, **options)
+        return call
+
+    def __setattr__(self, name, value):
+        setattr(self.inner, name, value)
+
+
+def test_words_met_again_stay_known_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr("tokenizers.Tokenizer", Counted)
+    monkeypatch.setattr(wordpieces, "MOST_WORDS", 6)
+    monkeypatch.setattr(Counted, "given", [])
+    word_encoder.cache_clear()
+    try:
+        for text, new in [("zebra quagga okapi dodo", "zebra quagga okapi dodo"), ("Zebra kakapo, dodo", "kakapo ,"), ("zebra dodo, quagga", "quagga")]:
+            Counted.given.clear()
+            assert word_encoder(PATH)([text]) == [np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+            assert sorted(Counted.given) == sorted(new.split())
+    finally:
+        word_encoder.cache_clear()
+
+
+def test_letters_of_many_scripts():
+    texts = [f"x{c}y {c} {c}!? A{c}{c}. {c}́ b{c}'s" for c in map(chr, range(1, 0x3000))] + ["Zoë ÉCOLE, naïve!", "ᄀ가각 한국어.", "ΣΟΦΟΣ σοφος,", "ŉ ǆ ﬁn"]
+    assert word_encoder(PATH)(texts) == [np.array(e.ids, "<u4").tobytes() for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
